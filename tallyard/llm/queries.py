@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, packing, simhash, sstable, token_counts, warc
+from . import ann, decontaminate, line_dedup, packing, quality, simhash, sstable, token_counts, toxicity, warc
 from .sql import ORACLES
 
 
@@ -24,6 +24,16 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(spark, _read(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(spark, docs, toxicity.train(docs, _read(spark, sf_dir, "labels")), limit=0.7)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(spark, docs, quality.train(docs, _read(spark, sf_dir, "labels")), limit=0.5)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(spark, _read(spark, sf_dir, "pages"))
     out = warc.read_archives(spark, archives, payloads=False)
@@ -56,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op5_warc, op6_simhash, op7_decontaminate, op8_packing, op9_sstable, op10_token_counts)
+    f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_toxicity, op4_quality, op5_warc, op6_simhash, op7_decontaminate, op8_packing, op9_sstable, op10_token_counts)
 }
 
 
