@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 FLAGSHIP = "flagship_season_report"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with the SQL for the same rows."""
+
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from tallyard.plans import feature_queries, market_queries, model_queries, scalar_queries, stream_queries, table_queries  # noqa: F401
 
 
-def queries() -> dict:
-    return QUERIES
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return ORACLES
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(ORACLES)
