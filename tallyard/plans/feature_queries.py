@@ -1 +1,218 @@
-"""Queries."""
+"""Queries of history and field windows, ratings, graph and features."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyard.operators import history as H
+from tallyard.operators import ratings as R
+from tallyard.plans.analogue import entries, table, with_entries
+from tallyard.registry import query
+
+_P = "PARTITION BY participant ORDER BY d, contest, participant"
+_HD = "PARTITION BY handler ORDER BY d, contest, participant"
+
+
+@query(with_entries(f"SELECT contest, participant, coalesce(weight - lag(weight) OVER ({_P}), 0) AS weight_delta, coalesce(distance - lag(distance) OVER ({_P}), 0) AS distance_delta FROM E"))
+def w1_lag_deltas(spark, sf):
+    return H.lag_deltas(entries(spark, sf)).select("contest", "participant", "weight_delta", "distance_delta")
+
+
+@query(with_entries(f"SELECT contest, participant, CAST(coalesce(d - lag(d) OVER ({_P}), 30) AS INTEGER) AS days_since_last FROM E"))
+def w2_days_since(spark, sf):
+    return H.days_since(entries(spark, sf)).select("contest", "participant", "days_since_last")
+
+
+@query(with_entries(f"SELECT contest, participant, CAST(coalesce(sum(CAST(position = 1 AS INTEGER)) OVER ({_P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_wins FROM E"))
+def w3_prior_wins(spark, sf):
+    return H.prior_wins(entries(spark, sf)).select("contest", "participant", "prior_wins")
+
+
+@query(with_entries(f"SELECT contest, participant, round(coalesce(avg(CAST(position = 1 AS DOUBLE)) OVER ({_HD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.08), 6) AS rate FROM E"))
+def w4_prior_rate(spark, sf):
+    return H.prior_rate(entries(spark, sf)).select("contest", "participant", F.round("handler_prior_rate", 6).alias("rate"))
+
+
+@query(with_entries(f"SELECT contest, participant, round(avg(discount) OVER ({_P} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS form FROM E"))
+def w5_rolling_form(spark, sf):
+    return H.rolling_mean(entries(spark, sf), "participant", "discount", 5, "form").select("contest", "participant", F.round("form", 6).alias("form"))
+
+
+_RATE = f"coalesce(avg(CAST(position = 1 AS DOUBLE)) OVER ({_HD} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 0.083)"
+_STRICT = f"RT AS (SELECT *, first_value(r0) OVER (PARTITION BY handler, d, contest ORDER BY participant) AS handler_rate FROM (SELECT *, {_RATE} AS r0 FROM E))"
+
+
+@query(with_entries(f"SELECT contest, participant, round({_RATE}, 6) AS rate FROM E"))
+def w6_handler_rate_by_row(spark, sf):
+    return H.handler_rate(entries(spark, sf), strict=False).select("contest", "participant", F.round("handler_rate", 6).alias("rate"))
+
+
+@query(with_entries("SELECT contest, participant, round(handler_rate, 6) AS rate FROM RT", _STRICT))
+def w7_handler_rate_strict(spark, sf):
+    return H.handler_rate(entries(spark, sf)).select("contest", "participant", F.round("handler_rate", 6).alias("rate"))
+
+
+@query(with_entries("SELECT contest, participant, round(p, 4) AS pressure, round(price - p, 4) AS advantage FROM (SELECT *, sum(CASE WHEN rn <= 3 THEN price END) OVER (PARTITION BY contest) AS p FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY price DESC, participant) AS rn FROM E))"))
+def w8_pressure(spark, sf):
+    return H.pressure(entries(spark, sf), "price").select("contest", "participant", F.round("pressure", 4).alias("pressure"), F.round("advantage", 4).alias("advantage"))
+
+
+@query(with_entries("SELECT contest, participant, CAST(dense_rank() OVER w AS INTEGER) AS dense, CAST(rank() OVER w AS INTEGER) AS min, CAST(row_number() OVER (PARTITION BY contest ORDER BY discount DESC, participant) AS INTEGER) AS first FROM E WINDOW w AS (PARTITION BY contest ORDER BY discount DESC)"))
+def w9_model_rank(spark, sf):
+    e = entries(spark, sf)
+    for m in ("dense", "min", "first"):
+        e = H.rank_in_contest(e, "discount", m, True, m)
+    return e.select("contest", "participant", "dense", "min", "first")
+
+
+@query(with_entries("SELECT contest, participant, CAST(rank() OVER (PARTITION BY contest ORDER BY odds) AS INTEGER) AS public_rank FROM E"))
+def w10_public_rank(spark, sf):
+    return H.public_rank(entries(spark, sf)).select("contest", "participant", "public_rank")
+
+
+@query(with_entries("SELECT contest, participant, round(x / sum(x) OVER (PARTITION BY contest), 6) AS p FROM (SELECT *, exp(discount * 20 - max(discount * 20) OVER (PARTITION BY contest)) AS x FROM E)"))
+def w11_softmax(spark, sf):
+    return H.softmax(entries(spark, sf).withColumn("z", F.col("discount") * 20), "z", "p").select("contest", "participant", F.round("p", 6).alias("p"))
+
+
+@query(with_entries("SELECT contest, participant, round(1 / odds / sum(1 / odds) OVER (PARTITION BY contest), 6) AS share FROM E"))
+def w12_share(spark, sf):
+    return H.share(entries(spark, sf), 1 / F.col("odds")).select("contest", "participant", F.round("share", 6).alias("share"))
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN coalesce(CASE WHEN turn % 3 <> 0 THEN turn END, -1) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS raw FROM conversations")
+def w15_carry_down_raw(spark, sf):
+    c = table(spark, sf, "conversations")
+    value = F.when(F.col("turn") % 3 != 0, F.col("turn")).otherwise(-1)
+    return H.carry_down(c, "conv_id", "turn", F.col("role") == "user", value, "raw").select("conv_id", "turn", "raw")
+
+
+@query("SELECT conv_id, turn, nullif(last_value(CASE WHEN role = 'user' THEN CASE WHEN turn % 3 <> 0 THEN turn ELSE -1 END END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS pool FROM conversations")
+def w15_carry_down(spark, sf):
+    c = table(spark, sf, "conversations")
+    return H.carry_down(c, "conv_id", "turn", F.col("role") == "user", F.when(F.col("turn") % 3 != 0, F.col("turn")), "pool").select("conv_id", "turn", "pool")
+
+
+@query(with_entries(f"SELECT contest, participant, CAST(row_number() OVER ({_P}) - 1 AS INTEGER) AS n_before FROM E"))
+def w16_counter(spark, sf):
+    return H.counter(entries(spark, sf), "participant").select("contest", "participant", "n_before")
+
+
+@query(with_entries("SELECT contest, participant, n AS field FROM (SELECT *, count(*) OVER (PARTITION BY contest) AS n FROM E) WHERE n >= 7"))
+def p25_min_field(spark, sf):
+    return H.min_field(entries(spark, sf), 7).select("contest", "participant", "field")
+
+
+# ---- ratings: yearly periods, each step spelt out in the SQL
+
+YEARS = range(1995, 2002)
+
+
+def _rated(spark, sf):
+    return entries(spark, sf).withColumn("margin", F.col("weight") / 10), F.year("d")
+
+
+def _fold_sql(first: str, change: str, update: str, cols: str, out: str) -> str:
+    """cols: state columns after participant; change: sums by participant_a over PAIRS joined with both states."""
+    names = [c.split(" AS ")[1] for c in cols.split(", ")]
+    parts = ["PAIRS AS MATERIALIZED (SELECT year(a.d) AS period, a.n, a.participant AS pa, b.participant AS pb, a.position AS posa, b.position AS posb, a.margin AS ma, b.margin AS mb FROM (SELECT *, weight / 10 AS margin, count(*) OVER (PARTITION BY contest) AS n FROM E) a JOIN (SELECT *, weight / 10 AS margin FROM E) b ON a.contest = b.contest AND a.participant <> b.participant)"]
+    parts.append(f"S{YEARS[0]} AS MATERIALIZED (SELECT DISTINCT pa AS participant, {cols} FROM PAIRS)")
+    for y in YEARS:
+        both = f"PAIRS p JOIN S{y} A ON A.participant = p.pa JOIN S{y} B ON B.participant = p.pb WHERE p.period = {y}"
+        parts.append(f"D{y} AS MATERIALIZED (SELECT pa AS participant, {change} FROM {both} GROUP BY pa)")
+        keep = ", ".join(f"CASE WHEN D.participant IS NULL THEN S.{n} ELSE {u} END AS {n}" for n, u in zip(names, update.split("; "), strict=True))
+        parts.append(f"S{y + 1} AS MATERIALIZED (SELECT S.participant, {keep} FROM S{y} S LEFT JOIN D{y} D ON D.participant = S.participant)")
+    union = " UNION ALL ".join(f"SELECT {y} AS period, D.participant, {out} FROM D{y} D JOIN S{y} S ON S.participant = D.participant JOIN S{y + 1} N ON N.participant = D.participant" for y in YEARS)
+    return ", ".join(parts), union
+
+
+_WON = "CASE WHEN posa < posb THEN 1.0::DOUBLE WHEN posa > posb THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END"
+_EXP = "1 / (1 + pow(10.0::DOUBLE, (B.rating - A.rating) / 400))"
+_ELO_OUT = "round(S.rating, 2) AS pre, round(N.rating, 2) AS post, round(N.rating - S.rating, 2) + 0.0::DOUBLE AS shift"
+_R1 = _fold_sql("", f"sum(32.0::DOUBLE * ({_WON} - {_EXP}) / (n - 1)) AS s", "S.rating + D.s", "1500.0::DOUBLE AS rating", _ELO_OUT)
+_R2 = _fold_sql("", f"sum(20.0::DOUBLE * (1 + ln(abs(ma - mb) + 1)) * ({_WON} - {_EXP}) / (n - 1)) AS s", "S.rating + D.s", "1500.0::DOUBLE AS rating", _ELO_OUT)
+_G = "(1 / sqrt(1 + 3 * pow(B.rd / 173.7178::DOUBLE, 2) / pow(pi(), 2)))"
+_GE = f"(1 / (1 + exp(-{_G} * ((A.rating - 1500) / 173.7178::DOUBLE - (B.rating - 1500) / 173.7178::DOUBLE))))"
+_NEW2 = "(1 / (1 / (pow(S.rd / 173.7178::DOUBLE, 2) + pow(S.vol, 2)) + 1 / (CASE WHEN D.v_inv > 0 THEN 1 / D.v_inv ELSE 1.0 END)))"
+_R3 = _fold_sql("", f"sum({_G} * {_G} * {_GE} * (1 - {_GE})) AS v_inv, sum({_G} * ({_WON} - {_GE})) AS delta", f"S.rating + 173.7178::DOUBLE * {_NEW2} * D.delta; sqrt({_NEW2}) * 173.7178::DOUBLE; S.vol",
+                "1500.0::DOUBLE AS rating, 350.0::DOUBLE AS rd, 0.06::DOUBLE AS vol", "round(S.rating, 2) AS pre, round(N.rating, 2) AS post, round(N.rd, 2) AS rd")
+
+
+def _shown(h):
+    return h.select(F.col("period").cast("long").alias("period"), "participant", F.round("rating", 2).alias("pre"), F.round("rating_after", 2).alias("post"), (F.round(F.col("rating_after") - F.col("rating"), 2) + 0.0).alias("shift"))
+
+
+@query(with_entries(f"SELECT CAST(period AS BIGINT) AS period, participant, pre, post, shift FROM ({_R1[1]})", _R1[0]))
+def r1_pairwise_elo(spark, sf):
+    return _shown(R.pairwise_elo(*_rated(spark, sf)))
+
+
+@query(with_entries(f"SELECT CAST(period AS BIGINT) AS period, participant, pre, post, shift FROM ({_R2[1]})", _R2[0]))
+def r2_margin_elo(spark, sf):
+    return _shown(R.margin_elo(*_rated(spark, sf)))
+
+
+@query(with_entries(f"SELECT CAST(period AS BIGINT) AS period, participant, pre, post, rd FROM ({_R3[1]})", _R3[0]))
+def r3_glicko(spark, sf):
+    h = R.glicko(*_rated(spark, sf))
+    return h.select(F.col("period").cast("long").alias("period"), "participant", F.round("rating", 2).alias("pre"), F.round("rating_after", 2).alias("post"), F.round("rd_after", 2).alias("rd"))
+
+
+def _snapshots(spark):
+    return spark.range(1996, 2002).select(F.make_date(F.col("id").cast("int"), F.lit(1), F.lit(1)).alias("as_of"))
+
+
+_EDGES = """SNAP AS (SELECT make_date(y, 1, 1) AS as_of FROM range(1996, 2002) t(y)),
+EDGES AS MATERIALIZED (SELECT as_of, a.participant AS src, b.participant AS dst, count(*) AS weight FROM E a JOIN E b ON a.contest = b.contest AND a.position > b.position JOIN SNAP ON a.d < as_of GROUP BY 1, 2, 3)"""
+
+
+@query(with_entries("SELECT as_of, src, dst, CAST(weight AS BIGINT) AS weight FROM EDGES", _EDGES))
+def r4_dominance_edges(spark, sf):
+    return R.dominance_edges(entries(spark, sf), _snapshots(spark))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    parts = [_EDGES, "NODES AS MATERIALIZED (SELECT as_of, node, count(*) OVER (PARTITION BY as_of) AS n FROM (SELECT as_of, src AS node FROM EDGES UNION SELECT as_of, dst FROM EDGES))",
+             "FLOW AS MATERIALIZED (SELECT as_of, src, dst, weight / sum(weight) OVER (PARTITION BY as_of, src) AS part FROM EDGES)", "R0 AS (SELECT as_of, node, n, 1.0::DOUBLE / n AS rank FROM NODES)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"G{k} AS MATERIALIZED (SELECT f.as_of, f.dst AS node, sum(part * rank) AS got FROM FLOW f JOIN R{k - 1} r ON r.as_of = f.as_of AND r.node = f.src GROUP BY 1, 2)")
+        parts.append(f"T{k} AS MATERIALIZED (SELECT r.as_of, sum(rank) AS stuck FROM R{k - 1} r WHERE NOT EXISTS (SELECT 1 FROM FLOW f WHERE f.as_of = r.as_of AND f.src = r.node) GROUP BY 1)")
+        parts.append(f"R{k} AS MATERIALIZED (SELECT N.as_of, N.node, N.n, 0.15::DOUBLE / N.n + 0.85::DOUBLE * (coalesce(got, 0) + coalesce(stuck, 0) / N.n) AS rank FROM NODES N LEFT JOIN G{k} G ON G.as_of = N.as_of AND G.node = N.node LEFT JOIN T{k} T ON T.as_of = N.as_of)")
+    return ", ".join(parts)
+
+
+@query(with_entries("SELECT as_of, node, round(rank, 8) AS rank FROM R6", _pagerank_sql(6)))
+def r5_pagerank(spark, sf):
+    out = R.pagerank(R.dominance_edges(entries(spark, sf), _snapshots(spark)), rounds=6, every=3)
+    return out.select("as_of", "node", F.round("rank", 8).alias("rank"))
+
+
+_HISTORY = f"""{_STRICT},
+FT AS (SELECT *, coalesce(weight - lag(weight) OVER ({_P}), 0) AS weight_delta, coalesce(distance - lag(distance) OVER ({_P}), 0) AS distance_delta, CAST(coalesce(d - lag(d) OVER ({_P}), 30) AS INTEGER) AS days_since_last,
+  CAST(coalesce(sum(CAST(position = 1 AS INTEGER)) OVER ({_P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_wins, avg(discount) OVER ({_P} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS form FROM RT),
+FP AS (SELECT *, coalesce(sum(CASE WHEN rn <= 3 THEN form END) OVER (PARTITION BY contest), 0) AS pressure FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY round(form, 9) DESC NULLS LAST, participant) AS rn FROM FT))"""
+_SHOW = ("weight_delta", "distance_delta", "days_since_last", "prior_wins")
+
+
+@query(with_entries("SELECT contest, participant, weight_delta, distance_delta, days_since_last, prior_wins, round(form, 6) AS form, round(handler_rate, 6) AS handler_rate, round(pressure, 5) AS pressure FROM FP", _HISTORY))
+def r6_history_features(spark, sf):
+    f = R.history_features(entries(spark, sf))
+    return f.select("contest", "participant", *_SHOW, F.round("form", 6).alias("form"), F.round("handler_rate", 6).alias("handler_rate"), F.round("pressure", 5).alias("pressure"))
+
+
+@query()
+def r6_snapshot_features(spark, sf):
+    e = entries(spark, sf).withColumn("margin", F.col("weight") / 10)
+    elo = R.margin_elo(e, F.year("d")).withColumn("period", F.make_date(F.col("period"), F.lit(1), F.lit(1)))
+    ranks = R.pagerank(R.dominance_edges(e, _snapshots(spark)), rounds=10, every=5)
+    out = R.snapshot_features(e, elo, ranks, F.trunc("d", "year"))
+    return out.select("contest", "participant", *_SHOW, "form", "handler_rate", "pressure", "advantage", "elo", "centrality")
+
+
+@query()
+def r7_legacy_chain(spark, sf):
+    e = entries(spark, sf).withColumn("margin", F.col("weight") / 10)
+    g = R.glicko(e, F.year("d")).select(F.col("period").alias("y"), "participant", F.col("rating").alias("glicko"), "rd")
+    f = H.prior_rate(H.handler_rate(H.rolling_mean(e, "participant", "discount", 5, "form"), strict=False)).withColumn("y", F.year("d"))
+    out = f.join(g, ["y", "participant"], "left").fillna({"glicko": 1500.0, "rd": 350.0})
+    return H.pressure(out, "form").select("contest", "participant", "form", "pressure", "advantage", "handler_rate", "handler_prior_rate", "glicko", "rd")
