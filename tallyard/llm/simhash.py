@@ -84,9 +84,9 @@ def keyed(classes: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     for s in range(segments):
         n = (s + 1) % segments
         head = F.lit(s << 40).bitwiseOR(F.shiftleft(cut(s), 20))
-        flips = F.array([F.when(cut(n).bitwiseAND(1 << b) == 0, cut(n).bitwiseOR(1 << b)) for b in range(wide[n])])
-        parts.append(F.transform(F.array_compact(flips), lambda x, head=head: F.struct(head.bitwiseOR(x).alias("k"), F.lit(False).alias("home"))))
-        parts.append(F.array(F.struct(head.bitwiseOR(cut(n)).alias("k"), F.lit(True).alias("home"))))
+        key = lambda tail, home, head=head: F.struct(head.bitwiseOR(tail).alias("k"), F.lit(home).alias("home"))
+        flips = [F.when(cut(n).bitwiseAND(1 << b) == 0, key(cut(n).bitwiseOR(1 << b), False)) for b in range(wide[n])]
+        parts.append(F.array_compact(F.array(key(cut(n), True), *flips)))
     return classes.select("fp", F.explode(F.concat(*parts)).alias("x")).select("x.k", "fp", "x.home")
 
 
