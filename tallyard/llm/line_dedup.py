@@ -5,9 +5,10 @@ ends, so borders depend on the lines around them and not on their position, and
 A passage's part before its first border, or one too short to hold two borders, has no whole chunk: for these the
 rolling windows themselves stand as the smallest chunks, and a line of min_words words or more stands for itself.
 
-Chunks whose hash occurs once are left at that. Of the others, those with equal bytes are one chunk, whose first
-place (by doc_id, then line) stays. The chunks found again elsewhere cover stretches of lines, and stretches of
-min_words words or more are removed. The first place of any line is thus never removed.
+Chunks are compared by their lines' hashes, and lines with one hash by their bytes: where lines that differ share a
+hash, chunks with such a line are left alone, so equal chunks are equal byte by byte. A chunk's first place (by doc_id,
+then line) stays. The chunks found again elsewhere cover stretches of lines, and stretches of min_words words or more
+are removed. The first place of any line is thus never removed.
 
 Defined results: null texts stay null and empty ones empty; a document removed whole has an empty text; rows that
 repeat both doc_id and text are one document and get the same result; null ids come last; an empty table gives no
@@ -29,31 +30,46 @@ def words_in(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[^ \t\r\n]+"))
 
 
-def spans(docs: DataFrame, min_words: int, divisor: int) -> DataFrame:
-    """id, key, a, b, h, body: every chunk of every document by its first and last line, its hash and its bytes."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """id, key, lines, hs: the lines of every document that has any, and their hashes."""
     rows = docs.where(F.length("text") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), F.split("text", "\n").alias("lines"))
-    rows = rows.withColumn("hs", F.transform("lines", lambda x: F.xxhash64(x)))
+    return rows.withColumn("hs", F.transform("lines", lambda x: F.xxhash64(x)))
+
+
+def spans(docs: DataFrame, min_words: int, divisor: int) -> DataFrame:
+    """id, key, a, b, h: every chunk of every document by its first and last line and its hash."""
+    rows = _lines(docs)
     line_numbers = F.sequence(F.lit(0), F.size("lines") - 1)
     rows = rows.withColumn("roll", F.transform("hs", lambda h, i: F.when(i >= WINDOW - 1, F.xxhash64(F.slice("hs", i - (WINDOW - 2), F.lit(WINDOW))))))
     rows = rows.withColumn("ends", F.filter(line_numbers, lambda i: (i == F.size("lines") - 1) | (F.pmod(F.get("roll", i), F.lit(divisor)) == 0)))
-    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    chunks = F.transform("ends", lambda e, k: span(F.when(k == 0, F.lit(0)).otherwise(F.get("ends", k - 1) + 1), e))
-    chunks = F.filter(chunks, lambda s: s["b"] - s["a"] >= WINDOW)
-    windows = F.transform(F.filter(line_numbers, lambda i: i >= WINDOW - 1), lambda i: span(i - (WINDOW - 1), i))
-    long_lines = F.transform(F.filter(line_numbers, lambda i: words_in(F.get("lines", i)) >= min_words), lambda i: span(i, i))
-    rows = rows.select("id", "key", "lines", "hs", F.explode(F.concat(chunks, windows, long_lines)).alias("s"))
-    part = lambda c: F.slice(c, F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + 1)
-    return rows.select("id", "key", "s.a", "s.b", F.xxhash64(part("hs")).alias("h"), F.array_join(part("lines"), "\n").alias("body"))
+    span = lambda a, b, h: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), h.alias("h"))
+    hashed = lambda a, b: F.xxhash64(F.slice("hs", a + 1, b - a + 1))
+    begins = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("ends", k - 1) + 1)
+    chunks = F.filter(F.transform("ends", lambda e, k: span(begins(k), e, hashed(begins(k), e))), lambda s: s["b"] - s["a"] >= WINDOW)
+    windows = F.transform(F.filter(line_numbers, lambda i: i >= WINDOW - 1), lambda i: span(i - (WINDOW - 1), i, F.get("roll", i)))
+    long_lines = F.transform(F.filter(line_numbers, lambda i: words_in(F.get("lines", i)) >= min_words), lambda i: span(i, i, hashed(i, i)))
+    return rows.select("id", "key", F.explode(F.concat(chunks, windows, long_lines)).alias("s")).select("id", "key", "s.a", "s.b", "s.h")
+
+
+def ambiguous_hashes(docs: DataFrame) -> DataFrame:
+    """h of the lines that differ in their bytes from another line with the same hash.
+
+    Lines meet by their hash, copies within a task as one; the least and the greatest of them are equal only if all are.
+    """
+    lines = _lines(docs).select(F.explode(F.arrays_zip("hs", "lines")).alias("x")).select(F.col("x.hs").alias("h"), F.col("x.lines").alias("line"))
+    return lines.groupBy("h").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("h")
 
 
 def repeated_stretches(docs: DataFrame, min_words: int, divisor: int) -> DataFrame:
     """id, key, stretches (array of first and last line): what chunks found earlier elsewhere cover."""
     every = spans(docs, min_words, divisor)
-    often = every.groupBy("h").count().where("count > 1").select("h")
-    # Only chunks with a hash in common carry their bytes any further.
-    again = settle(every.join(often, "h", "left_semi"), "repeated-chunks")
-    first = again.groupBy("h", "body").agg(F.min(F.struct("id", "key", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = again.join(first, ["h", "body"]).where(F.struct("id", "key", "a") != F.col("first")).select("id", "key", "a", "b")
+    first = every.groupBy("h").agg(F.min(F.struct("id", "key", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = every.join(first, "h").where(F.struct("id", "key", "a") != F.col("first")).select("id", "key", "a", "b")
+    doubt = settle(ambiguous_hashes(docs), "line-hashes")
+    if doubt.head(1):
+        # Chunks with a line whose hash does not tell its bytes stay; chunks of other lines are equal in every byte.
+        lines = _lines(docs).select("id", "key", F.posexplode("hs").alias("i", "h")).join(doubt, "h").select(F.col("id").alias("_i"), F.col("key").alias("_k"), "i")
+        later = later.join(lines, (F.col("id") == F.col("_i")) & (F.col("key") == F.col("_k")) & F.col("i").between(F.col("a"), F.col("b")), "left_anti")
     w = Window.partitionBy("id", "key").orderBy("a", "b")
     reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
     later = later.withColumn("new", F.when(reach >= F.col("a"), 0).otherwise(1)).withColumn("n", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
