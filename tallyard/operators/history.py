@@ -64,14 +64,15 @@ def carry_down(df: DataFrame, group: str, order: str, header: Column, value: Col
 
 # ---- within a contest
 
-CONTEST = Window.partitionBy("contest")
+def contest_window():
+    return Window.partitionBy("contest")
 
 
 def pressure(e: DataFrame, c: str, k: int = 3) -> DataFrame:
     """Sum of the k largest values of a contest, and what an entry has beyond it."""
-    order = CONTEST.orderBy(F.desc_nulls_last(c), "participant")
+    order = contest_window().orderBy(F.desc_nulls_last(c), "participant")
     e = e.withColumn("_rn", F.row_number().over(order))
-    e = e.withColumn("pressure", F.coalesce(F.sum(F.when(F.col("_rn") <= k, F.col(c))).over(CONTEST), F.lit(0.0)))
+    e = e.withColumn("pressure", F.coalesce(F.sum(F.when(F.col("_rn") <= k, F.col(c))).over(contest_window()), F.lit(0.0)))
     return e.withColumn("advantage", F.coalesce(F.col(c), F.lit(0.0)) - F.col("pressure")).drop("_rn")
 
 
@@ -79,7 +80,7 @@ def rank_in_contest(e: DataFrame, c: str, method: str = "first", desc: bool = Tr
     """Ranks with ties as dense, min, or first (by participant)."""
     by = F.desc(c) if desc else F.asc(c)
     f = {"dense": F.dense_rank, "min": F.rank, "first": F.row_number}[method]
-    return e.withColumn(name, f().over(CONTEST.orderBy(by, *(["participant"] if method == "first" else []))))
+    return e.withColumn(name, f().over(contest_window().orderBy(by, *(["participant"] if method == "first" else []))))
 
 
 def public_rank(e: DataFrame) -> DataFrame:
@@ -87,17 +88,17 @@ def public_rank(e: DataFrame) -> DataFrame:
 
 
 def softmax(e: DataFrame, c: str, name: str = "softmax") -> DataFrame:
-    x = F.exp(F.col(c) - F.max(c).over(CONTEST))
-    return e.withColumn("_x", x).withColumn(name, F.col("_x") / F.sum("_x").over(CONTEST)).drop("_x")
+    x = F.exp(F.col(c) - F.max(c).over(contest_window()))
+    return e.withColumn("_x", x).withColumn(name, F.col("_x") / F.sum("_x").over(contest_window())).drop("_x")
 
 
 def share(e: DataFrame, c: Column, name: str = "share") -> DataFrame:
     """c over its sum in the contest."""
-    return e.withColumn("_x", c).withColumn(name, F.try_divide("_x", F.sum("_x").over(CONTEST))).drop("_x")
+    return e.withColumn("_x", c).withColumn(name, F.try_divide("_x", F.sum("_x").over(contest_window()))).drop("_x")
 
 
 def min_field(e: DataFrame, n: int) -> DataFrame:
-    return e.withColumn("field", F.count("*").over(CONTEST)).where(F.col("field") >= n)
+    return e.withColumn("field", F.count("*").over(contest_window())).where(F.col("field") >= n)
 
 
 # ---- money over time

@@ -220,7 +220,7 @@ def run_strategy(scored: DataFrame, spec: Spec, top_entries: int = 5) -> DataFra
         bets = bets.withColumn("returned", F.col("won") * F.col("staked") * (F.col("payout") / 10 if spec.actual else F.col("pay")))
     elif spec.kind == "banker":
         bank = e.where((F.col("odds") >= spec.leg_odds) & (F.col("p") * 3 >= spec.min_p)).withColumn("a", F.lit(1))
-        bank = bank.withColumn("rn", F.row_number().over(H.CONTEST.orderBy(F.desc("p"), "participant"))).where("rn = 1")
+        bank = bank.withColumn("rn", F.row_number().over(H.contest_window().orderBy(F.desc("p"), "participant"))).where("rn = 1")
         favourites = H.rank_in_contest(e, "odds", "first", False, "fav").where("fav <= 2")
         two = bank.select("contest", *[F.col(c).alias(f"{c}_1") for c in keep]).join(favourites.select("contest", *[F.col(c).alias(f"{c}_2") for c in keep]), "contest").where("participant_1 <> participant_2")
         won = ((F.col("position_1") <= 2) & (F.col("position_2") <= 2)).cast("int")
@@ -230,7 +230,7 @@ def run_strategy(scored: DataFrame, spec: Spec, top_entries: int = 5) -> DataFra
             three = combos(e.where(F.col("model_rank") <= top_entries), 3, keep, "model_rank")
         else:
             anchor = e.where((F.col("model_rank") == 1) & (F.col("odds") <= spec.anchor_odds)).withColumn("anchor", F.lit(1))
-            legs = e.where((F.col("model_rank") > 1) & (F.col("odds") >= spec.leg_odds)).withColumn("rn", F.row_number().over(H.CONTEST.orderBy(F.desc("p"), "participant"))).where("rn <= 4").drop("rn").withColumn("anchor", F.lit(0))
+            legs = e.where((F.col("model_rank") > 1) & (F.col("odds") >= spec.leg_odds)).withColumn("rn", F.row_number().over(H.contest_window().orderBy(F.desc("p"), "participant"))).where("rn <= 4").drop("rn").withColumn("anchor", F.lit(0))
             three = combos(anchor.unionByName(legs), 3, keep, "model_rank", anchor="anchor", ordered=spec.kind == "ordered")
         price = P.harville_ordered if spec.kind == "ordered" else P.harville_trio
         three = three.withColumns({"hit": price(*[F.col(f"p_{k}") for k in (1, 2, 3)]), "market": price(*[F.col(f"q_{k}") for k in (1, 2, 3)])})

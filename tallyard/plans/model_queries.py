@@ -1 +1,90 @@
-"""Queries."""
+"""Queries of the model steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyard.functions.scalars import relevance
+from tallyard.operators import history as H
+from tallyard.operators import models as L
+from tallyard.operators.relational import brier, log_loss
+from tallyard.plans.analogue import entries
+from tallyard.plans.market_queries import ranked, scored, sql
+from tallyard.plans.table_queries import folds
+from tallyard.registry import query
+from tallyard.sources.storage import workspace
+
+FEATURES = ["form", "weight", "odds"]
+
+
+def _features(spark, sf):
+    return H.rolling_mean(entries(spark, sf), "participant", "discount", 5, "form").fillna(0.05, ["form"])
+
+
+def _train(spark, sf):
+    return _features(spark, sf).where("d < DATE '1999-09-01'")
+
+
+@query()
+def m1_fit_ranker_linear(spark, sf):
+    return L.importance(spark, L.fit_ranker(_train(spark, sf), FEATURES))
+
+
+@query()
+def m1_fit_ranker_trees(spark, sf):
+    model = L.fit_ranker(_train(spark, sf), FEATURES, "trees")
+    return model.transform(_features(spark, sf).where("d >= DATE '1999-09-01'")).select("contest", "participant", "score")
+
+
+@query()
+def m2_fit_platt(spark, sf):
+    e = scored(spark, sf).withColumn("win", (F.col("position") == 1).cast("int")).drop("p")
+    platt = L.fit_platt(e.where("d < DATE '1999-09-01'"), "score", "win")
+    return platt(e.where("d >= DATE '1999-09-01'")).groupBy("season").agg(F.count("*").alias("n"), brier(F.col("p"), F.col("win")).alias("brier"), log_loss(F.col("p"), F.col("win")).alias("log_loss"))
+
+
+@query()
+def m3_fit_isotonic(spark, sf):
+    e = scored(spark, sf).withColumn("win", (F.col("position") == 1).cast("int"))
+    iso = L.fit_isotonic(e.where("d < DATE '1999-09-01'"), "p", "win")
+    return iso(e.where("d >= DATE '1999-09-01'")).select("contest", "participant", "calibrated")
+
+
+@query()
+def m4_fit_meta(spark, sf):
+    e = H.pressure(ranked(spark, sf).withColumns({"implied": 1 / F.col("odds"), "win": (F.col("position") == 1).cast("int")}), "discount")
+    meta = L.fit_meta(e.where("d < DATE '1999-09-01'"), ["score", "implied", "advantage"], "win")
+    return meta(e.where("d >= DATE '1999-09-01'")).select("contest", "participant", "meta_p")
+
+
+@query()
+def m5_importance(spark, sf):
+    return L.importance(spark, L.fit_ranker(_train(spark, sf), FEATURES, "trees"))
+
+
+@query(sql("SELECT feature, round(mean_abs, 6) AS mean_abs, round(100 * mean_abs / sum(mean_abs) OVER (), 4) AS percent, 100 * mean_abs / sum(mean_abs) OVER () >= 2 AS kept FROM (SELECT 'discount' AS feature, avg(abs(10 * (discount - m1))) AS mean_abs FROM MM UNION ALL SELECT 'weight', avg(abs(0.01 * (weight - m2))) FROM MM UNION ALL SELECT 'odds', avg(abs(-0.002 * (odds - m3))) FROM MM)", "MM AS (SELECT *, avg(discount) OVER () AS m1, avg(weight) OVER () AS m2, avg(odds) OVER () AS m3 FROM E)"))
+def m6_attribution(spark, sf):
+    out = L.attribution(entries(spark, sf), L.LinearRanker(["discount", "weight", "odds"], [10.0, 0.01, -0.002]))
+    return out.select("feature", F.round("mean_abs", 6).alias("mean_abs"), F.round("percent", 4).alias("percent"), "kept")
+
+
+@query()
+def m7_walk_forward(spark, sf):
+    out = L.walk_forward(_features(spark, sf), folds(spark, first=1998), FEATURES)
+    return out.select("fold", "contest", "participant", "score", "p")
+
+
+_DCG = "sum(CASE WHEN {r} <= 3 THEN (pow(2.0::DOUBLE, rel) - 1) / log2({r} + 1) ELSE 0 END)"
+
+
+@query(sql(f"SELECT contest, round({_DCG.format(r='got')} / nullif({_DCG.format(r='best')}, 0), 6) AS ndcg FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY score DESC, participant) AS got, row_number() OVER (PARTITION BY contest ORDER BY rel DESC, participant) AS best FROM (SELECT *, greatest(0, 15 - position) AS rel FROM RK)) GROUP BY contest"))
+def m8_ndcg(spark, sf):
+    return L.ndcg(scored(spark, sf), "score", relevance(F.col("position"), 15), 3).select("contest", F.round("ndcg", 6).alias("ndcg"))
+
+
+@query()
+def s12_save_load_model(spark, sf):
+    path = workspace(spark, "model")
+    L.save_model(L.fit_ranker(_train(spark, sf), FEATURES, "trees").model, path)
+    again = L.TreeRanker(FEATURES, L.load_model(path))
+    return again.transform(_features(spark, sf).where("d >= DATE '2000-09-01'")).select("contest", "participant", "score")
