@@ -1,35 +1,15 @@
-"""What the corpus operators share: shared storage, shipping of the package, skew-safe helpers."""
+"""What the corpus operators share: shared storage, files in it, texts and ids."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so that tasks can import it anywhere."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    target = os.path.join(tempfile.mkdtemp(prefix="tallyard-ship-"), "tallyard.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED.add(app)
-
+from tallyard.sources.shipping import ship  # noqa: F401
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, text_of
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def slices(texts: pa.Array) -> Iterator[pa.Array]:
