@@ -4,7 +4,8 @@ Records are response records, or revisits of one with an equal payload. The read
 by frame, and refuses records with a wrong version line, missing or malformed headers, lengths that differ from the
 bytes there, or payloads that differ from their digest.
 
-Defined results: null html is an empty payload; a null page_id or url has no header; of rows that repeat the largest
+Defined results: null html is an empty payload; a null page_id or url has no header; a url comes back
+percent-encoded where it has characters that a header can't hold; of rows that repeat the largest
 page_id of equal payloads all are responses; null page_ids are never the largest unless there are no others; an empty
 table gives no archive; other columns are ignored.
 """
@@ -47,6 +48,11 @@ def _dict(data: bytes) -> zstandard.ZstdCompressionDict:
     return zstandard.ZstdCompressionDict(data)
 
 
+def target(url: str) -> str:
+    """A url as it can stand in a header."""
+    return urllib.parse.quote(url, safe="%/:?#[]@!$&'()*+,;=-._~")
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, keeper: int | None) -> bytes:
     """One WARC record; with keeper, a revisit of that page's response, without the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -60,7 +66,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: bytes,
         ("Content-Length", str(len(block))),
     ]
     if url is not None:
-        head.append(("WARC-Target-URI", urllib.parse.quote(url, safe="%/:?#[]@!$&'()*+,;=-._~")))
+        head.append(("WARC-Target-URI", target(url)))
     if keeper is not None:
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{keeper}>")]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -125,7 +131,7 @@ def parse(data: bytes) -> dict:
         raise ValueError("the block is no HTTP response")
     digest = base64.b32decode(fields.get("warc-payload-digest", "").removeprefix("sha1:"))
     page = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">")) if x.startswith("<urn:page:") else None
-    out = {"page_id": page(fields["warc-record-id"]), "url": urllib.parse.unquote(fields["warc-target-uri"]) if "warc-target-uri" in fields else None, "record_type": fields["warc-type"], "payload_bytes": int(own["content-length"]), "payload_digest": digest.hex(), "refers_to": None, "payload": None}
+    out = {"page_id": page(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_bytes": int(own["content-length"]), "payload_digest": digest.hex(), "refers_to": None, "payload": None}
     if out["record_type"] == "response":
         if len(payload) != out["payload_bytes"] or hashlib.sha1(payload).digest() != digest:
             raise ValueError("the payload differs from its length or digest")
