@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
 Centroids and codebooks are fitted on at most TRAIN_ROWS vectors, drawn by a hash of their ids; every vector is
-indexed. A query visits the lists of its nearest centroids, ranks their rows by asymmetric distances (its own residual,
+indexed. How many lists a query visits is measured on that sample: enough to hold COVERAGE of the true neighbours of
+some of its rows. A query visits the lists of its nearest centroids, ranks their rows by asymmetric distances (its own residual,
 exact, to the rows' codes), and computes exact distances in double precision for the best of each list block.
 
 Lists longer than LIST_ROWS are split into blocks that are searched apart, and so are the queries that visit a list;
@@ -26,7 +27,9 @@ TRAIN_ROWS = 20_000
 LIST_ROWS = 8_192
 QUERY_ROWS = 512
 RERANK = 256
-PROBES = 24
+#: Share of the sample's true neighbours whose lists must be among those visited.
+COVERAGE = 0.97
+COVERAGE_QUERIES = 200
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -72,6 +75,21 @@ class Quantiser:
         left = sample - self.coarse[nearest(sample, self.coarse)[0]]
         self.books = [k_means(left[:, c], min(256, len(left)), 6, rng) for c in self.cuts]
 
+        self.probes = self._enough(sample, rng)
+
+    def _enough(self, sample: np.ndarray, rng: np.random.Generator, k: int = 10) -> int:
+        own, _ = nearest(sample, self.coarse)
+        squares, ranks = (sample**2).sum(1), []
+        for q in rng.permutation(len(sample))[:COVERAGE_QUERIES]:
+            d = squares - 2 * sample @ sample[q]
+            d[q] = np.inf
+            near = np.argpartition(d, min(k, len(d) - 1))[:k]
+            order = np.argsort(((self.coarse - sample[q]) ** 2).sum(1), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            ranks.append(place[own[near]])
+        return int(np.quantile(np.concatenate(ranks), COVERAGE, method="higher")) + 1
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """List and codes of each row."""
         x = x.astype(np.float32)
@@ -134,13 +152,14 @@ def build_index(spark: SparkSession, vectors: DataFrame, lists: int | None = Non
     return model, settle(good.mapInArrow(index, INDEX), "vector-lists")
 
 
-def nearest_neighbours(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 10, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
+def nearest_neighbours(spark: SparkSession, vectors: DataFrame, every: int = 100, k: int = 10, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, the k nearest found."""
     built = build_index(spark, vectors)
     schema = "query_id long, rank int, vec_id long, score double"
     if built is None:
         return spark.createDataFrame([], schema)
     model, index = built
+    probes = probes or model.probes
     given = spark.sparkContext.broadcast(model)
     # As many rows as there are lists, which the quantiser bounds.
     counts = {r["cell"]: (r["n"], r["q"]) for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}

@@ -100,14 +100,23 @@ def test_recall_and_exact_scores(spark, monkeypatch):
     assert hits >= 0.9 * 10 * len(by)
 
 
+def test_recall_without_clusters(spark):
+    x = np.random.default_rng(3).normal(size=(6000, 48)).astype(np.float32)
+    rows = list(enumerate(x.tolist()))
+    want = brute(rows, 48)
+    got = ann.nearest_neighbours(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).groupBy("query_id").agg(F.collect_set("vec_id").alias("x")).collect()
+    assert sum(len(set(r["x"]) & {i for i, _ in want[r["query_id"]][0]}) for r in got) >= 9 * len(want)
+
+
 def test_few_and_none(spark):
     one = lambda rows: ann.nearest_neighbours(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
     assert one([]) == [] and one([(0, [0.0, 0.0])]) == [] and one([(0, [1.0, 0.0])]) == []
     assert [(r["vec_id"], r["score"]) for r in one([(0, [1.0, 0.0]), (5, [1.0, 1.0]), (3, [1.0, 1.0])])] == [(3, 1.0), (5, 1.0)]
 
 
-def test_recall_on_the_given_vectors(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     want = brute(rows, len(rows[0][1]))
     got = ann.nearest_neighbours(spark, df).groupBy("query_id").agg(F.collect_set("vec_id").alias("x")).collect()
