@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyard.functions.scalars import season_label
+
 # ---- joins
 
 
@@ -131,6 +133,11 @@ def top_peak(df: DataFrame, key: str, value: str, label: str, k: int) -> DataFra
     return peak.orderBy(F.desc("peak"), key).limit(k)
 
 
+def season_counts(df: DataFrame, d: str = "d", contest: str = "contest") -> DataFrame:
+    """Entries and contests of each season."""
+    return df.groupBy(season_label(F.col(d)).alias("season")).agg(F.count("*").alias("n"), F.count_distinct(contest).alias("contests"))
+
+
 def brier(p: Column, y: Column) -> Column:
     return F.avg((p - y) * (p - y))
 
@@ -155,6 +162,11 @@ def top_n(e: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame
     return e.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= n)
 
 
+def bottom_n(e: DataFrame, by: list[str], c: str, n: int, tie: str = "participant") -> DataFrame:
+    """The n smallest of each group."""
+    return top_n(e, by, [F.asc(c), F.asc(tie)], n)
+
+
 def arg_max(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """The row of each group with the greatest order."""
     best = df.groupBy(*by).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("x"))

@@ -244,7 +244,7 @@ def a7_top_peak(spark, sf):
 
 @query(with_entries("SELECT season, count(*) AS n, count(DISTINCT contest) AS contests FROM E GROUP BY season"))
 def a8_season_counts(spark, sf):
-    return entries(spark, sf).groupBy("season").agg(F.count("*").alias("n"), F.count_distinct("contest").alias("contests"))
+    return R.season_counts(entries(spark, sf))
 
 
 @query("""WITH X AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey % 10 AS no FROM orders), H AS (SELECT d, count(DISTINCT no) AS n, max(no) AS highest FROM X GROUP BY d),
@@ -270,10 +270,13 @@ def k1_chronological(spark, sf):
     from pyspark.sql import Window
 
     e = entries(spark, sf).where("season = '2000/2001'")
-    # Numbers by contest first: the window over all rows sees one row a contest.
+    # The only window over everything sees one row a day; contests are numbered within their days.
     sizes = e.groupBy("d", "contest").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("d", "contest").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return e.join(sizes.select("contest", before.alias("before")), "contest").select("contest", "participant", (F.col("before") + F.col("position")).alias("n"))
+    w = Window.partitionBy("d").orderBy("contest").rowsBetween(Window.unboundedPreceding, -1)
+    days = sizes.groupBy("d").agg(F.sum("size").alias("day_size"))
+    days = days.select("d", F.coalesce(F.sum("day_size").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("day_before"))
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).join(days, "d")
+    return e.join(sizes.select("contest", "before", "day_before"), "contest").select("contest", "participant", (F.col("day_before") + F.col("before") + F.col("position")).alias("n"))
 
 
 @query(with_entries("SELECT contest, participant, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY discount DESC, participant) AS rn FROM E) WHERE rn <= 3"))
@@ -283,7 +286,7 @@ def k2_top_n(spark, sf):
 
 @query(with_entries("SELECT contest, participant, CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY odds, participant) AS rn FROM E) WHERE rn <= 2"))
 def k3_bottom_n(spark, sf):
-    return R.top_n(entries(spark, sf), ["contest"], [F.col("odds"), F.col("participant")], 2).select("contest", "participant", "rn")
+    return R.bottom_n(entries(spark, sf), ["contest"], "odds", 2).select("contest", "participant", "rn")
 
 
 @query(with_entries("SELECT contest, max_by(participant, (discount * odds, -participant)) AS participant FROM E GROUP BY contest"))
