@@ -151,6 +151,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = N
     trained = spark.sparkContext.broadcast(dictionary([bytes(r["payload"]) for r in sample.select("payload").collect()]))
 
     shared = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where("n > 1").drop("n")
+    shared = settle(shared, "payloads")  # plain rows on both sides of the join, so that Spark can split a large group
     keeper = F.when((F.col("size") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     rows = rows.join(shared, "digest", "left").select("page_id", "url", "payload", "digest", keeper.alias("keeper"))
 
