@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fresh, ship, text_of
+from .common import fresh, settle, ship, text_of
 
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -54,5 +54,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str, cache: s
 
     # Two runs may have appended the same miss at the same time.
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Stored, so that the join reads plain rows on both sides and Spark can split a digest that very many rows have.
+    counts = settle(counts, "counts")
     joined = keyed.select("doc_id", "n_bytes", "digest").join(counts, "digest")
     return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
