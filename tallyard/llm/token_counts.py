@@ -42,8 +42,9 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str, cache: s
     keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
 
     known = read_cache(spark, cache).where(F.col("version") == version).select("digest", "n_tokens")
-    # Copies within a partition meet before the shuffle, so that large groups of them cost one row a partition.
-    new = keyed.select("digest", "text").join(known.select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    # Copies within a partition meet before the shuffle, so that large groups of them cost one row a partition; the cache
+    # is asked after it, by the same partitioning.
+    new = keyed.select("digest", "text").dropDuplicates(["digest"]).join(known.select("digest"), "digest", "left_anti")
 
     def encode(batches):
         count = tokens.counter(vocabulary).count
