@@ -2,8 +2,10 @@
 
 Centroids and codebooks are fitted on at most TRAIN_ROWS vectors, drawn by a hash of their ids; every vector is
 indexed. How many lists a query visits is measured on that sample: enough to hold COVERAGE of the true neighbours of
-some of its rows. A query visits the lists of its nearest centroids, ranks their rows by asymmetric distances (its own residual,
-exact, to the rows' codes), and computes exact distances in double precision for the best of each list block.
+some of its rows. A query visits the lists of its nearest centroids and ranks their rows by asymmetric distances (its own residual,
+exact, to the rows' codes). Exact distances in double precision of the best RERANK of each list block give a bound; the index
+holds how far each row is from its codes, and every other row that could be within the bound is compared exactly as well, so
+that the nearest of a visited list are always found.
 
 Lists longer than LIST_ROWS are split into blocks that are searched apart, and so are the queries that visit a list;
 nothing is capped. Copies of a vector have one code, and ties go to the smaller id at every step.
@@ -97,40 +99,56 @@ class Quantiser:
         left = x - self.coarse[own]
         return own, np.stack([nearest(left[:, c], b)[0] for c, b in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Distance of each row to what its list and codes stand for."""
+        left = x - self.coarse[own].astype(np.float64)
+        return np.sqrt(sum(((left[:, c] - b[codes[:, k]]) ** 2).sum(1) for k, (c, b) in enumerate(zip(self.cuts, self.books, strict=True))))
+
     def table(self, query: np.ndarray, cell: int) -> np.ndarray:
-        """Squared distances of the query's residual to each codebook's entries: parts x 256."""
-        left = query.astype(np.float32) - self.coarse[cell]
-        out = np.full((len(self.books), 256), np.float32(np.inf))
+        """Squared distances of the query's residual to each codebook's entries, in double precision as bounds rest on them: parts x 256."""
+        left = query - self.coarse[cell].astype(np.float64)
+        out = np.full((len(self.books), 256), np.inf)
         for k, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)):
             out[k, : len(b)] = ((left[c] - b) ** 2).sum(1)
         return out
 
 
 def search_block(cell: int, q: pd.DataFrame, rows: pd.DataFrame, model: Quantiser, k: int, rerank: int) -> pd.DataFrame:
-    """The k nearest rows of one list block for each query: best by codes first, then exactly."""
+    """The k nearest rows of one list block for each query, exactly: the best by codes, then all that may be as near as their k-th."""
     rows = rows.sort_values("vec_id", ignore_index=True)
     ids = rows["vec_id"].to_numpy()
     codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
     exact = np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(len(rows), -1)
+    error = rows["error"].to_numpy()
     parts = np.arange(codes.shape[1])
+    # In slices, as all rows of a block may have to be compared.
+    distances = lambda at, own: np.concatenate([np.sqrt(((exact[at[j : j + 1024]] - own) ** 2).sum(1)) for j in range(0, max(1, len(at)), 1024)])
     out = []
     for query_id, vector in zip(q["query_id"], q["vector"], strict=True):
         own = np.frombuffer(vector, np.float64)
         rough = model.table(own, cell)[parts, codes].sum(1)
-        rough[ids == query_id] = np.inf
-        best = np.argsort(rough, kind="stable")[:rerank]
-        best = best[ids[best] != query_id]
-        score = np.sqrt(((exact[best] - own) ** 2).sum(1))
+        near, others = np.sqrt(rough), ids != query_id
+        rough[~others] = np.inf
+        first = np.argsort(rough, kind="stable")[: max(rerank, k)]
+        first = first[others[first]]
+        score = distances(first, own)
+        kth = np.partition(score, k - 1)[k - 1] if len(score) >= k else np.inf
+        # A row is at least as far as its codes are, less its error; the margin is for rounding, and what can't be told is compared.
+        least = near - error - 1e-9 * (near + error + np.sqrt((own**2).sum()))
+        more = others & ~(least > kth)
+        more[first] = False
+        more = np.flatnonzero(more)
+        best, score = np.concatenate([first, more]), np.concatenate([score, distances(more, own)])
         top = np.lexsort((ids[best], score))[:k]
         out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[best[top]], "score": score[top]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
 
-INDEX = "vec_id long, cell int, codes binary, vector binary"
+INDEX = "vec_id long, cell int, codes binary, error double, vector binary"
 
 
 def build_index(spark: SparkSession, vectors: DataFrame, lists: int | None = None, train_rows: int = TRAIN_ROWS) -> tuple[Quantiser, DataFrame] | None:
-    """The fitted quantiser, and the index in shared storage: vec_id, cell, codes, vector (float64). None if no row takes part."""
+    """The fitted quantiser, and the index in shared storage: vec_id, cell, codes, error, vector (float64). None if no row takes part."""
     ship(spark)
     good = usable(vectors)
     sizes = good.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
@@ -147,7 +165,7 @@ def build_index(spark: SparkSession, vectors: DataFrame, lists: int | None = Non
             if b.num_rows:
                 x = np.array(b.column("embedding").to_pylist(), np.float64)
                 cell, codes = given.value.encode(x)
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "cell", "codes", "vector"])
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(given.value.errors(x, cell, codes), pa.float64()), pa.array([v.tobytes() for v in x], pa.binary())], ["vec_id", "cell", "codes", "error", "vector"])
 
     return model, settle(good.mapInArrow(index, INDEX), "vector-lists")
 
@@ -184,7 +202,7 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, every: int = 100
 
     queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "vector").mapInArrow(visit, "query_id long, vector binary, cell int, block int, part int")
     per_cell = lambda a: F.element_at(F.array(*[F.lit(int(v)) for v in a]), F.col("cell") + 1)
-    rows = index.select("vec_id", "codes", "vector", "cell", F.pmod(F.xxhash64("vec_id"), per_cell(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), per_cell(parts) - 1)).alias("part"))
+    rows = index.select("vec_id", "codes", "error", "vector", "cell", F.pmod(F.xxhash64("vec_id"), per_cell(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), per_cell(parts) - 1)).alias("part"))
 
     def compare(key, q: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(rows):

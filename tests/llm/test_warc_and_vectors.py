@@ -3,6 +3,7 @@ import random
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,37 @@ def test_recall_without_clusters(spark):
     assert sum(len(set(r["x"]) & {i for i, _ in want[r["query_id"]][0]}) for r in got) >= 9 * len(want)
 
 
+def test_recall_within_a_large_group_of_near_copies(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(24_000, 32))
+    group = r.permutation(len(x))[:4000]
+    x[group] = x[group[0]] + r.normal(size=(len(group), 32)) * 0.001
+    asked = {int(i) for i in group if i % 100 == 0}
+    got = ann.nearest_neighbours(spark, spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).groupBy("query_id").agg(F.collect_set("vec_id").alias("x")).collect()
+    hits = 0
+    for q in (q for q in got if q["query_id"] in asked):
+        s = np.sqrt(((x - x[q["query_id"]]) ** 2).sum(1))
+        s[q["query_id"]] = np.inf
+        hits += len(set(q["x"]) & set(np.argsort(s, kind="stable")[:10].tolist()))
+    assert hits >= 9.9 * len(asked)
+
+
+def test_the_nearest_of_a_list_are_found(spark):
+    r = np.random.default_rng(6)
+    near = r.normal(size=32) + r.normal(size=(3000, 32)) * 0.001
+    model = ann.Quantiser(np.concatenate([r.normal(size=(3000, 32)), near[:5]]), 8)
+    cell, codes = model.encode(near)
+    at = np.flatnonzero(cell == np.bincount(cell).argmax())
+    assert len(at) > 2000
+    rows = pd.DataFrame({"vec_id": at, "codes": [c.tobytes() for c in codes[at]], "error": model.errors(near, cell, codes)[at], "vector": [v.tobytes() for v in near[at]]})
+    asked = at[::100]
+    got = ann.search_block(int(cell[at[0]]), pd.DataFrame({"query_id": asked, "vector": [near[i].tobytes() for i in asked]}), rows, model, 10, 256)
+    for q in asked:
+        s = np.sqrt(((near[at] - near[q]) ** 2).sum(1))
+        order = [int(i) for i in at[np.lexsort((at, s))] if i != q][:10]
+        assert got.loc[got["query_id"] == q, "vec_id"].tolist() == order
+
+
 def test_few_and_none(spark):
     one = lambda rows: ann.nearest_neighbours(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
     assert one([]) == [] and one([(0, [0.0, 0.0])]) == [] and one([(0, [1.0, 0.0])]) == []
