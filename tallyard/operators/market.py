@@ -195,11 +195,11 @@ SPECS: dict[str, Spec] = {
 }
 
 
-def run_strategy(scored: DataFrame, spec: Spec, top_entries: int = 5) -> DataFrame:
+def run_strategy(scored: DataFrame, spec: Spec, top_entries: int = 7) -> DataFrame:
     """contest, d, season, staked, returned, won: one row a contest that the strategy bets on.
 
-    scored: entries with score and p (probabilities that add up to 1 in a contest). Fields are cut to top_entries
-    before triples are made, so a contest has at most ten.
+    scored: entries with score and p (probabilities that add up to 1 in a contest). Kind best takes all triples
+    of the top_entries first by score: at most 35 a contest, as the rules have it.
     """
     e = H.min_field(H.public_rank(H.share(H.rank_in_contest(scored, "score"), 1 / F.col("odds"), "q")), spec.min_field)
     if spec.regime:

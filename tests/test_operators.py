@@ -1,7 +1,9 @@
 """Invariants of ratings, centrality, features, settlement and ledgers on small contests."""
 
 import datetime as dt
+import math
 import random
+from itertools import combinations, permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,3 +94,33 @@ def test_every_strategy_runs(e):
     for name in ("v3", "v6_1", "v8_2", "v14", "v18", "v26", "v30", "v32"):
         out = M.run_strategy(scored, M.SPECS[name]).collect()
         assert all(r["staked"] > 0 and (r["won"] == 1 or r["returned"] == 0) for r in out), name
+
+
+def field_of(n, contest=1):
+    """A contest of n entries, the model's order 0 to n - 1, against public odds that favour the last of them."""
+    r = random.Random(n)
+    weight = [math.exp(-k / 9) for k in range(n)]
+    p = [w / sum(weight) for w in weight]
+    return [(contest, dt.date(2000, 1, 1), k, 0, 1.0, 1.0, 0.1, 1400, "2000", n - k, 2 + (n - k) * r.uniform(0.8, 2.5), 50.0, -float(k), p[k]) for k in range(n)]
+
+
+@pytest.mark.parametrize("n", [3, 6, 7, 12])
+def test_best_takes_all_triples_of_the_top_seven(spark, n):
+    rows = field_of(n)
+    scored = spark.createDataFrame(rows, E + ", score double, p double").repartition(3)
+    p, odds = [r[-1] for r in rows], [r[10] for r in rows]
+    q = [1 / o / sum(1 / o for o in odds) for o in odds]
+    trio = lambda x, c: sum(x[i] * x[j] / (1 - x[i]) * x[k] / (1 - x[i] - x[j]) for i, j, k in permutations(c)) if n > 3 else 1.0
+    made = {}
+    for c in combinations(range(min(n, 7)), 3):
+        hit, pay = trio(p, c), 0.77 / trio(q, c)
+        edge = ((pay - 1) * hit - (1 - hit)) / (pay - 1) if pay > 1 else 0
+        if hit * pay >= 1.05 and edge > 0:
+            made[c] = (edge, pay, all(n - k <= 3 for k in c))
+    got = M.run_strategy(scored, M.SPECS["v26"]).collect()
+    assert n < 7 or max(k for c in made for k in c) == 6
+    assert [(b["staked"], b["returned"]) for b in got] == [(10.0 * len(made), pytest.approx(sum(10 * pay for _, pay, won in made.values() if won), abs=1e-3))] * bool(made)
+    best = max(made.values(), default=None)
+    for name in ("v27", "v28"):
+        got = M.run_strategy(scored, M.SPECS[name]).collect()
+        assert [(b["staked"], b["won"]) for b in got] == ([(10.0, int(best[2]))] if best else [])
