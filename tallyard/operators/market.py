@@ -209,7 +209,11 @@ def run_strategy(scored: DataFrame, spec: Spec, top_entries: int = 7) -> DataFra
     head = e.select(*base).distinct()
     if spec.kind == "single":
         picks = e.where((F.col("model_rank") <= spec.top) & (F.col("public_rank") >= spec.min_public_rank))
-        stake = F.lit(float(spec.stake)) if not spec.cap else F.least(P.kelly(F.col("p"), F.col("odds"), spec.mult), F.lit(spec.cap)) * 10_000
+        share, left = P.kelly(F.col("p"), F.col("odds"), spec.mult), F.lit(spec.cap)
+        if spec.top > 1:  # the contest's bets use up the cap in the order of rank
+            before = H.contest_window().orderBy("model_rank").rowsBetween(Window.unboundedPreceding, -1)
+            left = F.greatest(F.lit(0.0), left - F.coalesce(F.sum(share).over(before), F.lit(0.0)))
+        stake = F.lit(float(spec.stake)) if not spec.cap else F.least(share, left) * 10_000
         bets = picks.withColumn("staked", stake).where("staked > 0").withColumn("won", (F.col("position") == 1).cast("int"))
         bets = bets.withColumn("returned", F.col("staked") * F.col("won") * F.col("odds"))
     elif spec.kind == "box":

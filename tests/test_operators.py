@@ -124,3 +124,21 @@ def test_best_takes_all_triples_of_the_top_seven(spark, n):
     for name in ("v27", "v28"):
         got = M.run_strategy(scored, M.SPECS[name]).collect()
         assert [(b["staked"], b["won"]) for b in got] == ([(10.0, int(best[2]))] if best else [])
+
+
+@pytest.mark.parametrize("name", ["v6_1", "v7_1"])
+def test_bets_of_a_contest_share_its_cap(spark, name):
+    p = [0.3, 0.25, 0.2, 0.15, 0.1]
+    odds = [[3.6, 4.5, 90.0, 2.0, 3.0], [30.0, 30.0, 90.0, 2.0, 3.0], [9.0, 1.5, 90.0, 1.6, 3.0], [2.0, 2.1, 2.2, 9.0, 30.0]]
+    rows = [(c, dt.date(2000, 1, 1), k, 0, 1.0, 1.0, 0.1, 1400, "2000", 5 - k, o[k], 50.0, -float(k), p[k]) for c, o in enumerate(odds) for k in range(5)]
+    want = {}
+    for c, o in enumerate(odds):
+        total = 0.0
+        for k in range(3):
+            f = (p[k] - (1 - p[k]) / (o[k] - 1)) * 0.25
+            if sum(x < o[k] for x in o) >= 2 and f > 0:
+                total += min(f, 0.05 - total)
+        if total:
+            want[c] = pytest.approx(total * 10_000, abs=1e-3)
+    got = M.run_strategy(spark.createDataFrame(rows, E + ", score double, p double"), M.SPECS[name]).collect()
+    assert {r["contest"]: r["staked"] for r in got} == want and len(want) == 3
