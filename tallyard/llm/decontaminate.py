@@ -176,7 +176,8 @@ def matches(spark: SparkSession, index: DataFrame, benchmark: DataFrame, window:
     ship(spark)
     if window + near >= GAP:
         raise ValueError(f"window and near reach {GAP} words or more")
-    texts = benchmark.select("item_id", text_of(benchmark).alias("text"))
+    # Rows that repeat an item count once; left in, they would all be dealt to one block, however large.
+    texts = settle(benchmark.select("item_id", text_of(benchmark).alias("text")).dropDuplicates(), "items")
     blocks = 1 + int(texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // ITEM_BYTES
     found = None
     for k in range(blocks):

@@ -77,3 +77,15 @@ def test_empty(spark, docs_of):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.judge(spark, docs_of([]), bench).count() == 0
     assert [r["n_words"] for r in decontaminate.judge(spark, docs_of([(1, "a b")]), bench).collect()] == [2]
+
+
+def test_rows_that_repeat_an_item_do_not_fill_a_block(spark, docs_of, monkeypatch):
+    docs, items = corpus()
+    taken, query = [], decontaminate._query
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 400)
+    monkeypatch.setattr(decontaminate, "_query", lambda spark, index, mine, window: taken.append(mine) or query(spark, index, mine, window))
+    result = lambda rows: sorted((tuple(r[c] for c in ("doc_id", "n_words", "n_hit", "items", "contaminated")) for r in decontaminate.judge(spark, docs_of(docs), spark.createDataFrame(rows, "item_id long, text string")).collect()), key=str)
+    once = result(items)
+    taken.clear()
+    assert result(items + [items[3]] * 500) == once
+    assert sum(map(len, taken)) == len({(i, t or "") for i, t in items})
