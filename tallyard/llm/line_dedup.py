@@ -1,18 +1,24 @@
 """Line dedup by content-defined chunks, in DataFrame functions alone.
 
-The hash of each line rolls into one over WINDOW neighbouring lines. Where that hash is divisible by a number a chunk
-ends, so borders depend on the lines around them and not on their position, and come back wherever a passage does.
-A passage's part before its first border, or one too short to hold two borders, has no whole chunk: for these the
-rolling windows themselves stand as the smallest chunks, and a line of min_words words or more stands for itself.
+The hash of each line rolls into one over WINDOW neighbouring lines, and of each `spread` neighbouring rolling hashes the
+least ends a chunk. Borders thus depend on a few lines around them and not on their position, and come back wherever a
+passage does. A line of min_words / (2 spread) words or more is a chunk of its own. So any passage of min_words words
+that stands at two places has a chunk in common there: with over 2 spread lines it holds two borders that its own lines
+decide, and with fewer it holds such a long line.
 
-Chunks are compared by their lines' hashes, and lines with one hash by their bytes: where lines that differ share a
-hash, chunks with such a line are left alone, so equal chunks are equal byte by byte. A chunk's first place (by doc_id,
-then line) stays. The chunks found again elsewhere cover stretches of lines, and stretches of min_words words or more
-are removed. The first place of any line is thus never removed.
+A chunk that stands at an earlier place too (by doc_id, then line) is a repeat. Where it does, it is extended line by
+line to both sides, and with the chunks beside it that repeat the same document at the same distance it makes up one
+stretch, the longest that both places share. Stretches and their sources are then compared byte by byte; where a group
+of equal hashes holds different bytes, all of it stays. What overlaps is taken together, and stretches of min_words
+words or more go. The first place of any line is never removed: each removed line has an equal one at an earlier place.
+
+min_words tells passages from lines that documents share by nature (headings, greetings, notices); 50 words are about
+a paragraph.
 
 Defined results: null texts stay null and empty ones empty; a document removed whole has an empty text; rows that
 repeat both doc_id and text are one document and get the same result; null ids come last; an empty table gives no
-rows; all other columns of docs are kept as they are.
+rows; all other columns of docs are kept as they are, whatever they are called (but for columns with the names of those
+that dedup_lines adds, which it replaces).
 """
 
 from __future__ import annotations
@@ -20,85 +26,129 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import free_names, settle
 
 WINDOW = 2
+MIN_WORDS = 50
+SPREAD = 2
 NO_ID = (1 << 63) - 1
+#: Rolling hashes are taken modulo a prime, of digits small enough for longs.
+DIGITS, BASE, PRIME = 7, 31, 268_435_399
+ADDED = ("n_lines", "n_removed_lines", "n_removed_words")
 
 
 def words_in(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[^ \t\r\n]+"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """id, key, lines, hs: the lines of every document that has any, and their hashes."""
+def border_digit(line: Column) -> Column:
+    """A number from the line's MD5, the same in any engine."""
+    return F.conv(F.substring(F.md5(line), 1, DIGITS), 16, 10).cast("long")
+
+
+def chunks(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREAD, hash_of=F.xxhash64) -> DataFrame:
+    """id, key, a, b, h, before, after: every chunk with a word in it, by its first and last line, its hash, and the
+    hashes of the lines beside it, nearest first."""
     rows = docs.where(F.length("text") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), F.split("text", "\n").alias("lines"))
-    return rows.withColumn("hs", F.transform("lines", lambda x: F.xxhash64(x)))
-
-
-def spans(docs: DataFrame, min_words: int, divisor: int) -> DataFrame:
-    """id, key, a, b, h: every chunk of every document by its first and last line and its hash."""
-    rows = _lines(docs)
-    line_numbers = F.sequence(F.lit(0), F.size("lines") - 1)
-    rows = rows.withColumn("roll", F.transform("hs", lambda h, i: F.when(i >= WINDOW - 1, F.xxhash64(F.slice("hs", i - (WINDOW - 2), F.lit(WINDOW))))))
-    rows = rows.withColumn("ends", F.filter(line_numbers, lambda i: (i == F.size("lines") - 1) | (F.pmod(F.get("roll", i), F.lit(divisor)) == 0)))
-    span = lambda a, b, h: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), h.alias("h"))
-    hashed = lambda a, b: F.xxhash64(F.slice("hs", a + 1, b - a + 1))
-    begins = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("ends", k - 1) + 1)
-    chunks = F.filter(F.transform("ends", lambda e, k: span(begins(k), e, hashed(begins(k), e))), lambda s: s["b"] - s["a"] >= WINDOW)
-    windows = F.transform(F.filter(line_numbers, lambda i: i >= WINDOW - 1), lambda i: span(i - (WINDOW - 1), i, F.get("roll", i)))
-    long_lines = F.transform(F.filter(line_numbers, lambda i: words_in(F.get("lines", i)) >= min_words), lambda i: span(i, i, hashed(i, i)))
-    return rows.select("id", "key", F.explode(F.concat(chunks, windows, long_lines)).alias("s")).select("id", "key", "s.a", "s.b", "s.h")
-
-
-def ambiguous_hashes(docs: DataFrame) -> DataFrame:
-    """h of the lines that differ in their bytes from another line with the same hash.
-
-    Lines meet by their hash, copies within a task as one; the least and the greatest of them are equal only if all are.
-    """
-    lines = _lines(docs).select(F.explode(F.arrays_zip("hs", "lines")).alias("x")).select(F.col("x.hs").alias("h"), F.col("x.lines").alias("line"))
-    return lines.groupBy("h").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("h")
-
-
-def repeated_stretches(docs: DataFrame, min_words: int, divisor: int) -> DataFrame:
-    """id, key, stretches (array of first and last line): what chunks found earlier elsewhere cover."""
-    every = spans(docs, min_words, divisor)
-    first = every.groupBy("h").agg(F.min(F.struct("id", "key", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = every.join(first, "h").where(F.struct("id", "key", "a") != F.col("first")).select("id", "key", "a", "b")
-    doubt = settle(ambiguous_hashes(docs), "line-hashes")
-    if doubt.head(1):
-        # Chunks with a line whose hash does not tell its bytes stay; chunks of other lines are equal in every byte.
-        lines = _lines(docs).select("id", "key", F.posexplode("hs").alias("i", "h")).join(doubt, "h").select(F.col("id").alias("_i"), F.col("key").alias("_k"), "i")
-        later = later.join(lines, (F.col("id") == F.col("_i")) & (F.col("key") == F.col("_k")) & F.col("i").between(F.col("a"), F.col("b")), "left_anti")
-    w = Window.partitionBy("id", "key").orderBy("a", "b")
-    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    later = later.withColumn("new", F.when(reach >= F.col("a"), 0).otherwise(1)).withColumn("n", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = later.groupBy("id", "key", "n").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return islands.groupBy("id", "key").agg(F.collect_list(F.struct("a", "b")).alias("stretches"))
+    rows = rows.withColumns({"hs": F.transform("lines", lambda x: F.xxhash64(x)), "digits": F.transform("lines", border_digit), "words": F.transform("lines", words_in)})
+    n, reach = F.size("lines"), spread + 1
+    rolled = lambda i: F.pmod(sum((F.get("digits", i - j) * BASE**j for j in range(1, WINDOW)), F.get("digits", i)), F.lit(PRIME))
+    rows = rows.withColumn("roll", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i >= WINDOW - 1, rolled(i))))
+    # The first of the least of each group of neighbouring rolling hashes.
+    group = lambda s: F.slice("roll", s + 1, F.lit(spread))
+    least = lambda s: s - 1 + F.array_position(group(s), F.array_min(group(s)))
+    none = F.array().cast("array<long>")
+    rolling = F.when(n >= WINDOW - 1 + spread, F.transform(F.sequence(F.lit(WINDOW - 1), n - spread), lambda s: least(s).cast("long"))).otherwise(none)
+    alone = lambda i: F.coalesce(F.get("words", i) * (2 * spread) >= min_words, F.lit(False))
+    lines = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i.cast("long"))
+    rows = rows.withColumn("ends", F.array_sort(F.array_distinct(F.concat(rolling, F.filter(lines, lambda i: alone(i.cast("int")) | alone((i + 1).cast("int")) | (i == n - 1))))))
+    begins = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("ends", k - 1) + 1).cast("int")
+    chunk = lambda a, b: F.struct(
+        a.alias("a"), b.alias("b"), hash_of(F.slice("hs", a + 1, b - a + 1)).alias("h"), F.exists(F.slice("words", a + 1, b - a + 1), lambda w: w > 0).alias("has_words"),
+        F.reverse(F.slice("hs", F.greatest(a - reach, F.lit(0)) + 1, F.least(a, F.lit(reach)))).alias("before"), F.slice("hs", b + 2, F.lit(reach)).alias("after"),
+    )
+    every = rows.select("id", "key", F.explode(F.transform("ends", lambda e, k: chunk(begins(k), e.cast("int")))).alias("c"))
+    return every.where("c.has_words").select("id", "key", "c.a", "c.b", "c.h", "c.before", "c.after")
+
+
+def _shared(x: str, y: str, reach: int) -> Column:
+    """How many elements two arrays have in common from the start on."""
+    return F.size(F.filter(F.sequence(F.lit(0), F.lit(reach - 1)), lambda k: (F.size(x) > k) & (F.size(y) > k) & (F.slice(x, F.lit(1), k + 1) == F.slice(y, F.lit(1), k + 1))))
+
+
+def stretches(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREAD, hash_of=F.xxhash64) -> DataFrame:
+    """id, key, a, b, id0, key0, a0: lines a to b of a document repeat those from a0 on of one that stands before it, as
+    far as hashes tell."""
+    every = chunks(docs, min_words, spread, hash_of)
+    # Counts first, so that neighbours travel with chunks that repeat and not with all; tables are stored so that plain
+    # rows meet in joins, and Spark can split a hash that very many chunks have.
+    again = settle(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated-hashes")
+    found = settle(every.join(again, "h"), "repeated-chunks")
+    first = settle(found.groupBy("h").agg(F.min(F.struct("id", "key", "a", "before", "after")).alias("x")), "first-places")
+    first = first.select("h", F.col("x.id").alias("id0"), F.col("x.key").alias("key0"), F.col("x.a").alias("a0"), F.col("x.before").alias("before0"), F.col("x.after").alias("after0"))
+    later = found.join(first, "h").where(F.struct("id", "key", "a") != F.struct("id0", "key0", "a0"))
+    own = ["id", "key", "id0", "key0", "shift"]
+    later = later.select("id", "key", "id0", "key0", (F.col("a") - F.col("a0")).alias("shift"), (F.col("a") - _shared("before", "before0", spread + 1)).alias("a"), (F.col("b") + _shared("after", "after0", spread + 1)).alias("b"))
+    w = Window.partitionBy(*own).orderBy("a", "b")  # one order for both, so that equal rows follow each other alike
+    reached = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("new", F.when(reached + 1 >= F.col("a"), 0).otherwise(1)).withColumn("n", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = later.groupBy(*own, "n").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return whole.select("id", "key", "a", "b", "id0", "key0", (F.col("a") - F.col("shift")).alias("a0"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, divisor: int = 4) -> DataFrame:
+SPANS = "array<struct<repeat:boolean,a:int,b:int,g:bigint>>"
+
+
+def _with_spans(docs: DataFrame, found: DataFrame, names: dict[str, str]) -> DataFrame:
+    """docs with the stretches of each, repeats and sources, beside it."""
+    g = F.xxhash64("id0", "key0", "a0", F.col("b") - F.col("a"))
+    pairs = found.select("id", "key", F.struct(F.lit(True).alias("repeat"), "a", "b", g.alias("g")).alias("s"))
+    sources = found.select(F.col("id0").alias("id"), F.col("key0").alias("key"), F.struct(F.lit(False).alias("repeat"), F.col("a0").alias("a"), (F.col("a0") + F.col("b") - F.col("a")).alias("b"), g.alias("g")).alias("s")).distinct()
+    spans = pairs.unionByName(sources).groupBy(F.col("id").alias(names["id"]), F.col("key").alias(names["key"])).agg(F.collect_set("s").alias(names["spans"]))
+    marked = docs.withColumns({names["own"]: F.coalesce("doc_id", F.lit(NO_ID)), names["text"]: F.xxhash64("text")})
+    return marked.join(spans, (F.col(names["own"]) == F.col(names["id"])) & (F.col(names["text"]) == F.col(names["key"])), "left").drop(names["own"], names["text"])
+
+
+def _differing(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """g of the groups whose stretches are not all the same bytes: the least and the greatest are equal only if all are."""
+    each = rows.where(F.col(names["spans"]).isNotNull()).select("text", F.explode(names["spans"]).alias("s"))
+    body = F.array_join(F.slice(F.split("text", "\n"), F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + 1), "\n")
+    return each.select(F.col("s.g").alias("g"), body.alias("body")).groupBy("g").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low <> high").select("g")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREAD, hash_of=F.xxhash64) -> DataFrame:
     """docs with repeated passages taken out of text, and n_lines, n_removed_lines, n_removed_words beside them."""
-    found = repeated_stretches(docs, min_words, divisor).withColumnRenamed("id", "_ld_id").withColumnRenamed("key", "_ld_key")
-    marked = docs.withColumn("_ld_own", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_ld_text", F.xxhash64("text"))
-    rows = marked.join(found, (F.col("_ld_own") == F.col("_ld_id")) & (F.col("_ld_text") == F.col("_ld_key")), "left")
-    rows = rows.withColumn("_ld_lines", F.split("text", "\n"))
-    size = lambda s: F.aggregate(F.slice("_ld_lines", s["a"] + 1, s["b"] - s["a"] + 1), F.lit(0), lambda n, x: n + words_in(x))
-    rows = rows.withColumn("_ld_gone", F.filter(F.coalesce("stretches", F.array().cast("array<struct<a:int,b:int>>")), lambda s: size(s) >= min_words))
-    kept = F.filter("_ld_lines", lambda x, i: ~F.exists("_ld_gone", lambda s: (i >= s["a"]) & (i <= s["b"])))
-    changed = F.size("_ld_gone") > 0
-    total = lambda f: F.aggregate("_ld_gone", F.lit(0), lambda n, s: n + f(s))
-    out = [F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ADDED]
+    docs = docs.drop(*ADDED)
+    keys = ["id", "key", "spans", "own", "text", "lines", "gone"]
+    names = dict(zip(keys, free_names([f"ld_{k}" for k in keys], docs.columns), strict=True))
+    rows = settle(_with_spans(docs, stretches(docs, min_words, spread, hash_of), names), "documents-with-stretches", compression="zstd")
+    doubt = settle(_differing(rows, names), "differing-stretches")
+    if doubt.head(1):
+        # Rare: stretches of these groups are taken off the documents that have them.
+        each = rows.select(names["id"], names["key"], F.explode(names["spans"]).alias("s")).distinct().join(doubt, F.col("s.g") == F.col("g"), "left_anti")
+        fine = each.groupBy(F.col(names["id"]).alias(names["own"]), F.col(names["key"]).alias(names["text"])).agg(F.collect_set("s").alias(names["lines"]))
+        rows = rows.join(fine, (F.col(names["id"]) == F.col(names["own"])) & (F.col(names["key"]) == F.col(names["text"])), "left")
+        rows = rows.withColumn(names["spans"], F.col(names["lines"])).drop(names["own"], names["text"], names["lines"])
+    rows = rows.withColumn(names["lines"], F.split("text", "\n"))
+    repeats = F.array_sort(F.transform(F.filter(F.coalesce(names["spans"], F.array().cast(SPANS)), lambda s: s["repeat"]), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    last = lambda done: F.get(done, F.size(done) - 1)
+    wider = lambda done, s: F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last(done)["a"].alias("a"), F.greatest(last(done)["b"], s["b"]).alias("b"))))
+    joined = F.aggregate(repeats, none, lambda done, s: F.when((F.size(done) > 0) & (last(done)["b"] >= s["a"]), wider(done, s)).otherwise(F.concat(done, F.array(s))))
+    size = lambda s: F.aggregate(F.slice(names["lines"], s["a"] + 1, s["b"] - s["a"] + 1), F.lit(0), lambda n, x: n + words_in(x))
+    rows = rows.withColumn(names["gone"], F.filter(joined, lambda s: size(s) >= min_words))
+    kept = F.filter(names["lines"], lambda x, i: ~F.exists(names["gone"], lambda s: (i >= s["a"]) & (i <= s["b"])))
+    total = lambda f: F.aggregate(names["gone"], F.lit(0), lambda n, s: n + f(s))
+    out = [F.when(F.size(names["gone"]) > 0, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(
-        *out, F.when(F.length("text") > 0, F.size("_ld_lines")).otherwise(0).cast("long").alias("n_lines"),
+        *out, F.when(F.length("text") > 0, F.size(names["lines"])).otherwise(0).cast("long").alias("n_lines"),
         total(lambda s: s["b"] - s["a"] + 1).cast("long").alias("n_removed_lines"), total(size).cast("long").alias("n_removed_words"),
     )
 
 
-ADDED = ("n_lines", "n_removed_lines", "n_removed_words")
-
-
-def without_repeats(docs: DataFrame, min_words: int = 50, divisor: int = 4) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREAD) -> DataFrame:
     """docs, its own columns alone, with repeated passages taken out of text."""
-    clash = {c: f"_ld_kept_{c}" for c in docs.columns if c in ADDED}
-    return dedup_lines(docs.withColumnsRenamed(clash), min_words, divisor).drop(*ADDED).withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    kept = dict(zip(ADDED, free_names([f"ld_kept_{c}" for c in ADDED], docs.columns), strict=True))
+    there = {c: kept[c] for c in ADDED if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(there), min_words, spread).drop(*ADDED)
+    return out.withColumnsRenamed({v: k for k, v in there.items()}).select(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import settle, ship, text_of
+from .common import settle, ship, text_of, thrifty
 
 SHARD_TOKENS = 1 << 25
 SHARD_ROWS = 400_000
@@ -75,7 +75,7 @@ def pieces(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int |
     tail = np.array([] if end_id is None else [end_id], "<u4")
 
     def cut(batches):
-        encoder, task, n = tokens.id_encoder(vocabulary), TaskContext.get().partitionId() << 40, 0
+        encoder, task, n = tokens.id_encoder(vocabulary), TaskContext.get().partitionId() << 32, 0
         for b in batches:
             ids, borders = encoder.encode(b.column("text"))
             rows = []
@@ -89,24 +89,27 @@ def pieces(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int |
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), names, strict=True)], schema=names)
 
-    return settle(docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(cut, PIECES), "pieces")
+    return settle(docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(thrifty(cut, ("ids", vocabulary)), PIECES), "pieces")
 
 
 def _dealt(rows: DataFrame, shards: int, capacity: int, level: int) -> DataFrame:
     """row_id, length, sequence_id, offset, free: each shard of rows packed by itself."""
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "row_id"], ascending=[False, True], ignore_index=True)
         where, offset, free = sum_of_squares(pdf["length"].to_numpy(), capacity)
         left = free[where] if len(free) else np.zeros(len(pdf), np.int64)
-        return pd.DataFrame({"row_id": pdf["row_id"], "length": pdf["length"], "sequence_id": (level << 56) + (int(key[0]) << 32) + where, "offset": offset, "free": left})
+        return pd.DataFrame({"row_id": pdf["row_id"], "length": pdf["length"], "sequence_id": -1 - ((level << 56) + (int(key[0]) << 32) + where), "offset": offset, "free": left})
 
     return rows.withColumn("shard", F.pmod(F.xxhash64("row_id"), F.lit(shards))).groupBy("shard").applyInPandas(pack, "row_id long, length long, sequence_id long, offset long, free long")
 
 
 def assign(rows: DataFrame, capacity: int = 4096, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """sequence_id and offset of every (row_id, length) of a stored table; lengths are at most capacity."""
-    full = rows.where(F.col("length") == capacity).select("row_id", (F.lit(127 << 56) + F.col("row_id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    """sequence_id and offset of every (row_id, length) of a stored table; lengths are at most capacity.
+
+    row_ids are not negative. A full piece's sequence has its row_id, and sequences of shards have negative numbers.
+    """
+    full = rows.where(F.col("length") == capacity).select("row_id", F.col("row_id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, done, level, before = rows.where(F.col("length") < capacity).select("row_id", "length"), [full], 0, None
     while True:
         n, total = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()

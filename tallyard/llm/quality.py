@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, ship, text_of
+from .common import held_out, ship, text_of, thrifty
 from .words import labelled_sample, slices, split
 
 BUCKETS = 1 << 16
@@ -144,5 +144,5 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, limit: float = 0.5
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(given.value.score(b.column("text")))], ["doc_id", "score"])
 
-    out = docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(mark, "doc_id long, score double")
+    out = docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(thrifty(mark), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, ship, text_of
+from .common import free_names, settle, ship, text_of, thrifty
 from .components import components
 
 SEGMENTS = 5
@@ -55,7 +55,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame, shingle: int = 4) -> Data
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
     rows = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("text_key"), text_of(docs).alias("text"))
-    return rows.mapInArrow(mark, "doc_id long, text_key long, fp long")
+    return rows.mapInArrow(thrifty(mark), "doc_id long, text_key long, fp long")
 
 
 def widths(segments: int = SEGMENTS) -> list[int]:
@@ -153,7 +153,8 @@ def near_links(spark: SparkSession, classes: DataFrame, limit: int = 4) -> DataF
     if limit >= SEGMENTS:
         raise ValueError("budgets need more segments than differing bits")
     masks = np.array([chain_masks(s) for s in range(SEGMENTS)], np.uint64)
-    rows = keyed(classes)
+    # A row becomes some forty: more partitions than the few that the fingerprints fill by themselves.
+    rows = keyed(classes.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "fp"))
     heavy = rows.groupBy("k").count().where(F.col("count") > BLOCK).select("k", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     # A heavy key's rows go to one block by their hash, and each block meets each other and itself.
     own = F.pmod(F.xxhash64("fp", "home"), F.coalesce("blocks", F.lit(1))).cast("int")
@@ -187,7 +188,7 @@ def near_links(spark: SparkSession, classes: DataFrame, limit: int = 4) -> DataF
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return spread.mapInArrow(compare, "a long, b long").distinct()
+    return spread.mapInArrow(thrifty(compare), "a long, b long").distinct()
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFrame:
@@ -206,7 +207,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 4, limit: int
     groups = near_groups(spark, docs, shingle, limit)
     # Only rows that carry their group's id remain here; of these, repeated and null ids leave one a group.
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
-    kept = kept.select(F.col("x.doc_id").alias("_keep_id"), F.col("x.text_key").alias("_keep_key"))
-    id_, key = F.col("doc_id"), F.xxhash64(text_of(docs))
-    one = docs.withColumn("_keep_text_key", key).join(kept, id_.eqNullSafe(F.col("_keep_id")) & (F.col("_keep_text_key") == F.col("_keep_key")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_keep_text_key"]).drop("_keep_text_key")
+    key, kept_id, kept_key = free_names(["text_key", "kept_id", "kept_key"], docs.columns)
+    kept = kept.select(F.col("x.doc_id").alias(kept_id), F.col("x.text_key").alias(kept_key))
+    one = docs.withColumn(key, F.xxhash64(text_of(docs))).join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
+    return one.dropDuplicates(["doc_id", key]).drop(key)

@@ -1,20 +1,31 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
-OP1 = r"""
+_X = "CAST(('0x' || substr(md5(line), 1, 7)) AS BIGINT)"
+OP1 = rf"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-lines AS (SELECT doc_id, u.i - 1 AS i, u.line AS line, len(regexp_extract_all(u.line, '[^ \t\r\n]+')) AS words
-          FROM docs, unnest(list_transform(lines, lambda x, i: {'i': i, 'line': x})) AS t(u) WHERE text <> ''),
-spans AS (
-  SELECT doc_id, i - 1 AS a, i AS b, before || chr(10) || line AS body
-  FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM lines) WHERE before IS NOT NULL
-  UNION ALL SELECT doc_id, i, i, line FROM lines WHERE words >= 50),
-later AS (SELECT doc_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS n FROM spans) WHERE n > 1),
-marked AS (SELECT *, CASE WHEN max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a THEN 0 ELSE 1 END AS fresh FROM later),
+L AS (SELECT doc_id, u.i - 1 AS i, u.line AS line, len(regexp_extract_all(u.line, '[^ \t\r\n]+')) AS words
+      FROM docs, unnest(list_transform(lines, lambda x, i: {{'i': i, 'line': x}})) AS t(u) WHERE text <> ''),
+R AS (SELECT *, (lag(x) OVER w * 31 + x) % 268435399 AS roll, lead(words) OVER w AS next_words, lead(i) OVER w AS next_i
+      FROM (SELECT *, {_X} AS x FROM L) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ends AS (SELECT DISTINCT doc_id, CASE WHEN roll <= next_roll THEN i ELSE i + 1 END AS b FROM (SELECT *, lead(roll) OVER (PARTITION BY doc_id ORDER BY i) AS next_roll FROM R) WHERE roll IS NOT NULL AND next_roll IS NOT NULL
+         UNION SELECT doc_id, i FROM R WHERE words >= 13 OR next_words >= 13 OR next_i IS NULL),
+cut AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY b) + 1, 0) AS a, b FROM ends),
+C AS (SELECT * FROM (SELECT cut.*, array_to_string(list_slice(lines, a + 1, b + 1), chr(10)) AS body FROM cut JOIN docs USING (doc_id)) WHERE regexp_matches(body, '[^ \t\r\n]')),
+F AS (SELECT body, min(struct_pack(doc_id := doc_id, a := a)) AS place FROM C GROUP BY body HAVING count(*) > 1),
+later AS (SELECT DISTINCT c.doc_id, f.doc0, c.a - f.a AS shift,
+    c.a - CASE WHEN c.a < 1 OR f.a < 1 OR d.lines[c.a] <> s.lines[f.a] THEN 0 WHEN c.a < 2 OR f.a < 2 OR d.lines[c.a - 1] <> s.lines[f.a - 1] THEN 1 WHEN c.a < 3 OR f.a < 3 OR d.lines[c.a - 2] <> s.lines[f.a - 2] THEN 2 ELSE 3 END AS a,
+    c.b + CASE WHEN len(d.lines) < c.b + 2 OR len(s.lines) < f.b + 2 OR d.lines[c.b + 2] <> s.lines[f.b + 2] THEN 0 WHEN len(d.lines) < c.b + 3 OR len(s.lines) < f.b + 3 OR d.lines[c.b + 3] <> s.lines[f.b + 3] THEN 1
+               WHEN len(d.lines) < c.b + 4 OR len(s.lines) < f.b + 4 OR d.lines[c.b + 4] <> s.lines[f.b + 4] THEN 2 ELSE 3 END AS b
+  FROM (SELECT C.*, F.place.doc_id AS doc0, F.place.a AS a0 FROM C JOIN F ON F.body = C.body WHERE C.doc_id <> F.place.doc_id OR C.a <> F.place.a) c
+  JOIN LATERAL (SELECT c.doc0 AS doc0, c.a0 AS a, c.a0 + c.b - c.a AS b) f ON true JOIN docs d ON d.doc_id = c.doc_id JOIN docs s ON s.doc_id = c.doc0),
+grown AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, doc0, shift ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS n FROM
+  (SELECT *, CASE WHEN max(b) OVER (PARTITION BY doc_id, doc0, shift ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 >= a THEN 0 ELSE 1 END AS fresh FROM later)) GROUP BY doc_id, doc0, shift, n),
+marked AS (SELECT *, CASE WHEN max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= a THEN 0 ELSE 1 END AS fresh FROM (SELECT DISTINCT doc_id, a, b FROM grown)),
 islands AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS n FROM marked) GROUP BY doc_id, n),
-sized AS (SELECT s.doc_id, s.a, s.b, sum(l.words) AS words FROM islands s JOIN lines l ON l.doc_id = s.doc_id AND l.i BETWEEN s.a AND s.b GROUP BY ALL),
+sized AS (SELECT s.doc_id, s.a, s.b, sum(l.words) AS words FROM islands s JOIN L l ON l.doc_id = s.doc_id AND l.i BETWEEN s.a AND s.b GROUP BY ALL),
 gone AS (SELECT * FROM sized WHERE words >= 50),
 per AS (SELECT doc_id, sum(b - a + 1) AS n_lines, sum(words) AS n_words FROM gone GROUP BY doc_id),
-kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text FROM lines l
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text FROM L l
          WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = l.doc_id AND l.i BETWEEN g.a AND g.b) GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(CASE WHEN d.text <> '' THEN len(d.lines) ELSE 0 END AS BIGINT) AS n_lines, CAST(coalesce(p.n_lines, 0) AS BIGINT) AS n_removed_lines,
        CAST(coalesce(p.n_words, 0) AS BIGINT) AS n_removed_words, CASE WHEN p.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fresh, open_fs, settle, ship, text_of, write_file
+from .common import fresh, open_fs, settle, ship, text_of, thrifty, write_file
 
 BLOCK_BYTES = 256 << 10
 BLOOM_BITS = 10
@@ -177,13 +177,14 @@ def write_shards(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id:
     Returns the manifest, one row a shard: path, n_docs, n_ids, first_key, last_key. Rows are dealt out by ranges of
     doc_id, and each task encodes and writes as it reads, so memory holds one batch and one block. A task's file has
     a name of its own attempt, and only the manifest's files count: lost and repeated tasks leave nothing behind that
-    is read. Null texts are empty, null ids come first, rows that repeat an id stay side by side in the order of their
-    texts, an empty table gives no shards, and other columns are ignored.
+    is read. Null texts are empty, null ids come first, rows that repeat an id stay side by side in an order
+    of their texts' hashes, maybe over several shards, an empty table gives no shards, and other columns are ignored.
     """
     ship(spark)
     folder = folder or fresh(spark, "sstable")
     rows = docs.select("doc_id", text_of(docs).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    mark = F.xxhash64("text")  # so that an id which very many rows have is dealt to several shards
+    rows = rows.repartitionByRange("doc_id", mark).sortWithinPartitions("doc_id", mark, "text")
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches):
@@ -204,7 +205,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id:
         row = {"path": path} | summary
         yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())]))
 
-    return settle(rows.mapInArrow(write, MANIFEST), "manifest")
+    return settle(rows.mapInArrow(thrifty(write, ("ids", vocabulary)), MANIFEST), "manifest")
 
 
 READ_BYTES = 8 << 20
@@ -232,4 +233,4 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), names, strict=True)], schema=names)
 
     spread = based.repartition(max(1, spark.sparkContext.defaultParallelism) * 4, F.xxhash64("path"))
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return spread.mapInArrow(thrifty(read), "doc_id long, start long, n_tokens long, ids binary")

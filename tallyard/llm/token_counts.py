@@ -1,7 +1,8 @@
 """Token counts behind a digest cache.
 
-A text's key is the SHA-256 of its UTF-8 bytes (null as empty) beside the SHA-256 of the vocabulary file. Counts that
-the cache has are joined; only distinct misses are encoded, and appended to the cache.
+A text's key is the SHA-256 of its normalised UTF-8 bytes beside the SHA-256 of the vocabulary file. Normalised are null
+texts (empty) and, under a vocabulary that drops spaces, runs of spaces and those at the ends; nothing that could change
+a count. Counts that the cache has are joined; only distinct misses are encoded, and appended to the cache.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; rows with a null or repeated doc_id are counted like
 any other, row by row; an empty table gives no rows and leaves the cache as it is; extra columns are ignored.
@@ -9,15 +10,17 @@ any other, row by row; an empty table gives no rows and leaves the cache as it i
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import fresh, settle, ship, text_of
+from .common import fresh, settle, ship, text_of, thrifty
 
-CACHE_SCHEMA = "version string, digest binary, n_tokens long"
+CACHE_SCHEMA = "version string, digest binary, n_tokens long, run string"
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -31,15 +34,16 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str, cache: str | None = None, limit: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row of docs.
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row of docs, and cached (its count was in the cache).
 
     cache: a folder of Parquet files in shared storage, kept from run to run; by default a new one.
     """
     ship(spark)
     cache = cache or fresh(spark, "token-cache")
-    version = tokens.version_digest(vocabulary)
+    version, run = tokens.version_digest(vocabulary), uuid.uuid4().hex
     text = text_of(docs)
-    keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
+    same = F.trim(F.regexp_replace(text, " +", " ")) if tokens.drops_spaces(vocabulary) else text
+    keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(same.cast("binary"), 256)).alias("digest"), same.alias("text"))
 
     known = read_cache(spark, cache).where(F.col("version") == version).select("digest", "n_tokens")
     # Copies within a partition meet before the shuffle, so that large groups of them cost one row a partition; the cache
@@ -51,11 +55,11 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str, cache: s
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(count(b.column("text")), pa.int64())], ["digest", "n_tokens"])
 
-    new.mapInArrow(encode, "digest binary, n_tokens long").select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache)
+    new.mapInArrow(thrifty(encode, ("counter" if vocabulary.endswith(".model") else "ids", vocabulary)), "digest binary, n_tokens long").select(F.lit(version).alias("version"), "digest", "n_tokens", F.lit(run).alias("run")).write.mode("append").parquet(cache)
 
     # Two runs may have appended the same miss at the same time.
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"), (F.count_if(F.col("run") != run) > 0).alias("cached"))
     # Stored, so that the join reads plain rows on both sides and Spark can split a digest that very many rows have.
     counts = settle(counts, "counts")
     joined = keyed.select("doc_id", "n_bytes", "digest").join(counts, "digest")
-    return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached")

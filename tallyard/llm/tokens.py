@@ -10,7 +10,6 @@ all texts under a tokenizer of another layout.
 from __future__ import annotations
 
 import array
-import functools
 import hashlib
 import json
 import os
@@ -20,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_WORDS = 500_000
-KEEP_WORDS = 300_000
+from .common import resident
+
+CACHE_WORDS = 200_000
+KEEP_WORDS = 120_000
 LONG_WORD = 80
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 ASK = 64
 #: Two white spaces in a row, one at either end, or one that is neither space nor newline. Wide on purpose: it also has
 #: characters that only some libraries call white space.
@@ -160,30 +161,40 @@ class IdEncoder:
         return ids, np.diff(at)
 
 
-@functools.lru_cache(maxsize=4)
 def id_encoder(name: str) -> IdEncoder:
-    """One encoder, with its cache, for each worker process and vocabulary."""
-    return IdEncoder(name)
+    """The worker process's encoder, with its cache."""
+    return resident(("ids", name), lambda: IdEncoder(name))
+
+
+def drops_spaces(name: str) -> bool:
+    """Do runs of spaces, and spaces at the ends, not count? The library is asked; special strings with spaces rule it out."""
+    if name.endswith(".model"):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=place(name))
+        ids, special = sp.encode, [sp.id_to_piece(k) for k in range(sp.get_piece_size()) if sp.is_control(k)]
+    else:
+        encoder = IdEncoder(name)
+        ids, special = (lambda t: encoder.library([t])[0]), encoder.special
+    return not any(" " in s for s in special) and ids("  a   b, c  \n  d ") == ids("a b, c \n d")
 
 
 class Counter:
     """Token counts of texts as the vocabulary's own library gives them."""
 
     def __init__(self, name: str):
-        self.ids = self.sp = None
+        self.name, self.sp = name, None
         if name.endswith(".model"):
             import sentencepiece
 
             self.sp = sentencepiece.SentencePieceProcessor(model_file=place(name))
-        else:
-            self.ids = id_encoder(name)
 
     def count(self, texts: pa.Array) -> list[int]:
-        if self.ids:
-            return np.diff(self.ids.encode(texts)[1]).tolist()
-        return [len(self.sp.encode(t, num_threads=1)) if t else 0 for t in texts.to_pylist()]
+        if self.sp is None:
+            return np.diff(id_encoder(self.name).encode(texts)[1]).tolist()
+        return [len(self.sp.encode(t.as_py(), num_threads=1)) if t.is_valid else 0 for t in texts]
 
 
-@functools.lru_cache(maxsize=4)
 def counter(name: str) -> Counter:
-    return Counter(name)
+    """The worker process's counter."""
+    return resident(("counter", name), lambda: Counter(name)) if name.endswith(".model") else Counter(name)

@@ -2,12 +2,14 @@
 
 A word is the bag of its character n-grams, with marks at both ends, hashed into BUCKETS embeddings; words that share
 n-grams share vectors, so misspellings and endings not met in training are scored by what they have in common with
-others. N-grams of fewer than LEAST_TEXTS texts of the sample have the zero vector. Embeddings are averaged over a stretch of WINDOW words and go through a linear softmax. A text's score is that
-of its worst stretch, so that a long text is not cleared by its length.
+others. N-grams of fewer than LEAST_TEXTS texts of the sample have the zero vector. Words of over LONG_WORD bytes are
+taken as several. Embeddings are averaged over a stretch of WINDOW words and go through a linear softmax. A text's score
+is that of its worst stretch, so that a long text is not cleared by its length.
 
 Training knows labels of texts only. Each text weighs as much as any other of its label, dealt out over its stretches:
-at first evenly, then by how toxic the model finds them so far, so the worst stretches of either kind count most. The softmax is linear in the average, so for scoring
-each bucket comes down to one number, a word to the mean of its buckets' numbers, and a stretch to a moving mean.
+at first evenly, then by how toxic the model finds them so far, so the worst stretches of either kind count most. The
+softmax is linear in the average, so for scoring each bucket comes down to one number, a word to the mean of its
+buckets' numbers, and a stretch to a moving mean.
 
 Defined results: null and empty texts, and those without letters, score as a stretch without words does (the bias
 alone); without labelled rows of both kinds all scores are 0; rows with null or repeated ids are scored row by row; an
@@ -22,8 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, ship, text_of
-from .words import labelled_sample, slices, split
+from .common import held_out, ship, text_of, thrifty
+from .words import cut_long, labelled_sample, slices, split
 
 BUCKETS = 1 << 17
 DIMENSIONS = 4
@@ -32,6 +34,9 @@ WINDOW = 6
 SAMPLE = {0: 1600, 1: 800}
 LEAST_TEXTS = 10
 MOST_BYTES = 100_000
+#: Bytes from which on a word is taken as several.
+LONG_WORD = 200
+BYTES_AT_ONCE = 200_000
 NOT_LETTERS = r"[^\p{L}]+"
 _PRIME = np.uint64(0x100000001B3)
 
@@ -75,13 +80,22 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
+    def word_values(self, words: pa.Array) -> np.ndarray:
+        """The mean of each word's buckets' weights, for words of some BYTES_AT_ONCE at a time."""
+        ends = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False))
+        cuts = np.unique([0, *np.searchsorted(ends, np.arange(BYTES_AT_ONCE, ends[-1] if len(words) else 0, BYTES_AT_ONCE)), len(words)])
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = words.slice(a, b - a)
+            bucket, owner = subwords(part)
+            out.append(np.bincount(owner, self.weights[bucket], minlength=len(part)) / np.bincount(owner, minlength=len(part)))
+        return np.concatenate(out) if out else np.zeros(0)
+
     def score(self, texts: pa.Array) -> np.ndarray:
         out = []
         for part in slices(texts):
-            distinct, codes, borders = split(pc.utf8_lower(part), NOT_LETTERS)
-            bucket, owner = subwords(distinct)
-            n = np.bincount(owner, minlength=len(distinct))
-            value = np.bincount(owner, self.weights[bucket], minlength=len(distinct)) / np.maximum(n, 1)
+            distinct, codes, borders = cut_long(*split(pc.utf8_lower(part), NOT_LETTERS), LONG_WORD)
+            value = self.word_values(distinct)
             total = np.concatenate([[0], np.cumsum(value[codes])])
             worst = np.full(len(part), self.bias)
             for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False)):
@@ -98,7 +112,7 @@ def fit(sample: list[tuple[str, int]], steps: int = 45, even_steps: int = 12, ra
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), -50.0)
     rng = np.random.default_rng(seed)
-    distinct, codes, borders = split(pc.utf8_lower(pa.array([t for t, _ in sample], pa.large_string())), NOT_LETTERS)
+    distinct, codes, borders = cut_long(*split(pc.utf8_lower(pa.array([t for t, _ in sample], pa.large_string())), NOT_LETTERS), LONG_WORD)
     bucket, owner = subwords(distinct)
     per_word = np.bincount(owner, minlength=len(distinct)).astype(np.float32)
     texts_of = np.zeros(BUCKETS, np.int64)  # in how many texts each bucket is met
@@ -161,19 +175,17 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, limit: float = 0.7
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(given.value.score(b.column("text")))], ["doc_id", "score"])
 
-    out = docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(mark, "doc_id long, score double")
+    out = docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(thrifty(mark), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
-    """Rows of docs, all columns, that score below limit. Scores are worked out beside the rows, without a shuffle."""
+    """Rows of docs, all columns, that score below limit. Rows pass through the workers, without a shuffle."""
     ship(spark)
-    given = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def toxic(text):
-        import pandas as pd
+    given, at = spark.sparkContext.broadcast(model), docs.columns.index("text")
 
-        return pd.Series(given.value.score(pa.array(text, pa.string(), from_pandas=True)))
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(given.value.score(b.column(at)) < limit))
 
-    return docs.where(toxic(text_of(docs)) < limit)
+    return docs.mapInArrow(thrifty(keep), docs.schema)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, open_fs, settle, ship, write_file
+from .common import fresh, open_fs, settle, ship, thrifty, write_file
 
 MAGIC = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
@@ -147,8 +147,11 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = N
     folder = folder or fresh(spark, "warc")
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).alias("size"), F.unhex(F.sha1(payload)).alias("digest"))
-    sample = rows.where(F.col("size").between(1, SAMPLE_PAGE_BYTES)).orderBy(F.xxhash64("page_id", "digest"), "page_id").limit(SAMPLE_PAGES)
-    trained = spark.sparkContext.broadcast(dictionary([bytes(r["payload"]) for r in sample.select("payload").collect()]))
+    # Digests are drawn first, so that partitions send a few of these, and only the drawn pages' payloads follow.
+    sized = rows.where(F.col("size").between(1, SAMPLE_PAGE_BYTES))
+    drawn = [bytes(r["digest"]) for r in sized.select(F.xxhash64("digest").alias("x"), "digest").distinct().orderBy("x", "digest").limit(SAMPLE_PAGES).collect()]
+    sample = sized.where(F.col("digest").isin(drawn)).groupBy("digest").agg(F.any_value("payload").alias("payload")).orderBy("digest").collect() if drawn else []
+    trained = spark.sparkContext.broadcast(dictionary([bytes(r["payload"]) for r in sample]))
 
     shared = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where("n > 1").drop("n")
     shared = settle(shared, "payloads")  # plain rows on both sides of the join, so that Spark can split a large group
@@ -178,7 +181,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str | None = N
             path = write_file(folder, "pages.warc.zst", archive(trained.value, some()))
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count], pa.int64())], ["path", "n_records"])
 
-    return settle(rows.mapInArrow(write, "path string, n_records long"), "archives")
+    return settle(rows.mapInArrow(thrifty(write), "path string, n_records long"), "archives")
 
 
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
@@ -206,4 +209,4 @@ def read_archives(spark: SparkSession, archives: DataFrame, payloads: bool = Tru
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
     listed = archives.select("path").repartition(4 * spark.sparkContext.defaultParallelism, F.xxhash64("path"))
-    return listed.mapInArrow(read, RECORD + ", payload binary" * payloads)
+    return listed.mapInArrow(thrifty(read), RECORD + ", payload binary" * payloads)

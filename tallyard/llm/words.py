@@ -45,6 +45,17 @@ def split(texts: pa.Array, pattern: str | None) -> tuple[pa.Array, np.ndarray, n
     return coded.dictionary.cast(pa.large_binary()), coded.indices.to_numpy(zero_copy_only=False), borders
 
 
+def cut_long(distinct: pa.Array, codes: np.ndarray, borders: np.ndarray, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What split gives, with words of over most bytes taken as so many words of up to most bytes."""
+    pieces = np.maximum(1, -(-pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64) // most))
+    if not len(pieces) or pieces.max() == 1:
+        return distinct, codes, borders
+    cut = pa.array([w[k : k + most] for w in distinct.to_pylist() for k in range(0, max(1, len(w)), most)], pa.large_binary())
+    starts, n = np.cumsum(pieces) - pieces, pieces[codes]
+    ends = np.cumsum(n)
+    return cut, np.repeat(starts[codes] - ends + n, n) + np.arange(ends[-1]), np.concatenate([[0], ends])[borders]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: dict[int, int], most_bytes: int) -> list[tuple[str, int]]:
     """(text, label) of up to per_label rows of each label, drawn by a hash of the id from the rows that are not held out.
 

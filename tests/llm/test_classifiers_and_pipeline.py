@@ -1,10 +1,14 @@
 """Held-out accuracy of the classifiers, and the pipeline stage by stage against brute force."""
 
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+from pyspark.sql import functions as F
 from test_decontaminate import brute as judged
 from test_line_dedup import brute as deduped
 from test_simhash import slow_groups
@@ -48,6 +52,66 @@ def test_odd_texts(spark, docs_of, operator):
     assert operator.score(spark, docs_of(rows), model).count() == 4 and operator.score(spark, docs_of([]), model).count() == 0
 
 
+def slow_toxicity(model, text):
+    """Word by word, n-gram by n-gram, stretch by stretch."""
+    words = [w.encode() for w in regex.split(r"[^\p{L}]+", (text or "").lower()) if w]
+    words = [w[k : k + toxicity.LONG_WORD] for w in words for k in range(0, len(w), toxicity.LONG_WORD)]
+    values, mask = [], (1 << 64) - 1
+    for w in words:
+        w, hashes = b"<" + w + b">", []
+        for g in toxicity.GRAMS:
+            for k in range(len(w) - g + 1):
+                h = 0
+                for c in w[k : k + g]:
+                    h = (h * 0x100000001B3 + c + 1) & mask
+                hashes.append(h ^ g)
+        hashes.append(sum((c + 1) * pow(0x100000001B3, k, 1 << 64) for k, c in enumerate(w)) & mask)
+        buckets = [(h * 0x9E3779B97F4A7C15 & mask) >> (64 - (toxicity.BUCKETS.bit_length() - 1)) for h in hashes]
+        values.append(sum(model.weights[b] for b in buckets) / len(buckets))
+    n = min(toxicity.WINDOW, len(values))
+    worst = max((sum(values[k : k + n]) for k in range(len(values) - n + 1)), default=0.0) if values else 0.0
+    return 1 / (1 + np.exp(-(model.bias + worst / toxicity.WINDOW)))
+
+
+def slow_quality(model, text):
+    """Vector by vector, in plain loops."""
+    words = [w.encode() for w in regex.sub(r"([^\p{L}\p{N}\s]+)", r" \1 ", text or "").split()]
+    x = np.zeros(2 * quality.DIMENSIONS + 2)
+    if words:
+        vector = lambda w: model.vectors[zlib.crc32(w) % quality.BUCKETS].astype(float)
+        x[: quality.DIMENSIONS] = sum(vector(w) for w in words) / len(words)
+        x[quality.DIMENSIONS : -2] = sum(vector(w) for w in set(words)) / len(set(words))
+        x[-2:] = len(set(words)) / len(words), np.log1p(len(words)) / 10
+    a, b, c, d = model.layers
+    hidden = [max(0.0, sum((x[i] - model.mean[i]) / model.scale[i] * a[i, j] for i in range(len(x))) + b[j]) for j in range(len(b))]
+    return 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, c)) + d) / model.temperature))
+
+
+@pytest.mark.parametrize(("operator", "slow"), [(toxicity, slow_toxicity), (quality, slow_quality)])
+def test_scores_equal_plain_loops(operator, slow):
+    r = random.Random(5)
+    word = lambda bad: "vile" + r.choice(["", "ly", "st"]) if bad and r.random() < 0.3 else r.choice("abcdefgéñ") * 2 + r.choice(["x", "yz", ""]) + r.choice("klmno")
+    text = lambda y, n: " ".join(word(y) + r.choice(["", ",", ".", " -"]) for _ in range(n))
+    model = operator.fit([(text(y, 40), y) for y in (0, 1) for _ in range(60)])
+    texts = [None, "", "?!", "one", *[text(k % 2, r.choice([1, 3, 7, 60])) for k in range(30)], "Über" * 300 + " vile", "a " * 5000]
+    assert np.allclose(model.score(pa.array(texts, pa.string())), [slow(model, t) for t in texts], rtol=1e-4, atol=1e-5)
+
+
+def test_a_long_word_takes_little_memory():
+    model = toxicity.fit([("good day " * 20, 0), ("vile scoundrel " * 20, 1)] * 30)
+    tracemalloc.start()
+    model.score(pa.array(["ab" * 2_000_000, "c"]))
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+
+
+def test_rows_kept_by_toxicity(spark, docs_of):
+    model = toxicity.fit([("good day " * 20, 0), ("vile scoundrel " * 20, 1)] * 30)
+    docs = docs_of([(1, "good day"), (1, "good day"), (2, "vile scoundrel vile scoundrel vile scoundrel"), (None, None), (3, "")]).withColumn("score", F.lit("mine"))
+    kept = toxicity.without_toxic(spark, docs, model)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r["doc_id"] != 2)
+
+
 def test_misspellings_share_n_grams():
     r = random.Random(2)
     clean = lambda n: [f"w{r.randrange(300)}" for _ in range(n)]

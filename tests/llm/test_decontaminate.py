@@ -63,6 +63,24 @@ def test_stage_keeps_what_is_clean(spark, docs_of):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, want)) and kept.columns == docs_of(docs).columns
 
 
+def test_ids_of_another_type_and_clashing_names(spark, docs_of):
+    docs, items = corpus()
+    bench = spark.createDataFrame([(None if i is None else f"item {i}", t) for i, t in items], "item_id string, text string")
+    clash = docs_of(docs).selectExpr("*", *[f"'mine' AS {c}" for c in ("text_key", "BAD_ID", "items", "block", "_dc_bad")])
+    got = {r["doc_id"]: r["items"] for r in decontaminate.judge(spark, clash, bench).collect()}
+    assert all(got[i] == sorted(f"item {x}" for x in found) for i, _, _, found, _ in brute(docs, items) if i is not None)
+    kept = decontaminate.without_contaminated(spark, clash, bench)
+    assert kept.columns == clash.columns and kept.count() == sum(not bad for *_, bad in brute(docs, items))
+
+
+def test_blocks_close_by_rows_too(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 10)
+    docs = [(k, "") for k in range(200)] + [(200, "one two three")]
+    index = decontaminate.build_index(spark, docs_of(docs))
+    assert max(len(r["doc_ids"]) for r in index.collect()) == 10
+    assert decontaminate.judge(spark, docs_of(docs), spark.createDataFrame([(1, "one two")], "item_id long, text string")).where("n_hit = 2").count() == 1
+
+
 def test_proximity(spark, docs_of):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = docs_of([(1, "x alpha beta gamma delta"), (2, "alpha so beta gamma delta"), (3, "delta gamma"), (4, "alpha beta"), (5, "gamma delta")])

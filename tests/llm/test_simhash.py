@@ -104,6 +104,12 @@ def test_keep_one(spark, docs_of):
     assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
 
 
+def test_clashing_names(spark, docs_of):
+    docs = docs_of(corpus(40)).selectExpr("*", *[f"'mine' AS {c}" for c in ("text_key", "KEPT_ID", "_keep_id", "fp", "root", "x", "component_id")])
+    kept = simhash.keep_one(spark, docs)
+    assert kept.columns == docs.columns and {r["KEPT_ID"] + r["text_key"] for r in kept.collect()} == {"minemine"}
+
+
 def test_empty(spark, docs_of):
     assert simhash.near_groups(spark, docs_of([])).count() == 0
     assert simhash.keep_one(spark, docs_of([])).count() == 0
