@@ -8,11 +8,17 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2_000
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Once per application; the driver serves the archive."""
+    """Once per application; the driver serves the archive. Arrow batches are made smaller where their size is the
+    default, as a row may hold a long text."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

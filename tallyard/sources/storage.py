@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a folder of our own under a
+    local master; on a cluster it has to be set, as other machines would not see such a folder."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is unset; with master {master} it must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tallyard-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def workspace(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; our own where it is unset)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tallyard-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; nothing is ever written twice to one path."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
