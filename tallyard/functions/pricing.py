@@ -68,5 +68,5 @@ def value_stake(payout: Column, floor: float = 45.0, base: float = 0.01, most: f
 
 
 def regime_prob(df: DataFrame, dim: DataFrame, key: str = "regime") -> DataFrame:
-    """Hit probabilities by regime, from a table of a few rows."""
-    return df.join(F.broadcast(dim), key, "left")
+    """Hit probabilities by regime."""
+    return df.join(dim, key, "left")

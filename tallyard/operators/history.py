@@ -14,6 +14,11 @@ def past(key: str, n: int | None = None):
     return w.rowsBetween(FIRST if n is None else -n, -1)
 
 
+def _wins() -> Column:
+    """1 for a win, else 0, also where there is no position."""
+    return F.coalesce((F.col("position") == 1).cast("double"), F.lit(0.0))
+
+
 def lag_deltas(e: DataFrame, cols: tuple[str, ...] = ("weight", "distance"), key: str = "participant") -> DataFrame:
     """Change of each column since the key's previous entry; 0 where either side is missing."""
     w = Window.partitionBy(key).orderBy("d", "contest", "participant")
@@ -31,7 +36,7 @@ def prior_wins(e: DataFrame, key: str = "participant") -> DataFrame:
 
 def prior_rate(e: DataFrame, key: str = "handler", default: float = 0.08) -> DataFrame:
     """Wins by entries before this row."""
-    return e.withColumn(f"{key}_prior_rate", F.coalesce(F.avg((F.col("position") == 1).cast("double")).over(past(key)), F.lit(default)))
+    return e.withColumn(f"{key}_prior_rate", F.coalesce(F.avg(_wins()).over(past(key)), F.lit(default)))
 
 
 def rolling_mean(e: DataFrame, key: str, c: str, n: int, name: str | None = None) -> DataFrame:
@@ -42,7 +47,7 @@ def rolling_mean(e: DataFrame, key: str, c: str, n: int, name: str | None = None
 def handler_rate(e: DataFrame, key: str = "handler", n: int = 30, default: float = 0.083, strict: bool = True) -> DataFrame:
     """Win rate over the handler's last n entries. Strict: none of them from the contest itself, so all of a handler's
     entries in a contest get what its first one had."""
-    rate = F.coalesce(F.avg((F.col("position") == 1).cast("double")).over(past(key, n)), F.lit(default))
+    rate = F.coalesce(F.avg(_wins()).over(past(key, n)), F.lit(default))
     e = e.withColumn("handler_rate", rate)
     if strict:
         first = Window.partitionBy(key, "d", "contest").orderBy("participant").rowsBetween(FIRST, 0)
@@ -104,13 +109,22 @@ def min_field(e: DataFrame, n: int) -> DataFrame:
 # ---- money over time
 
 
+def _by_days(bets: DataFrame, c: str, by: str, f) -> tuple[DataFrame, Column, Column]:
+    """bets with what f makes of the days before within by; that, and what f makes of the day's bets so far. A task sees
+    one day's bets, or one row a day."""
+    before = Window.partitionBy(by).orderBy("d").rowsBetween(FIRST, -1)
+    days = bets.groupBy(by, "d").agg(f(c).alias("_day")).select(by, "d", f("_day").over(before).alias("_before"))
+    so_far = Window.partitionBy(by, "d").orderBy("contest").rowsBetween(FIRST, 0)
+    return bets.join(days, [by, "d"]), F.col("_before"), f(c).over(so_far)
+
+
 def equity(bets: DataFrame, pnl: str = "pnl", by: str = "season", start: float = 0.0) -> DataFrame:
     """Bankroll after each bet at flat stakes."""
-    w = Window.partitionBy(by).orderBy("d", "contest").rowsBetween(FIRST, 0)
-    return bets.withColumn("bankroll", F.sum(pnl).over(w) + F.lit(start))
+    out, before, so_far = _by_days(bets, pnl, by, F.sum)
+    return out.withColumn("bankroll", F.coalesce(before, F.lit(0.0)) + so_far + F.lit(start)).drop("_before")
 
 
 def drawdown(bets: DataFrame, by: str = "season", bankroll: str = "bankroll") -> DataFrame:
     """Running peak, and how far below it the bankroll is, as a share of it."""
-    w = Window.partitionBy(by).orderBy("d", "contest").rowsBetween(FIRST, 0)
-    return bets.withColumn("peak", F.max(bankroll).over(w)).withColumn("drawdown", F.try_divide(F.col("peak") - F.col(bankroll), F.col("peak")))
+    out, before, so_far = _by_days(bets, bankroll, by, F.max)
+    return out.withColumn("peak", F.greatest(before, so_far)).withColumn("drawdown", F.try_divide(F.col("peak") - F.col(bankroll), F.col("peak"))).drop("_before")

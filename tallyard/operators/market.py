@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyard.functions import pricing as P
 from tallyard.functions.scalars import distance_regime
 from tallyard.operators import history as H
-from tallyard.operators.relational import brier, combos, settle_bets
+from tallyard.operators.ledger import Stake, fold
+from tallyard.operators.relational import brier, settle_bets
 
 # ---- ledgers
 
@@ -38,8 +38,8 @@ def tier_ledger(e: DataFrame, tiers: int = 6) -> DataFrame:
 
 
 def _sweep(e: DataFrame, grid: DataFrame, other: str, value: Column, hit: Column) -> DataFrame:
-    """ROI per cell at stakes of 10: cells are a handful of rows, each row joins those whose floors it reaches."""
-    cells = e.join(F.broadcast(grid), (F.col("odds") >= F.col("floor")) & (value >= F.col(other)))
+    """ROI per cell at stakes of 10: each row joins the cells whose floors it reaches."""
+    cells = e.join(grid, (F.col("odds") >= F.col("floor")) & (value >= F.col(other)))
     paid = F.sum(F.when(hit, F.col("odds") * 10).otherwise(0.0))
     return cells.groupBy("floor", other).agg(F.count("*").alias("bets"), F.count_if(hit).alias("hits"), F.round(paid - F.count("*") * 10, 2).alias("profit"), F.round(paid / (F.count("*") * 10) - 1, 6).alias("roi"))
 
@@ -83,21 +83,30 @@ def pooled(bets: DataFrame) -> DataFrame:
     return bets.agg(F.count("*").alias("bets"), F.round(F.avg(F.try_divide(F.col("returned") - F.col("staked"), "staked")), 6).alias("mean_return"))
 
 
-def bootstrap_ci(df: DataFrame, c: str, key: Column, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean and 2.5 and 97.5 percentiles of resampled means. A row's weight in a replicate is Poisson(1), by the
-    uniform number that a hash of its key, the replicate and the seed stands for; partial sums precede the shuffle."""
-    rows = df.select(F.col(c).alias("x"), key.cast("string").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    mark = F.md5(F.concat_ws(":", "k", F.col("rep").cast("string"), F.lit(str(seed))))
-    u = (F.conv(F.substring(mark, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    weight, p, total = F.lit(0), math.exp(-1), 0.0
-    rows = rows.select("x", "rep", u.alias("u"))
+def bootstrap_ci(df: DataFrame, c: str, key: Column, reps: int = 1000, seed: int = 42, by: str | None = None) -> DataFrame:
+    """Mean and 2.5 and 97.5 percentiles of resampled means, over all rows, or for each value of by and all (by null).
+
+    A row's weight in a replicate is Poisson(1), by a uniform number from a hash of its key, the replicate and the seed;
+    a hash serves for four replicates, and sums precede the shuffle. Rows without a value take no part.
+    """
+    group = F.col(by) if by else F.lit(None).cast("string")
+    rows = df.where(F.col(c).isNotNull()).select(F.col(c).alias("x"), key.cast("string").alias("k"), group.alias("by"))
+    rows = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // 4) - 1))))
+    rows = rows.select("x", "by", "g", F.md5(F.concat_ws(":", "k", F.col("g").cast("string"), F.lit(str(seed)))).alias("mark"))
+    cuts, p, total = [], math.exp(-1), 0.0
     for k in range(8):
         total += p
-        weight = weight + (F.col("u") > total).cast("int")
+        cuts.append(total)
         p /= k + 1
-    rows = rows.select("x", "rep", weight.alias("w"))
-    means = rows.groupBy("rep").agg(F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("m"))
-    return means.agg(F.round(F.avg("m"), 4).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 4).alias("high"))
+    u = [(F.conv(F.substring("mark", 8 * j + 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0 for j in range(4)]
+    rows = rows.select("x", "by", "g", *[x.alias(f"u{j}") for j, x in enumerate(u)])
+    rows = rows.select("x", "by", "g", *[sum(((F.col(f"u{j}") > cut).cast("int") for cut in cuts), F.lit(0)).alias(f"w{j}") for j in range(4)])
+    sums = rows.groupBy("by", "g").agg(*[F.sum(F.col("x") * F.col(f"w{j}")).alias(f"s{j}") for j in range(4)], *[F.sum(f"w{j}").alias(f"n{j}") for j in range(4)])
+    each = sums.select("by", "g", F.posexplode(F.array(*[F.struct(F.col(f"s{j}").alias("s"), F.col(f"n{j}").alias("n")) for j in range(4)])).alias("j", "r")).where(F.col("g") * 4 + F.col("j") < reps)
+    every = each.groupBy("g", "j").agg(F.sum("r.s").alias("s"), F.sum("r.n").alias("n")).select(F.lit(None).cast(each.schema["by"].dataType).alias("by"), F.try_divide("s", "n").alias("m"))
+    means = every.unionByName(each.select("by", F.try_divide("r.s", "r.n").alias("m"))) if by else every
+    out = means.groupBy("by").agg(F.round(F.avg("m"), 4).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 4).alias("high"))
+    return out.withColumnRenamed("by", by) if by else out.drop("by")
 
 
 # ---- diagnostics
@@ -118,13 +127,21 @@ def ranking_diagnostics(e: DataFrame) -> DataFrame:
     )
 
 
-def diagnostic_report(diag: DataFrame) -> DataFrame:
-    """Means per season and overall (season null), the model's edge over the market, and a verdict."""
+def diagnostic_means(diag: DataFrame) -> DataFrame:
+    """Means per season and overall (season null), and the model's edge over the market."""
     mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 6)
     cols = [c for c in diag.columns if c not in ("contest", "season")]
     out = diag.rollup("season").agg(F.count("*").alias("contests"), *[mean(c).alias(c) for c in cols])
-    edge = F.round(F.col("m_top1_win") - F.col("p_top1_win"), 6)
-    return out.withColumns({"edge": edge, "verdict": F.when(F.col("m_beats_p") > 0.5, "model").when(F.col("m_beats_p") < 0.5, "market").otherwise("even")})
+    return out.withColumn("edge", F.round(F.col("m_top1_win") - F.col("p_top1_win"), 6))
+
+
+def diagnostic_report(diag: DataFrame, reps: int = 2000) -> DataFrame:
+    """diagnostic_means with a verdict: whose first pick is ahead where they differ, if the interval of resampled means
+    leaves one half out, else even."""
+    ci = bootstrap_ci(diag.withColumn("m_beats_p", F.col("m_beats_p").cast("double")), "m_beats_p", F.col("contest"), reps, by="season").select(F.col("season").alias("_season"), F.col("low"), F.col("high"))
+    out = diagnostic_means(diag)
+    out = out.join(ci, F.col("season").eqNullSafe(F.col("_season")), "left").drop("_season")
+    return out.withColumn("verdict", F.when(F.col("low") > 0.5, "model").when(F.col("high") < 0.5, "market").otherwise("even"))
 
 
 # ---- compounding
@@ -133,128 +150,20 @@ def diagnostic_report(diag: DataFrame) -> DataFrame:
 def compounding_ledger(bets: DataFrame, configs: DataFrame, start: float = 10_000.0, unit: float = 10.0) -> DataFrame:
     """Final bankroll, bets made, wins, turnover and lowest bankroll of each (season, config).
 
-    Bets do not depend on the bankroll and are made in parallel; only the fold over one season's bets in their order is
-    sequential, one array for each season and config.
+    configs: config, mult (of Kelly's fraction) and floor (of the odds). Stakes are rounded, at least one unit, and left
+    out above the bankroll.
     """
-    every = bets.crossJoin(F.broadcast(configs))  # a handful of configs
+    every = bets.join(configs, F.col("odds") >= F.col("floor"))
     fraction = P.kelly(F.col("p"), F.col("odds"), 1.0) * F.col("mult")
-    every = every.where((F.col("odds") >= F.col("floor")) & (fraction > 0)).withColumn("fraction", fraction)
-    rows = every.groupBy("season", "config").agg(F.array_sort(F.collect_list(F.struct("d", "contest", "fraction", "odds", "won"))).alias("bets"))
-    zero = F.struct(F.lit(start).alias("bank"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("wins"), F.lit(0.0).alias("turnover"), F.lit(start).alias("low"))
-
-    def step(s, b):
-        stake = F.greatest(F.lit(unit), F.rint(s["bank"] * b["fraction"] / unit) * unit)
-        made = stake <= s["bank"]
-        bank = F.when(made, s["bank"] - stake + F.when(b["won"] == 1, stake * b["odds"]).otherwise(0.0)).otherwise(s["bank"])
-        one = made.cast("long")
-        return F.struct(bank.alias("bank"), (s["n"] + one).alias("n"), (s["wins"] + one * b["won"]).alias("wins"), (s["turnover"] + one * stake).alias("turnover"), F.least(s["low"], bank).alias("low"))
-
-    return rows.select("season", "config", F.aggregate("bets", zero, step).alias("s")).select("season", "config", F.round("s.bank", 2).alias("bankroll"), "s.n", "s.wins", F.round("s.turnover", 2).alias("turnover"), F.round("s.low", 2).alias("low"))
-
-
-# ---- strategies
-
-
-@dataclass(frozen=True)
-class Spec:
-    """How a strategy picks, stakes and settles.
+    tickets = every.withColumns({"fraction": fraction, "k": F.lit(1), "n": F.lit(1)}).where("fraction > 0")
+    steps = fold(tickets, Stake("rounded", start=start, unit=unit, minimum=unit, within=True))
+    return steps.groupBy("season", "config").agg(
+        F.round(F.max_by("bank", F.struct("d", "contest")), 2).alias("bankroll"), F.count("*").alias("n"), F.sum("won").alias("wins"),
+        F.round(F.sum("staked"), 2).alias("turnover"), F.round(F.least(F.min("bank"), F.lit(start)), 2).alias("low"),
+    )
 
-    kind: single (model's first top picks), box (pairs of its top three), banker (one entry with the two favourites),
-    trio (an anchor with pairs of four legs), ordered (the same in order), best (the best of all triples of the top).
-    """
 
-    kind: str
-    top: int = 1
-    min_public_rank: int = 1
-    min_field: int = 1
-    stake: float = 100.0
-    min_payout: float = 0.0
-    longshot: int = 0
-    anchor_odds: float = 5.0
-    leg_odds: float = 0.0
-    min_p: float = 0.0
-    min_ev: float = 0.0
-    mult: float = 1.0
-    cap: float = 0.0
-    rake: float = P.RAKE_TRIO
-    regime: str = ""
-    actual: bool = False
-    per_ticket: bool = False
-
-
-#: Parameters of the known rules; the field minimum is that of the caller's data.
-SPECS: dict[str, Spec] = {
-    "v3": Spec("single"), "v4": Spec("single", min_public_rank=3, mult=0.25, cap=0.05), "v5": Spec("single", min_public_rank=3, mult=0.25, cap=0.05), "v6": Spec("single", min_public_rank=3, mult=0.25, cap=0.05),
-    "v6_1": Spec("single", top=3, min_public_rank=3, mult=0.25, cap=0.05), "v7_1": Spec("single", top=3, min_public_rank=3, mult=0.25, cap=0.05),
-    "v8_0": Spec("box", stake=10), "v8_1": Spec("box", stake=10), "v8_2": Spec("box", stake=10, min_payout=45.0), "v8_3": Spec("box", stake=10, longshot=5), "v8_4": Spec("box", stake=10, min_payout=45.0, longshot=5), "v10_2": Spec("box", stake=10, actual=True),
-    "v14": Spec("banker", stake=10, leg_odds=7.0, min_p=0.4), "v16": Spec("banker", stake=10, leg_odds=7.0, min_p=0.4), "v17": Spec("banker", stake=10, leg_odds=7.0, min_p=0.4, mult=0.25),
-    "v18": Spec("ordered", stake=10, leg_odds=7.0), "v19": Spec("ordered", stake=10, leg_odds=7.0, mult=0.25), "v21": Spec("ordered", stake=10, leg_odds=7.0, regime="Mile"), "v22": Spec("ordered", stake=10, leg_odds=7.0, regime="Sprint", mult=0.1),
-    "v23": Spec("ordered", stake=10, leg_odds=7.0, mult=0.1, rake=P.RAKE_PAIR), "v24": Spec("ordered", stake=10, leg_odds=7.0, mult=0.1, min_ev=1.15, rake=P.RAKE_PAIR),
-    "v25": Spec("trio", stake=10, leg_odds=7.0, min_ev=1.05, mult=0.1), "v26": Spec("best", top=99, stake=10, min_ev=1.05), "v27": Spec("best", top=1, stake=10, min_ev=1.05, mult=0.1), "v28": Spec("best", top=1, stake=10, min_ev=1.05, mult=0.1), "v29": Spec("best", top=1, stake=10, min_ev=1.05, min_p=0.01, mult=0.1),
-    "v30": Spec("trio", stake=10, leg_odds=7.0, min_ev=1.05, mult=0.1, per_ticket=True), "v31": Spec("trio", stake=10, leg_odds=7.0, min_ev=1.05, mult=0.05, per_ticket=True), "v32": Spec("trio", stake=10, leg_odds=7.0, min_ev=1.05, mult=0.05, actual=True),
-}
-
-
-def run_strategy(scored: DataFrame, spec: Spec, top_entries: int = 7) -> DataFrame:
-    """contest, d, season, staked, returned, won: one row a contest that the strategy bets on.
-
-    scored: entries with score and p (probabilities that add up to 1 in a contest). Kind best takes all triples
-    of the top_entries first by score: at most 35 a contest, as the rules have it.
-    """
-    e = H.min_field(H.public_rank(H.share(H.rank_in_contest(scored, "score"), 1 / F.col("odds"), "q")), spec.min_field)
-    if spec.regime:
-        e = e.where(distance_regime(F.col("distance")) == spec.regime)
-    keep = ["participant", "position", "p", "q", "odds", "public_rank"]
-    base = ["contest", "d", "season", "payout"]
-    head = e.select(*base).distinct()
-    if spec.kind == "single":
-        picks = e.where((F.col("model_rank") <= spec.top) & (F.col("public_rank") >= spec.min_public_rank))
-        share, left = P.kelly(F.col("p"), F.col("odds"), spec.mult), F.lit(spec.cap)
-        if spec.top > 1:  # the contest's bets use up the cap in the order of rank
-            before = H.contest_window().orderBy("model_rank").rowsBetween(Window.unboundedPreceding, -1)
-            left = F.greatest(F.lit(0.0), left - F.coalesce(F.sum(share).over(before), F.lit(0.0)))
-        stake = F.lit(float(spec.stake)) if not spec.cap else F.least(share, left) * 10_000
-        bets = picks.withColumn("staked", stake).where("staked > 0").withColumn("won", (F.col("position") == 1).cast("int"))
-        bets = bets.withColumn("returned", F.col("staked") * F.col("won") * F.col("odds"))
-    elif spec.kind == "box":
-        two = combos(e.where("model_rank <= 3"), 2, keep, "model_rank").withColumn("pay", P.synthetic_odds(P.harville_pair(F.col("q_1"), F.col("q_2")), P.RAKE_PAIR))
-        rule = (F.col("pay") >= spec.min_payout) & (F.greatest("public_rank_1", "public_rank_2") >= spec.longshot)
-        won = ((F.col("position_1") <= 2) & (F.col("position_2") <= 2)).cast("int")
-        bets = two.where(rule).join(head, "contest").withColumns({"staked": F.lit(float(spec.stake)), "won": won})
-        bets = bets.withColumn("returned", F.col("won") * F.col("staked") * (F.col("payout") / 10 if spec.actual else F.col("pay")))
-    elif spec.kind == "banker":
-        bank = e.where((F.col("odds") >= spec.leg_odds) & (F.col("p") * 3 >= spec.min_p)).withColumn("a", F.lit(1))
-        bank = bank.withColumn("rn", F.row_number().over(H.contest_window().orderBy(F.desc("p"), "participant"))).where("rn = 1")
-        favourites = H.rank_in_contest(e, "odds", "first", False, "fav").where("fav <= 2")
-        two = bank.select("contest", *[F.col(c).alias(f"{c}_1") for c in keep]).join(favourites.select("contest", *[F.col(c).alias(f"{c}_2") for c in keep]), "contest").where("participant_1 <> participant_2")
-        won = ((F.col("position_1") <= 2) & (F.col("position_2") <= 2)).cast("int")
-        bets = two.join(head, "contest").withColumns({"staked": F.lit(float(spec.stake)), "won": won}).withColumn("returned", F.col("won") * F.col("staked") * 2.5)
-    else:
-        if spec.kind == "best":
-            three = combos(e.where(F.col("model_rank") <= top_entries), 3, keep, "model_rank")
-        else:
-            anchor = e.where((F.col("model_rank") == 1) & (F.col("odds") <= spec.anchor_odds)).withColumn("anchor", F.lit(1))
-            legs = e.where((F.col("model_rank") > 1) & (F.col("odds") >= spec.leg_odds)).withColumn("rn", F.row_number().over(H.contest_window().orderBy(F.desc("p"), "participant"))).where("rn <= 4").drop("rn").withColumn("anchor", F.lit(0))
-            three = combos(anchor.unionByName(legs), 3, keep, "model_rank", anchor="anchor", ordered=spec.kind == "ordered")
-        price = P.harville_ordered if spec.kind == "ordered" else P.harville_trio
-        three = three.withColumns({"hit": price(*[F.col(f"p_{k}") for k in (1, 2, 3)]), "market": price(*[F.col(f"q_{k}") for k in (1, 2, 3)])})
-        three = three.withColumn("pay", P.synthetic_odds(F.col("market"), spec.rake)).where("pay IS NOT NULL")
-        won = sum(((F.col(f"position_{k}") == k if spec.kind == "ordered" else F.col(f"position_{k}") <= 3).cast("int") for k in (1, 2, 3)), F.lit(0)) == 3
-        three = three.withColumn("won", won.cast("int"))
-        if spec.kind == "best":
-            three = three.withColumn("ev", F.col("hit") * F.col("pay"))
-            three = P.ev_gate(three, spec.min_ev, spec.min_p, "ev", "hit").withColumn("edge", P.kelly(F.col("hit"), F.col("pay"), spec.mult)).where("edge > 0")
-            order = Window.partitionBy("contest").orderBy(F.desc("edge"), "participant_1", "participant_2", "participant_3")
-            bets = three.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= spec.top)
-            bets = bets.withColumn("staked", F.lit(float(spec.stake)))
-        else:
-            block = Window.partitionBy("contest")
-            three = three.withColumns({"p_block": F.sum("hit").over(block), "mean_pay": F.avg("pay").over(block), "tickets": F.count("*").over(block)})
-            odds = F.col("mean_pay") / F.col("tickets") if spec.per_ticket else F.col("mean_pay")
-            three = three.where(F.col("p_block") * odds >= spec.min_ev).withColumn("fraction", P.kelly(F.col("p_block"), odds, spec.mult))
-            bets = three.where((F.col("fraction") > 0) | F.lit(spec.mult == 1.0)).withColumn("pay", F.col("mean_pay")).withColumn("staked", F.lit(float(spec.stake)))
-        bets = bets.join(head, "contest").withColumn("returned", F.col("won") * F.col("staked") * (F.col("payout") / 10 if spec.actual else F.col("pay")))
-    return bets.groupBy("contest", "d", "season").agg(F.round(F.sum("staked"), 4).alias("staked"), F.round(F.sum("returned"), 4).alias("returned"), F.max("won").alias("won"))
+# ---- settlement
 
 
 def settle_actual(bets: DataFrame, payouts: DataFrame) -> DataFrame:

@@ -95,17 +95,22 @@ def attribution(df: DataFrame, model: LinearRanker, prune: float = 2.0) -> DataF
 
 
 def walk_forward(e: DataFrame, folds: DataFrame, features: list[str], kind: str = "linear") -> DataFrame:
-    """Test entries of every fold, scored by a ranker fitted on its train window, with win probabilities from the last
-    train season that the ranker did not see. Folds are few; each is fitted by Spark."""
-    out = None
+    """Test entries of every fold, scored by a ranker fitted on its train window, with probabilities to win and to place
+    from the last train season that the ranker did not see. Folds are few; each is fitted by Spark. Folds without test
+    entries, or with too little to fit on, give no rows."""
+    out = e.withColumns({"score": F.lit(0.0), "p": F.lit(0.0), "place": F.lit(0.0), "fold": F.lit("")}).limit(0)
     e = settle(e, "features")
     for f in folds.orderBy("test_start").collect():
         train = e.where(F.col("d").between(f["train_start"], f["train_end"]))
         cut = f["train_end"].replace(year=f["train_end"].year - 1)
-        model = fit_ranker(train.where(F.col("d") <= F.lit(cut)), features, kind)
-        platt = fit_platt(model.transform(train.where(F.col("d") > F.lit(cut))).withColumn("win", F.col("position") == 1), "score", "win")
-        test = platt(model.transform(e.where(F.col("d").between(f["test_start"], f["test_end"])))).withColumn("fold", F.lit(f["fold"]))
-        out = test if out is None else out.unionByName(test)
+        early, late = train.where(F.col("d") <= F.lit(cut)), train.where(F.col("d") > F.lit(cut))
+        if not early.head(1) or not late.head(1):
+            continue
+        model = fit_ranker(early, features, kind)
+        held = model.transform(late).withColumns({"win": F.col("position") == 1, "placed": F.col("position") <= 3})
+        win, place = fit_platt(held, "score", "win"), fit_platt(held, "score", "placed")
+        test = model.transform(e.where(F.col("d").between(f["test_start"], f["test_end"])))
+        out = out.unionByName(place(win(test), "place").withColumn("fold", F.lit(f["fold"])))
     return out
 
 

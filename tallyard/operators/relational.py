@@ -70,11 +70,10 @@ def combos(e: DataFrame, k: int, cols: list[str], order: str, contest: str = "co
 
 
 def assign_folds(e: DataFrame, folds: DataFrame, d: str = "d") -> DataFrame:
-    """fold and part (train or test) of every entry whose date lies in a fold's window; folds are a handful of rows."""
-    f = F.broadcast(folds)
+    """fold and part (train or test) of every entry whose date lies in a fold's window."""
     day = F.col(d)
     part = F.when(day.between(F.col("train_start"), F.col("train_end")), "train").when(day.between(F.col("test_start"), F.col("test_end")), "test")
-    return e.join(f, day.between(F.least("train_start", "test_start"), F.greatest("train_end", "test_end"))).withColumn("part", part).where("part IS NOT NULL")
+    return e.join(folds, day.between(F.least("train_start", "test_start"), F.greatest("train_end", "test_end"))).withColumn("part", part).where("part IS NOT NULL")
 
 
 def settle_bets(bets: DataFrame, payouts: DataFrame, contest: str = "contest", combo: str = "combo") -> DataFrame:

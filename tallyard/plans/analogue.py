@@ -48,3 +48,21 @@ E AS (SELECT L.contest, d, participant, handler, price, weight, discount, distan
 def with_entries(body: str, more: str = "") -> str:
     """SQL with the entries, and further named relations, in front of body."""
     return f"WITH {ENTRIES}{', ' + more if more else ''} {body}"
+
+
+def full_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entries with the columns that the feature row takes over; every eleventh participant has no position."""
+    w = Window.partitionBy("contest")
+    e = entries(spark, sf_dir).join(table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("contest"), F.col("l_partkey").alias("participant")).agg(F.min("l_linenumber").alias("draw")), ["contest", "participant"])
+    e = e.withColumns({"early": F.row_number().over(w.orderBy("weight", "participant")), "late": F.row_number().over(w.orderBy(F.desc("discount"), "participant"))})
+    return e.withColumns({
+        "contest_no": F.col("contest") % 10, "number": F.col("draw"), "name": F.concat(F.lit("P"), F.col("participant").cast("string")), "second_handler": F.col("participant") % 97, "margin": F.col("weight") / 10,
+        "running_pos": F.concat_ws(" ", "early", "late", "position"), "course": F.when(F.col("priority") < "3", 'TURF - "A" Course').otherwise("ALL WEATHER TRACK"), "position": F.when(F.col("participant") % 11 != 0, F.col("position")),
+    }).drop("early", "late")
+
+
+FULL_ENTRIES = """
+FE AS (SELECT e.* EXCLUDE (position), CASE WHEN e.participant % 11 <> 0 THEN position END AS position, draw, contest % 10 AS contest_no, 'P' || e.participant AS name, e.participant % 97 AS second_handler, weight / 10 AS margin, position AS place,
+         row_number() OVER (PARTITION BY e.contest ORDER BY weight, e.participant) AS early, row_number() OVER (PARTITION BY e.contest ORDER BY discount DESC, e.participant) AS late, CAST(priority < '3' AS INTEGER) AS is_turf
+       FROM E e JOIN (SELECT l_orderkey AS c, l_partkey AS p, min(l_linenumber) AS draw FROM lineitem GROUP BY 1, 2) x ON x.c = e.contest AND x.p = e.participant)
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyard.operators import history as H
 from tallyard.operators import ratings as R
-from tallyard.plans.analogue import entries, table, with_entries
+from tallyard.plans.analogue import FULL_ENTRIES, entries, full_entries, table, with_entries
 from tallyard.registry import query
 
 _P = "PARTITION BY participant ORDER BY d, contest, participant"
@@ -103,88 +103,91 @@ def p25_min_field(spark, sf):
     return H.min_field(entries(spark, sf), 7).select("contest", "participant", "field")
 
 
-# ---- ratings: yearly periods, each step spelt out in the SQL
+# ---- ratings: each period is spelt out in the SQL
 
 YEARS = range(1995, 2002)
+MONTHS = [100 * y + m for y in YEARS for m in range(1, 13)]
 
 
-def _rated(spark, sf):
-    return entries(spark, sf).withColumn("margin", F.col("weight") / 10), F.year("d")
-
-
-def _fold_sql(first: str, change: str, update: str, cols: str, out: str) -> str:
-    """cols: state columns after participant; change: sums by participant_a over PAIRS joined with both states."""
-    names = [c.split(" AS ")[1] for c in cols.split(", ")]
-    parts = ["PAIRS AS MATERIALIZED (SELECT year(a.d) AS period, a.n, a.participant AS pa, b.participant AS pb, a.position AS posa, b.position AS posb, a.margin AS ma, b.margin AS mb FROM (SELECT *, weight / 10 AS margin, count(*) OVER (PARTITION BY contest) AS n FROM E) a JOIN (SELECT *, weight / 10 AS margin FROM E) b ON a.contest = b.contest AND a.participant <> b.participant)"]
-    parts.append(f"S{YEARS[0]} AS MATERIALIZED (SELECT DISTINCT pa AS participant, {cols} FROM PAIRS)")
-    for y in YEARS:
-        both = f"PAIRS p JOIN S{y} A ON A.participant = p.pa JOIN S{y} B ON B.participant = p.pb WHERE p.period = {y}"
-        parts.append(f"D{y} AS MATERIALIZED (SELECT pa AS participant, {change} FROM {both} GROUP BY pa)")
-        keep = ", ".join(f"CASE WHEN D.participant IS NULL THEN S.{n} ELSE {u} END AS {n}" for n, u in zip(names, update.split("; "), strict=True))
-        parts.append(f"S{y + 1} AS MATERIALIZED (SELECT S.participant, {keep} FROM S{y} S LEFT JOIN D{y} D ON D.participant = S.participant)")
-    union = " UNION ALL ".join(f"SELECT {y} AS period, D.participant, {out} FROM D{y} D JOIN S{y} S ON S.participant = D.participant JOIN S{y + 1} N ON N.participant = D.participant" for y in YEARS)
-    return ", ".join(parts), union
+def _fold_sql(name: str, change: str, update: str, cols: str, out: str, periods=YEARS, period: str = "year(d)", position: str = "coalesce(position, 99)") -> tuple[str, str]:
+    """cols: state columns after participant; change: sums by pa over pairs joined with both states; position: nulls take no part."""
+    names, n = [c.split(" AS ")[1] for c in cols.split(", ")], name
+    parts = [f"{n}E AS MATERIALIZED (SELECT {period} AS period, contest, participant, margin, {position} AS pos, count(*) OVER (PARTITION BY contest) AS n FROM FE WHERE {position} IS NOT NULL)"]
+    parts.append(f"{n}P AS MATERIALIZED (SELECT a.period, a.n, a.participant AS pa, b.participant AS pb, a.pos AS posa, b.pos AS posb, a.margin AS ma, b.margin AS mb FROM {n}E a JOIN {n}E b ON a.contest = b.contest AND a.participant <> b.participant)")
+    parts.append(f"{n}A AS MATERIALIZED (SELECT DISTINCT period, participant FROM {n}E)")
+    parts.append(f"{n}S0 AS MATERIALIZED (SELECT participant, {cols} FROM (SELECT DISTINCT participant FROM {n}A))")
+    for k, p in enumerate(periods):
+        both = f"{n}P p JOIN {n}S{k} A ON A.participant = p.pa JOIN {n}S{k} B ON B.participant = p.pb WHERE p.period = {p}"
+        parts.append(f"{n}D{k} AS MATERIALIZED (SELECT pa AS participant, {change} FROM {both} GROUP BY pa)")
+        keep = ", ".join(f"CASE WHEN D.participant IS NULL THEN S.{c} ELSE {u} END AS {c}" for c, u in zip(names, update.split("; "), strict=True))
+        parts.append(f"{n}S{k + 1} AS MATERIALIZED (SELECT S.participant, {keep} FROM {n}S{k} S LEFT JOIN {n}D{k} D ON D.participant = S.participant)")
+    union = " UNION ALL ".join(f"SELECT {p}::BIGINT AS period, S.participant, {out} FROM {n}A A JOIN {n}S{k} S ON S.participant = A.participant JOIN {n}S{k + 1} N ON N.participant = A.participant WHERE A.period = {p}" for k, p in enumerate(periods))
+    return f"{FULL_ENTRIES}, " + ", ".join(parts), union
 
 
 _WON = "CASE WHEN posa < posb THEN 1.0::DOUBLE WHEN posa > posb THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END"
 _EXP = "1 / (1 + pow(10.0::DOUBLE, (B.rating - A.rating) / 400))"
 _ELO_OUT = "round(S.rating, 2) AS pre, round(N.rating, 2) AS post, round(N.rating - S.rating, 2) + 0.0::DOUBLE AS shift"
-_R1 = _fold_sql("", f"sum(32.0::DOUBLE * ({_WON} - {_EXP}) / (n - 1)) AS s", "S.rating + D.s", "1500.0::DOUBLE AS rating", _ELO_OUT)
-_R2 = _fold_sql("", f"sum(20.0::DOUBLE * (1 + ln(abs(ma - mb) + 1)) * ({_WON} - {_EXP}) / (n - 1)) AS s", "S.rating + D.s", "1500.0::DOUBLE AS rating", _ELO_OUT)
+_ELO = (f"sum(20.0::DOUBLE * (1 + ln(abs(ma - mb) + 1)) * ({_WON} - {_EXP}) / (n - 1)) AS s", "S.rating + D.s", "1500.0::DOUBLE AS rating")
+_R1 = _fold_sql("U", f"sum(32.0::DOUBLE * ({_WON} - {_EXP}) / (n - 1)) AS s", "S.rating + D.s", "1500.0::DOUBLE AS rating", _ELO_OUT, position="position")
+_R2 = _fold_sql("M", *_ELO, _ELO_OUT, periods=MONTHS, period="(year(d) * 100 + month(d))")
 _G = "(1 / sqrt(1 + 3 * pow(B.rd / 173.7178::DOUBLE, 2) / pow(pi(), 2)))"
 _GE = f"(1 / (1 + exp(-{_G} * ((A.rating - 1500) / 173.7178::DOUBLE - (B.rating - 1500) / 173.7178::DOUBLE))))"
 _NEW2 = "(1 / (1 / (pow(S.rd / 173.7178::DOUBLE, 2) + pow(S.vol, 2)) + 1 / (CASE WHEN D.v_inv > 0 THEN 1 / D.v_inv ELSE 1.0 END)))"
-_R3 = _fold_sql("", f"sum({_G} * {_G} * {_GE} * (1 - {_GE})) AS v_inv, sum({_G} * ({_WON} - {_GE})) AS delta", f"S.rating + 173.7178::DOUBLE * {_NEW2} * D.delta; sqrt({_NEW2}) * 173.7178::DOUBLE; S.vol",
-                "1500.0::DOUBLE AS rating, 350.0::DOUBLE AS rd, 0.06::DOUBLE AS vol", "round(S.rating, 2) AS pre, round(N.rating, 2) AS post, round(N.rd, 2) AS rd")
+_GLICKO = (f"sum({_G} * {_G} * {_GE} * (1 - {_GE})) AS v_inv, sum({_G} * ({_WON} - {_GE})) AS delta", f"S.rating + 173.7178::DOUBLE * {_NEW2} * D.delta; sqrt({_NEW2}) * 173.7178::DOUBLE; S.vol", "1500.0::DOUBLE AS rating, 350.0::DOUBLE AS rd, 0.06::DOUBLE AS vol")
+_R3 = _fold_sql("G", *_GLICKO, "round(S.rating, 2) AS pre, round(N.rating, 2) AS post, round(N.rd, 2) AS rd")
 
 
 def _shown(h):
     return h.select(F.col("period").cast("long").alias("period"), "participant", F.round("rating", 2).alias("pre"), F.round("rating_after", 2).alias("post"), (F.round(F.col("rating_after") - F.col("rating"), 2) + 0.0).alias("shift"))
 
 
-@query(with_entries(f"SELECT CAST(period AS BIGINT) AS period, participant, pre, post, shift FROM ({_R1[1]})", _R1[0]))
+@query(with_entries(f"SELECT * FROM ({_R1[1]})", _R1[0]))
 def r1_pairwise_elo(spark, sf):
-    return _shown(R.pairwise_elo(*_rated(spark, sf)))
+    return _shown(R.pairwise_elo(full_entries(spark, sf), F.year("d")))
 
 
-@query(with_entries(f"SELECT CAST(period AS BIGINT) AS period, participant, pre, post, shift FROM ({_R2[1]})", _R2[0]))
+@query(with_entries(f"SELECT * FROM ({_R2[1]})", _R2[0]))
 def r2_margin_elo(spark, sf):
-    return _shown(R.margin_elo(*_rated(spark, sf)))
+    """By months."""
+    return _shown(R.margin_elo(full_entries(spark, sf), F.year("d") * 100 + F.month("d")))
 
 
-@query(with_entries(f"SELECT CAST(period AS BIGINT) AS period, participant, pre, post, rd FROM ({_R3[1]})", _R3[0]))
+@query(with_entries(f"SELECT * FROM ({_R3[1]})", _R3[0]))
 def r3_glicko(spark, sf):
-    h = R.glicko(*_rated(spark, sf))
+    h = R.glicko(full_entries(spark, sf), F.year("d"))
     return h.select(F.col("period").cast("long").alias("period"), "participant", F.round("rating", 2).alias("pre"), F.round("rating_after", 2).alias("post"), F.round("rd_after", 2).alias("rd"))
 
 
-def _snapshots(spark):
-    return spark.range(1996, 2002).select(F.make_date(F.col("id").cast("int"), F.lit(1), F.lit(1)).alias("as_of"))
-
+def _edges_sql(source: str, position: str) -> str:
+    return f"""SNAP AS (SELECT DISTINCT CAST(date_trunc('year', d) AS DATE) AS as_of FROM {source}),
+EDGES AS MATERIALIZED (SELECT as_of, a.participant AS src, b.participant AS dst, count(*) AS weight FROM {source} a JOIN {source} b ON a.contest = b.contest AND {position.format('a')} > {position.format('b')} JOIN SNAP ON a.d < as_of GROUP BY 1, 2, 3)"""
 
-_EDGES = """SNAP AS (SELECT make_date(y, 1, 1) AS as_of FROM range(1996, 2002) t(y)),
-EDGES AS MATERIALIZED (SELECT as_of, a.participant AS src, b.participant AS dst, count(*) AS weight FROM E a JOIN E b ON a.contest = b.contest AND a.position > b.position JOIN SNAP ON a.d < as_of GROUP BY 1, 2, 3)"""
 
-
-@query(with_entries("SELECT as_of, src, dst, CAST(weight AS BIGINT) AS weight FROM EDGES", _EDGES))
+@query(with_entries("SELECT as_of, src, dst, CAST(weight AS BIGINT) AS weight FROM EDGES", _edges_sql("E", "{}.position")))
 def r4_dominance_edges(spark, sf):
-    return R.dominance_edges(entries(spark, sf), _snapshots(spark))
+    e = entries(spark, sf)
+    return R.dominance_edges(e, R.yearly_snapshots(e))
 
 
-def _pagerank_sql(rounds: int) -> str:
-    parts = [_EDGES, "NODES AS MATERIALIZED (SELECT as_of, node, count(*) OVER (PARTITION BY as_of) AS n FROM (SELECT as_of, src AS node FROM EDGES UNION SELECT as_of, dst FROM EDGES))",
-             "FLOW AS MATERIALIZED (SELECT as_of, src, dst, weight / sum(weight) OVER (PARTITION BY as_of, src) AS part FROM EDGES)", "R0 AS (SELECT as_of, node, n, 1.0::DOUBLE / n AS rank FROM NODES)"]
+def _pagerank_sql(edges: str, rounds: int = 25) -> str:
+    """RANKS: of each snapshot those of the first round after which it has settled."""
+    parts = [edges, "NODES AS MATERIALIZED (SELECT as_of, node, count(*) OVER (PARTITION BY as_of) AS n FROM (SELECT as_of, src AS node FROM EDGES UNION SELECT as_of, dst FROM EDGES))",
+             "FLOW AS MATERIALIZED (SELECT as_of, src, dst, weight / sum(weight) OVER (PARTITION BY as_of, src) AS part FROM EDGES)", "R0 AS (SELECT as_of, node, n, 1.0::DOUBLE / n AS rank, NULL::DOUBLE AS old FROM NODES)"]
     for k in range(1, rounds + 1):
         parts.append(f"G{k} AS MATERIALIZED (SELECT f.as_of, f.dst AS node, sum(part * rank) AS got FROM FLOW f JOIN R{k - 1} r ON r.as_of = f.as_of AND r.node = f.src GROUP BY 1, 2)")
         parts.append(f"T{k} AS MATERIALIZED (SELECT r.as_of, sum(rank) AS stuck FROM R{k - 1} r WHERE NOT EXISTS (SELECT 1 FROM FLOW f WHERE f.as_of = r.as_of AND f.src = r.node) GROUP BY 1)")
-        parts.append(f"R{k} AS MATERIALIZED (SELECT N.as_of, N.node, N.n, 0.15::DOUBLE / N.n + 0.85::DOUBLE * (coalesce(got, 0) + coalesce(stuck, 0) / N.n) AS rank FROM NODES N LEFT JOIN G{k} G ON G.as_of = N.as_of AND G.node = N.node LEFT JOIN T{k} T ON T.as_of = N.as_of)")
+        parts.append(f"R{k} AS MATERIALIZED (SELECT N.as_of, N.node, N.n, 0.15::DOUBLE / N.n + 0.85::DOUBLE * (coalesce(got, 0) + coalesce(stuck, 0) / N.n) AS rank, N.rank AS old FROM R{k - 1} N LEFT JOIN G{k} G ON G.as_of = N.as_of AND G.node = N.node LEFT JOIN T{k} T ON T.as_of = N.as_of)")
+    every = " UNION ALL ".join(f"SELECT {k} AS k, * FROM R{k}" for k in range(1, rounds + 1))
+    parts.append(f"RALL AS MATERIALIZED ({every}), FIRST AS (SELECT as_of, min(k) AS k FROM (SELECT k, as_of FROM RALL GROUP BY k, as_of HAVING sum(abs(rank - old)) < max(n) * 1e-6) GROUP BY as_of)")
+    parts.append("RANKS AS MATERIALIZED (SELECT r.as_of, r.node, r.rank FROM RALL r JOIN FIRST f ON f.as_of = r.as_of AND f.k = r.k)")
     return ", ".join(parts)
 
 
-@query(with_entries("SELECT as_of, node, round(rank, 8) AS rank FROM R6", _pagerank_sql(6)))
+@query(with_entries("SELECT as_of, node, round(rank, 8) AS rank FROM RANKS", _pagerank_sql(_edges_sql("E", "{}.position"))))
 def r5_pagerank(spark, sf):
-    out = R.pagerank(R.dominance_edges(entries(spark, sf), _snapshots(spark)), rounds=6, every=3)
-    return out.select("as_of", "node", F.round("rank", 8).alias("rank"))
+    e = entries(spark, sf)
+    return R.pagerank(R.dominance_edges(e, R.yearly_snapshots(e))).select("as_of", "node", F.round("rank", 8).alias("rank"))
 
 
 _HISTORY = f"""{_STRICT},
@@ -200,19 +203,53 @@ def r6_history_features(spark, sf):
     return f.select("contest", "participant", *_SHOW, F.round("form", 6).alias("form"), F.round("handler_rate", 6).alias("handler_rate"), F.round("pressure", 5).alias("pressure"))
 
 
-@query()
+# ---- the whole feature row
+
+_YEARLY = _fold_sql("Y", *_ELO, "S.rating AS elo")
+_DEVIATIONS = _fold_sql("Z", *_GLICKO, "S.rating AS glicko_mu, S.rd AS glicko_rd, S.vol AS glicko_vol")
+_STATES = f"{_YEARLY[0]}, {_DEVIATIONS[0].removeprefix(FULL_ENTRIES + ', ')}, {_pagerank_sql(_edges_sql('FE', 'coalesce({}.position, 99)'))}, EL AS ({_YEARLY[1]}), GL AS ({_DEVIATIONS[1]})"
+
+
+def _rate_sql(key: str) -> str:
+    return f"coalesce(avg(coalesce(CAST(position = 1 AS DOUBLE), 0)) OVER (PARTITION BY {key} ORDER BY d, contest, participant ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 0.083)"
+
+
+_PACE = """XF AS (SELECT *, 1 / sqrt(early::DOUBLE) AS esi, (late - place)::DOUBLE AS csi FROM FE),
+XP AS (SELECT *, avg(esi) OVER (PARTITION BY participant ORDER BY d, contest, participant ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS rolling_esi, avg(csi) OVER (PARTITION BY participant ORDER BY d, contest, participant ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS rolling_csi FROM XF),
+XQ AS (SELECT *, coalesce(sum(CASE WHEN rn <= 3 THEN rolling_esi END) OVER (PARTITION BY contest), 0) AS esi_pressure FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY round(rolling_esi, 9) DESC NULLS LAST, participant) AS rn FROM XP))"""
+_ROW = f"""{_STATES}, {_PACE},
+XR AS (SELECT *, first_value(h0) OVER (PARTITION BY handler, d, contest ORDER BY participant) AS handler_rate, first_value(s0) OVER (PARTITION BY second_handler, d, contest ORDER BY participant) AS second_handler_rate FROM (SELECT *, {_rate_sql('handler')} AS h0, {_rate_sql('second_handler')} AS s0 FROM XQ))"""
+_ROW_SELECT = f"""SELECT x.contest, x.d, x.contest_no, x.participant, x.draw AS number, x.name, x.position, x.handler, x.second_handler, x.odds, x.distance, round(coalesce(elo, 1500), 2) AS elo, round(coalesce(glicko_mu, 1500), 2) AS glicko_mu, round(coalesce(glicko_rd, 350), 2) AS glicko_rd, coalesce(glicko_vol, 0.06) AS glicko_vol,
+ round(coalesce(r.rank, 0.001), 8) AS centrality, round(rolling_esi, 6) AS rolling_esi, round(rolling_csi, 6) AS rolling_csi, round(esi_pressure, 5) AS esi_pressure, round(rolling_esi - esi_pressure, 5) AS pace_advantage, round(handler_rate, 6) AS handler_rate, round(second_handler_rate, 6) AS second_handler_rate, x.draw::DOUBLE AS draw,
+ CAST(coalesce(x.d - lag(x.d) OVER w, 30) AS INTEGER) AS days_since_last, coalesce(x.weight - lag(x.weight) OVER w, 0) AS weight_delta, coalesce(x.distance - lag(x.distance) OVER w, 0) AS distance_delta, CAST(coalesce(sum(CAST(x.position = 1 AS INTEGER)) OVER (PARTITION BY x.participant ORDER BY x.d, x.contest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_wins, is_turf
+FROM XR x LEFT JOIN EL e ON e.period = year(x.d) AND e.participant = x.participant LEFT JOIN GL g ON g.period = year(x.d) AND g.participant = x.participant LEFT JOIN RANKS r ON r.as_of = CAST(date_trunc('year', x.d) AS DATE) AND r.node = x.participant
+WINDOW w AS (PARTITION BY x.participant ORDER BY x.d, x.contest)"""
+
+
+def _year_start(h):
+    return h.withColumn("period", F.make_date("period", F.lit(1), F.lit(1)))
+
+
+@query(with_entries(_ROW_SELECT, _ROW))
 def r6_snapshot_features(spark, sf):
-    e = entries(spark, sf).withColumn("margin", F.col("weight") / 10)
-    elo = R.margin_elo(e, F.year("d")).withColumn("period", F.make_date(F.col("period"), F.lit(1), F.lit(1)))
-    ranks = R.pagerank(R.dominance_edges(e, _snapshots(spark)), rounds=10, every=5)
-    out = R.snapshot_features(e, elo, ranks, F.trunc("d", "year"))
-    return out.select("contest", "participant", *_SHOW, "form", "handler_rate", "pressure", "advantage", "elo", "centrality")
+    """The feature row of 28 columns, with states of the year before."""
+    e = full_entries(spark, sf)
+    ranks = R.pagerank(R.dominance_edges(e, R.yearly_snapshots(e)))
+    out = R.snapshot_features(e, _year_start(R.margin_elo(e, F.year("d"))), _year_start(R.glicko(e, F.year("d"))), ranks, F.trunc("d", "year"))
+    digits = {"elo": 2, "glicko_mu": 2, "glicko_rd": 2, "centrality": 8, "rolling_esi": 6, "rolling_csi": 6, "esi_pressure": 5, "pace_advantage": 5, "handler_rate": 6, "second_handler_rate": 6}
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
+
+
+_LEGACY = f"""{_STATES}, {_PACE}, XL AS (SELECT *, {_rate_sql('handler')} AS handler_rate, coalesce(avg(coalesce(CAST(position = 1 AS DOUBLE), 0)) OVER (PARTITION BY handler ORDER BY d, contest, participant ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.08) AS handler_prior_rate FROM XQ)"""
+_LEGACY_SELECT = """SELECT x.contest, x.participant, round(rolling_esi, 6) AS rolling_esi, round(esi_pressure, 5) AS esi_pressure, round(handler_rate, 6) AS handler_rate, round(handler_prior_rate, 6) AS handler_prior_rate, round(coalesce(elo, 1500), 2) AS elo, round(coalesce(glicko_mu, 1500), 2) AS glicko, round(coalesce(glicko_rd, 350), 2) AS rd, round(coalesce(r.rank, 0.001), 8) AS centrality
+FROM XL x LEFT JOIN EL e ON e.period = year(x.d) AND e.participant = x.participant LEFT JOIN GL g ON g.period = year(x.d) AND g.participant = x.participant LEFT JOIN RANKS r ON r.as_of = CAST(date_trunc('year', x.d) AS DATE) AND r.node = x.participant"""
 
 
-@query()
+@query(with_entries(_LEGACY_SELECT, _LEGACY))
 def r7_legacy_chain(spark, sf):
-    e = entries(spark, sf).withColumn("margin", F.col("weight") / 10)
-    g = R.glicko(e, F.year("d")).select(F.col("period").alias("y"), "participant", F.col("rating").alias("glicko"), "rd")
-    f = H.prior_rate(H.handler_rate(H.rolling_mean(e, "participant", "discount", 5, "form"), strict=False)).withColumn("y", F.year("d"))
-    out = f.join(g, ["y", "participant"], "left").fillna({"glicko": 1500.0, "rd": 350.0})
-    return H.pressure(out, "form").select("contest", "participant", "form", "pressure", "advantage", "handler_rate", "handler_prior_rate", "glicko", "rd")
+    """Pace, rating, handlers, deviations, centrality; handlers' rates by rows, with the older baseline for all of the past."""
+    e = full_entries(spark, sf)
+    ranks = R.pagerank(R.dominance_edges(e, R.yearly_snapshots(e)))
+    out = R.legacy_chain(e, _year_start(R.margin_elo(e, F.year("d"))), _year_start(R.glicko(e, F.year("d"))), ranks, F.trunc("d", "year"))
+    digits = {"rolling_esi": 6, "esi_pressure": 5, "handler_rate": 6, "handler_prior_rate": 6, "elo": 2, "glicko": 2, "rd": 2, "centrality": 8}
+    return out.select("contest", "participant", *[F.round(c, n).alias(c) for c, n in digits.items()])

@@ -11,14 +11,14 @@ from tallyard.functions import pricing as P
 from tallyard.functions.scalars import distance_regime
 from tallyard.operators import history as H
 from tallyard.operators import market as M
-from tallyard.operators.relational import top_n
 from tallyard.plans.analogue import entries, with_entries
+from tallyard.plans.feature_queries import _HISTORY
 from tallyard.registry import query
 
-_FORM = "avg(discount) OVER (PARTITION BY participant ORDER BY d, contest, participant ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
-SCORED = f"""SC AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY contest) AS p FROM (SELECT *, round(coalesce(round({_FORM}, 6), 0.05) * 10 + weight / 100, 6) AS score FROM E)),
-RK AS (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY score DESC, participant) AS model_rank, rank() OVER (PARTITION BY contest ORDER BY odds) AS public_rank,
+FORM = "avg(discount) OVER (PARTITION BY participant ORDER BY d, contest, participant ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
+RANKED = """RK AS (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY score DESC, participant) AS model_rank, rank() OVER (PARTITION BY contest ORDER BY odds) AS public_rank,
   row_number() OVER (PARTITION BY contest ORDER BY odds, participant) AS market_rank, (1 / odds) / sum(1 / odds) OVER (PARTITION BY contest) AS q FROM SC)"""
+SCORED = f"SC AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY contest) AS p FROM (SELECT *, round(coalesce(round({FORM}, 6), 0.05) * 10 + weight / 100, 6) AS score FROM E)), {RANKED}"
 
 
 def sql(body: str, more: str = "") -> str:
@@ -47,12 +47,32 @@ def a19_ranking_diagnostics(spark, sf):
     return M.ranking_diagnostics(scored(spark, sf))
 
 
-_REPORT = """SELECT *, round(m_top1_win - p_top1_win, 6) AS edge, CASE WHEN m_beats_p > 0.5 THEN 'model' WHEN m_beats_p < 0.5 THEN 'market' ELSE 'even' END AS verdict FROM (SELECT season, count(*) AS contests, """ + ", ".join(
+_MEANS = "SELECT *, round(m_top1_win - p_top1_win, 6) AS edge FROM (SELECT season, count(*) AS contests, " + ", ".join(
     f"round(avg({c}), 6) AS {c}" for c in ("m_top1_win", "p_top1_win", "m_top1_place", "p_top1_place", "m_top3_exact", "p_top3_exact", "m_overlap", "p_overlap", "diverge", "m_beats_p")
 ) + " FROM DG GROUP BY ROLLUP (season))"
 
 
-@query(sql(_REPORT, _DIAG))
+def _cuts():
+    total, p, out = 0.0, math.exp(-1), []
+    for k in range(8):
+        total += p
+        out.append(total)
+        p /= k + 1
+    return out
+
+
+_W = " + ".join(f"CAST(u > {c!r}::DOUBLE AS INTEGER)" for c in _cuts())
+
+
+def _boot(rows: str, reps: int) -> str:
+    """BC: grp, mean, low, high. rows gives grp, k and x."""
+    return f"""BH AS MATERIALIZED (SELECT b.grp, x, g, md5(k || ':' || g || ':42') AS mark FROM ({rows}) b, range({reps // 4}) r(g)),
+BS AS MATERIALIZED (SELECT grp, g * 4 + j AS rep, sum(x * w) AS s, sum(w) AS n FROM (SELECT grp, g, j, x, {_W} AS w FROM (SELECT *, (CAST(('0x' || substr(mark, 1 + 8 * j, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM BH, range(4) q(j))) GROUP BY ALL),
+BM AS (SELECT grp, rep, s / n AS m FROM BS UNION ALL SELECT NULL, rep, sum(s) / sum(n) FROM BS GROUP BY rep),
+BC AS (SELECT grp, round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM BM GROUP BY grp)"""
+
+
+@query(sql(f"SELECT r.*, low, high, CASE WHEN low > 0.5 THEN 'model' WHEN high < 0.5 THEN 'market' ELSE 'even' END AS verdict FROM ({_MEANS}) r LEFT JOIN BC ON BC.grp IS NOT DISTINCT FROM r.season", f"{_DIAG}, {_boot('SELECT season AS grp, contest AS k, m_beats_p AS x FROM DG WHERE m_beats_p IS NOT NULL', 2000)}"))
 def a20_diagnostic_report(spark, sf):
     return M.diagnostic_report(M.ranking_diagnostics(scored(spark, sf)))
 
@@ -65,14 +85,21 @@ def a11_tier_ledger(spark, sf):
     return M.tier_ledger(ranked(spark, sf))
 
 
-@query(sql(f"SELECT r.*, roi.roi_pct FROM ({_REPORT}) r LEFT JOIN (SELECT season, round(100 * (sum(CASE WHEN position = 1 THEN odds ELSE 0 END) / count(*) - 1), 4) AS roi_pct FROM RK WHERE model_rank = 1 GROUP BY season) roi ON roi.season = r.season", _DIAG))
+_SEASON_SCORE = f"""{_HISTORY},
+SC AS (SELECT *, exp(score) / sum(exp(score)) OVER (PARTITION BY contest) AS p FROM (SELECT *, round(coalesce(round(form, 6), 0.05) * 10 + weight / 100 + round(handler_rate, 6) + round(coalesce(form, 0) - pressure, 5) / 10, 6) AS score FROM FP)), {RANKED}"""
+_FIRST = "FT1 AS (SELECT season, count(*) AS bets, round(avg(q), 6) AS mean_share, round(100 * (sum(CASE WHEN position = 1 THEN odds ELSE 0 END) / count(*) - 1), 4) AS roi_pct, count(*) FILTER (public_rank > 1) AS against FROM RK WHERE model_rank = 1 AND public_rank <= 6 GROUP BY ROLLUP (season))"
+
+
+@query(with_entries(f"SELECT r.*, bets, mean_share, roi_pct, against FROM ({_MEANS}) r LEFT JOIN FT1 ON FT1.season IS NOT DISTINCT FROM r.season", f"{_SEASON_SCORE}, {_DIAG}, {_FIRST}"))
 def flagship_season_report(spark, sf):
-    """Does the score beat the market, season by season, and what do its first picks return?"""
-    e = scored(spark, sf)
-    report = M.diagnostic_report(M.ranking_diagnostics(e))
-    picks = H.rank_in_contest(e, "score").where("model_rank = 1")
+    """Does a score of form, handlers and the field's pressure beat the market, season by season, and what do its first picks return?"""
+    e = H.pressure(H.handler_rate(H.rolling_mean(entries(spark, sf), "participant", "discount", 5, "form")), "form")
+    score = F.coalesce(F.round("form", 6), F.lit(0.05)) * 10 + F.col("weight") / 100 + F.round("handler_rate", 6) + F.round("advantage", 5) / 10
+    e = H.public_rank(H.share(H.rank_in_contest(e.withColumn("score", F.round(score, 6)), "score"), 1 / F.col("odds"), "q"))
+    means = M.diagnostic_means(M.ranking_diagnostics(e))
     paid = F.sum(F.when(F.col("position") == 1, F.col("odds")).otherwise(0.0))
-    return report.join(picks.groupBy("season").agg(F.round(100 * (paid / F.count("*") - 1), 4).alias("roi_pct")), "season", "left")
+    first = e.where("model_rank = 1 AND public_rank <= 6").rollup(F.col("season").alias("_season")).agg(F.count("*").alias("bets"), F.round(F.avg("q"), 6).alias("mean_share"), F.round(100 * (paid / F.count("*") - 1), 4).alias("roi_pct"), F.count_if(F.col("public_rank") > 1).alias("against"))
+    return means.join(first, F.col("season").eqNullSafe(F.col("_season")), "left").drop("_season")
 
 
 def _bets(spark, sf):
@@ -123,9 +150,9 @@ def w13_equity(spark, sf):
     return H.equity(b, start=10_000.0).select("contest", F.round("bankroll", 4).alias("bankroll"))
 
 
-@query(sql("SELECT contest, round(peak, 4) AS peak, round((peak - bankroll) / peak, 6) AS drawdown FROM DD WHERE season <> '1994/1995'", f"{_BETS}, {_CURVE}"))
+@query(sql("SELECT contest, round(peak, 4) AS peak, round((peak - bankroll) / peak, 6) AS drawdown FROM DD", f"{_BETS}, {_CURVE}"))
 def w14_drawdown(spark, sf):
-    b = _bets(spark, sf).where("season <> '1994/1995'").withColumn("pnl", F.col("returned") - F.col("staked"))
+    b = _bets(spark, sf).withColumn("pnl", F.col("returned") - F.col("staked"))
     return H.drawdown(H.equity(b, start=10_000.0)).select("contest", F.round("peak", 4).alias("peak"), F.round("drawdown", 6).alias("drawdown"))
 
 
@@ -139,25 +166,9 @@ def a16_pooled(spark, sf):
     return M.pooled(_bets(spark, sf))
 
 
-_CUTS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
-
-
-def _cuts():
-    total, p, out = 0.0, math.exp(-1), []
-    for k in range(8):
-        total += p
-        out.append(total)
-        p /= k + 1
-    return out
-
-
-_W = " + ".join(f"CAST(u > {c!r}::DOUBLE AS INTEGER)" for c in _cuts())
-
-
-@query(sql(f"""SELECT round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM (SELECT rep, sum(x * w) / sum(w) AS m FROM (SELECT x, rep, {_W} AS w FROM
-(SELECT won AS x, rep, (CAST(('0x' || substr(md5(contest || ':' || rep || ':42'), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM BT, range(100) r(rep))) GROUP BY rep)""", _BETS))
+@query(sql("SELECT mean, low, high FROM BC WHERE grp IS NULL", f"{_BETS}, {_boot('SELECT season AS grp, contest AS k, won AS x FROM BT', 1000)}"))
 def a17_bootstrap_ci(spark, sf):
-    return M.bootstrap_ci(_bets(spark, sf).withColumn("won", F.col("won").cast("double")), "won", F.col("contest"), reps=100)
+    return M.bootstrap_ci(_bets(spark, sf).withColumn("won", F.col("won").cast("double")), "won", F.col("contest"), reps=1000)
 
 
 # ---- pricing
@@ -261,83 +272,9 @@ LG AS (SELECT season, config, 0::BIGINT AS i, 10000.0::DOUBLE AS bank, 0::BIGINT
  FROM (SELECT *, stake <= bank AS made FROM (SELECT c.season, c.config, c.i, c.odds, c.won, l.bank, l.n, l.wins, l.turnover, l.low, greatest(10.0, round_even(l.bank * c.fraction / 10, 0) * 10) AS stake FROM LG l JOIN CB c ON c.season = l.season AND c.config = l.config AND c.i = l.i + 1)) x)"""
 
 
-@query(sql("SELECT season, config, round(max_by(bank, i), 2) AS bankroll, max_by(n, i) AS n, max_by(wins, i) AS wins, round(max_by(turnover, i), 2) AS turnover, round(max_by(low, i), 2) AS low FROM LG GROUP BY season, config", f"{_BETS}, {_L1}").replace("WITH ", "WITH RECURSIVE ", 1))
+@query(sql("SELECT season, config, round(ln(max_by(bank, i) / 10000), 6) AS growth, max_by(n, i) AS n, max_by(wins, i) AS wins, round(ln(max_by(turnover, i) / 10000), 6) AS turnover, round(max_by(low, i), 2) AS low FROM LG GROUP BY season, config", f"{_BETS}, {_L1}").replace("WITH ", "WITH RECURSIVE ", 1))
 def l1_compounding_ledger(spark, sf):
     configs = spark.createDataFrame(_CONFIGS, "config string, mult double, floor double")
-    return M.compounding_ledger(_bets(spark, sf), configs)
-
-
-# ---- strategies
-
-
-def _season(bets: DataFrame) -> DataFrame:
-    return bets.groupBy("season").agg(F.count("*").alias("contests"), F.sum("won").cast("long").alias("hits"), F.round(F.sum("staked"), 2).alias("staked"), F.round(F.sum("returned"), 2).alias("returned"))
-
-
-_SEASON = "SELECT season, count(*) AS contests, CAST(sum(won) AS BIGINT) AS hits, round(sum(staked), 2) AS staked, round(sum(returned), 2) AS returned FROM ({}) GROUP BY season"
-_PER = "SELECT contest, season, round(sum(staked), 4) AS staked, round(sum(returned), 4) AS returned, max(won) AS won FROM ({}) GROUP BY contest, season"
-
-
-def _single_sql(s: M.Spec) -> str:
-    f = f"CASE WHEN odds > 1 THEN greatest(0, ((odds - 1) * p - (1 - p)) / (odds - 1) * {s.mult}::DOUBLE) ELSE 0 END"
-    stake = f"least({f}, {s.cap}::DOUBLE) * 10000" if s.cap else f"{s.stake}::DOUBLE"
-    return f"SELECT *, staked * won * odds AS returned FROM (SELECT *, {stake} AS staked, CAST(position = 1 AS INTEGER) AS won FROM RK WHERE model_rank <= {s.top} AND public_rank >= {s.min_public_rank}) WHERE staked > 0"
-
-
-def _box_sql(s: M.Spec) -> str:
-    pay = "0.825::DOUBLE / (a.q * b.q / (1 - a.q) + b.q * a.q / (1 - b.q))"
-    given = "payout / 10" if s.actual else "pay"
-    return f"SELECT *, {s.stake}::DOUBLE AS staked, won * {s.stake}::DOUBLE * ({given}) AS returned FROM (SELECT a.contest, a.season, a.payout, {pay} AS pay, CAST(a.position <= 2 AND b.position <= 2 AS INTEGER) AS won, greatest(a.public_rank, b.public_rank) AS far FROM RK a JOIN RK b ON a.contest = b.contest AND a.model_rank < b.model_rank WHERE b.model_rank <= 3) WHERE pay >= {s.min_payout} AND far >= {s.longshot}"
-
-
-def _trio_of(p: str, r: tuple) -> str:
-    from itertools import permutations
-
-    return "(" + " + ".join(f"{a}.{p} * {b}.{p} / (1 - {a}.{p}) * {c}.{p} / (1 - {a}.{p} - {b}.{p})" for a, b, c in permutations(r)) + ")"
-
-
-def _three_sql(s: M.Spec) -> str:
-    r = ("a", "b", "c")
-    price = _trio_of if s.kind != "ordered" else lambda p, r: f"(a.{p} * b.{p} / (1 - a.{p}) * c.{p} / (1 - a.{p} - b.{p}))"
-    won = "a.position <= 3 AND b.position <= 3 AND c.position <= 3" if s.kind != "ordered" else "a.position = 1 AND b.position = 2 AND c.position = 3"
-    if s.kind == "best":
-        src = "RK a JOIN RK b ON b.contest = a.contest AND b.model_rank > a.model_rank JOIN RK c ON c.contest = a.contest AND c.model_rank > b.model_rank WHERE c.model_rank <= 5"
-    else:
-        legs = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY p DESC, participant) AS rn FROM RK WHERE model_rank > 1 AND odds >= {s.leg_odds}) WHERE rn <= 4)"
-        order = "<>" if s.kind == "ordered" else ">"
-        src = f"RK a JOIN {legs} b ON b.contest = a.contest JOIN {legs} c ON c.contest = a.contest AND c.model_rank {order} b.model_rank WHERE a.model_rank = 1 AND a.odds <= {s.anchor_odds}"
-    rows = f"SELECT a.contest, a.season, a.payout, a.participant AS pa, b.participant AS pb, c.participant AS pc, {price('p', r)} AS hit, {1 - s.rake}::DOUBLE / {price('q', r)} AS pay, CAST({won} AS INTEGER) AS won FROM {src}"
-    kelly = lambda p, o: f"CASE WHEN {o} > 1 THEN greatest(0, (({o} - 1) * {p} - (1 - {p})) / ({o} - 1) * {s.mult}::DOUBLE) ELSE 0 END"
-    given = "payout / 10" if s.actual else "pay"
-    if s.kind == "best":
-        body = f"SELECT *, row_number() OVER (PARTITION BY contest ORDER BY edge DESC, pa, pb, pc) AS rn FROM (SELECT *, {kelly('hit', 'pay')} AS edge FROM ({rows}) WHERE hit * pay >= {s.min_ev} AND hit >= {s.min_p}) WHERE edge > 0"
-        return f"SELECT *, {s.stake}::DOUBLE AS staked, won * {s.stake}::DOUBLE * ({given}) AS returned FROM ({body}) WHERE rn <= {s.top}"
-    odds = "mean_pay / tickets" if s.per_ticket else "mean_pay"
-    body = f"SELECT *, sum(hit) OVER (PARTITION BY contest) AS p_block, avg(pay) OVER (PARTITION BY contest) AS mean_pay, count(*) OVER (PARTITION BY contest) AS tickets FROM ({rows})"
-    gate = "true" if s.mult == 1.0 else f"{kelly('p_block', f'({odds})')} > 0"
-    given = "payout / 10" if s.actual else "mean_pay"
-    return f"SELECT *, {s.stake}::DOUBLE AS staked, won * {s.stake}::DOUBLE * ({given}) AS returned FROM ({body}) WHERE p_block * {odds} >= {s.min_ev} AND {gate}"
-
-
-def _banker_sql(s: M.Spec) -> str:
-    bank = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY p DESC, participant) AS rn FROM RK WHERE odds >= {s.leg_odds} AND p * 3 >= {s.min_p}) WHERE rn = 1)"
-    return f"SELECT contest, season, {s.stake}::DOUBLE AS staked, won, won * {s.stake}::DOUBLE * 2.5 AS returned FROM (SELECT a.contest, a.season, CAST(a.position <= 2 AND b.position <= 2 AS INTEGER) AS won FROM {bank} a JOIN RK b ON b.contest = a.contest AND b.market_rank <= 2 AND b.participant <> a.participant)"
-
-
-_MAKE = {"single": _single_sql, "box": _box_sql, "banker": _banker_sql, "trio": _three_sql, "ordered": _three_sql, "best": _three_sql}
-
-
-def _strategy(name: str, spec: M.Spec) -> None:
-    regime = {"Mile": "distance > 1200 AND distance <= 1650", "Sprint": "distance <= 1200"}.get(spec.regime)
-    bets = _MAKE[spec.kind](spec)
-    more = ""
-    if regime:
-        more, bets = f"RR AS (SELECT * FROM RK WHERE {regime})", bets.replace("RK", "RR")
-
-    @query(sql(_SEASON.format(_PER.format(bets)), more), name=f"strategy_{name}")
-    def run(spark, sf):
-        return _season(M.run_strategy(scored(spark, sf), spec))
-
-
-for _name, _spec in M.SPECS.items():
-    _strategy(_name, _spec)
+    out = M.compounding_ledger(_bets(spark, sf), configs)
+    # Bankrolls run up to numbers that no engine holds to the cent, so their logarithms are shown.
+    return out.select("season", "config", F.round(F.log(F.col("bankroll") / 10_000), 6).alias("growth"), "n", "wins", F.round(F.log(F.col("turnover") / 10_000), 6).alias("turnover"), "low")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tallyard.functions.scalars import relevance
 from tallyard.operators import history as H
+from tallyard.operators import market as M
 from tallyard.operators import models as L
 from tallyard.operators.relational import brier, log_loss
+from tallyard.operators.strategies import SPECS, run_strategy
 from tallyard.plans.analogue import entries
 from tallyard.plans.market_queries import ranked, scored, sql
 from tallyard.plans.table_queries import folds
@@ -38,9 +40,12 @@ def m1_fit_ranker_trees(spark, sf):
 
 @query()
 def m2_fit_platt(spark, sf):
-    e = scored(spark, sf).withColumn("win", (F.col("position") == 1).cast("int")).drop("p")
-    platt = L.fit_platt(e.where("d < DATE '1999-09-01'"), "score", "win")
-    return platt(e.where("d >= DATE '1999-09-01'")).groupBy("season").agg(F.count("*").alias("n"), brier(F.col("p"), F.col("win")).alias("brier"), log_loss(F.col("p"), F.col("win")).alias("log_loss"))
+    """Of the probabilities to win and to place: losses by season."""
+    e = scored(spark, sf).withColumns({"win": (F.col("position") == 1).cast("int"), "placed": (F.col("position") <= 3).cast("int")}).drop("p")
+    early = e.where("d < DATE '1999-09-01'")
+    e = L.fit_platt(early, "score", "placed")(L.fit_platt(early, "score", "win")(e), "place")
+    losses = [f(F.col(p), F.col(y)).alias(f"{y}_{name}") for p, y in (("p", "win"), ("place", "placed")) for name, f in (("brier", brier), ("log_loss", log_loss))]
+    return e.groupBy("season").agg(F.count("*").alias("n"), *losses)
 
 
 @query()
@@ -70,8 +75,16 @@ def m6_attribution(spark, sf):
 
 @query()
 def m7_walk_forward(spark, sf):
-    out = L.walk_forward(_features(spark, sf), folds(spark, first=1998), FEATURES)
-    return out.select("fold", "contest", "participant", "score", "p")
+    out = L.walk_forward(_features(spark, sf), folds(spark, lookback=5), FEATURES)
+    return out.select("fold", "contest", "participant", "score", "p", "place")
+
+
+@query()
+def m7_walk_forward_desk(spark, sf):
+    """The last strategy in walk-forward seasons: fitted on the seasons before, bet on actual payouts, summed up by season."""
+    e = H.share(L.walk_forward(_features(spark, sf), folds(spark, lookback=5), FEATURES).withColumn("season", F.col("fold")), F.col("p"), "own").withColumn("p", F.col("own"))
+    spec = SPECS["v32"]
+    return M.season_summary(run_strategy(e, spec), spec.stake.start)
 
 
 _DCG = "sum(CASE WHEN {r} <= 3 THEN (pow(2.0::DOUBLE, rel) - 1) / log2({r} + 1) ELSE 0 END)"
@@ -87,4 +100,4 @@ def s12_save_load_model(spark, sf):
     path = workspace(spark, "model")
     L.save_model(L.fit_ranker(_train(spark, sf), FEATURES, "trees").model, path)
     again = L.TreeRanker(FEATURES, L.load_model(path))
-    return again.transform(_features(spark, sf).where("d >= DATE '2000-09-01'")).select("contest", "participant", "score")
+    return again.transform(_features(spark, sf)).select("contest", "participant", "score")

@@ -233,10 +233,11 @@ def p31_drop_overseas(spark, sf):
     return S.drop_overseas(table(spark, sf, "pages").select("page_id", url.alias("url"))).select("page_id")
 
 
-@query("SELECT d, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '1996-12-31', INTERVAL 1 DAY)) AS DATE) AS d) c LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS od, count(*) AS n FROM orders GROUP BY 1) ON od = d WHERE dayofweek(d) IN (0, 3, 6)")
+@query("SELECT d, coalesce(n, 0) AS n FROM (SELECT CAST(unnest(generate_series((SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders), INTERVAL 1 DAY)) AS DATE) AS d) c LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS od, count(*) AS n FROM orders GROUP BY 1) ON od = d WHERE dayofweek(d) IN (0, 3, 6)")
 def p32_calendar(spark, sf):
     have = table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("d")).agg(F.count("*").alias("n"))
-    return S.calendar(spark, "1995-01-01", "1996-12-31").join(have, "d", "left").select("d", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    first, last = have.agg(F.min("d"), F.max("d")).first()
+    return S.calendar(spark, str(first), str(last)).join(have, "d", "left").select("d", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @query("SELECT 'price' AS feature, sum(price) IS NOT NULL AS used FROM (SELECT max(l_extendedprice) AS price FROM lineitem) UNION ALL SELECT * FROM (VALUES ('weight', true), ('discount', true), ('distance', true), ('odds', true)) t(feature, used)")

@@ -71,12 +71,12 @@ def s9_write_csv(spark, sf):
     return spark.read.schema("k string, p string, s string").option("header", True).csv(_csv(spark, sf, False))
 
 
-@query(with_entries("SELECT contest, participant, position FROM E WHERE d <= DATE '1999-08-31' AND season = '1996/1997'"))
+@query(with_entries("SELECT contest, participant, position FROM E WHERE d <= DATE '1999-08-31'"))
 def s10_materialise_features(spark, sf):
     path = T.workspace(spark, "features")
     e = entries(spark, sf)
     T.materialise_features(e, path, "1999-08-31")
-    return T.materialise_features(e, path, "1999-08-31").where("season = '1996/1997'").select("contest", "participant", "position")
+    return T.materialise_features(e, path, "1999-08-31").select("contest", "participant", "position")
 
 
 @query("SELECT o_orderstatus AS reason, count(*) AS n FROM orders GROUP BY 1")
@@ -248,11 +248,12 @@ def a8_season_counts(spark, sf):
 
 
 @query("""WITH X AS (SELECT CAST(o_orderdate AS DATE) AS d, o_orderkey % 10 AS no FROM orders), H AS (SELECT d, count(DISTINCT no) AS n, max(no) AS highest FROM X GROUP BY d),
-C AS (SELECT CAST(unnest(generate_series(DATE '2001-06-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d)
+C AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM X), (SELECT max(d) FROM X), INTERVAL 1 DAY)) AS DATE) AS d)
 SELECT C.d, coalesce(n, 0) AS n, coalesce(highest, 0) AS highest, CASE WHEN coalesce(n, 0) = 0 THEN 'missing' WHEN n < highest THEN 'gaps' ELSE 'complete' END AS state FROM C LEFT JOIN H ON H.d = C.d WHERE dayofweek(C.d) IN (0, 3, 6)""")
 def a21_completeness_audit(spark, sf):
     x = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("d"), (F.col("o_orderkey") % 10).alias("contest_no"))
-    return R.completeness_audit(S.calendar(spark, "2001-06-01", "2001-12-31"), x)
+    first, last = x.agg(F.min("d"), F.max("d")).first()
+    return R.completeness_audit(S.calendar(spark, str(first), str(last)), x)
 
 
 @query(with_entries("SELECT CAST(avg((discount * 10 - y) * (discount * 10 - y)) AS DECIMAL(18, 8))::DOUBLE AS brier, round(-avg(y * ln(least(greatest(discount * 10, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(discount * 10, 1e-15), 1 - 1e-15))), 6) AS log_loss FROM (SELECT discount, CAST(position = 1 AS INTEGER) AS y FROM E)"))
@@ -265,11 +266,11 @@ def a18_losses(spark, sf):
 # ---- order, top-k, sets
 
 
-@query(with_entries("SELECT contest, participant, row_number() OVER (ORDER BY d, contest, position) AS n FROM E WHERE season = '2000/2001'"))
+@query(with_entries("SELECT contest, participant, row_number() OVER (ORDER BY d, contest, position) AS n FROM E"))
 def k1_chronological(spark, sf):
     from pyspark.sql import Window
 
-    e = entries(spark, sf).where("season = '2000/2001'")
+    e = entries(spark, sf)
     # The only window over everything sees one row a day; contests are numbered within their days.
     sizes = e.groupBy("d", "contest").agg(F.count("*").alias("size"))
     w = Window.partitionBy("d").orderBy("contest").rowsBetween(Window.unboundedPreceding, -1)

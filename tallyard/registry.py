@@ -24,7 +24,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from tallyard.plans import feature_queries, market_queries, model_queries, scalar_queries, stream_queries, table_queries  # noqa: F401
+    from tallyard.plans import feature_queries, ingest_queries, market_queries, model_queries, scalar_queries, strategy_queries, stream_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -57,10 +57,14 @@ def read_csv_wide(spark: SparkSession, path: str, names: list[str], width: int)
     return read_positional_csv(spark, path, names + [f"extra_col_{k}" for k in range(max(0, width - len(names)))])
 
 
-def file_key_map(df: DataFrame, source: str = "source", value: str = "date") -> DataFrame:
-    """number, value: the number in each file's name and the first of its values."""
-    number = F.regexp_extract(F.col(source), r"(\d+)[^/\d]*$", 1).cast("int")
-    return df.groupBy(number.alias("number")).agg(F.min(value).alias(value))
+def file_number(source: Column, pattern: str = r"(\d+)[^/\d]*$") -> Column:
+    """The number in a file's path."""
+    return F.regexp_extract(source, pattern, 1).try_cast("int")
+
+
+def file_key_map(df: DataFrame, source: str = "source", value: str = "date", pattern: str = r"(\d+)[^/\d]*$") -> DataFrame:
+    """number, value: the number in each file's path and the first of its values."""
+    return df.groupBy(file_number(F.col(source), pattern).alias("number")).agg(F.min(value).alias(value))
 
 
 def read_sql(spark: SparkSession, path: str, cols: list[str] | None = None) -> DataFrame:
@@ -78,11 +82,15 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def last_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows that share a key the last by all columns; copies meet before the shuffle."""
+    last = df.groupBy(*keys).agg(F.max(F.struct(*[c for c in df.columns if c not in keys])).alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
+
+
 def write_table(df: DataFrame, path: str, keys: list[str], partition_by: list[str] | None = None) -> None:
     """Replaces the table; of rows that share a key the last by all columns stays."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in df.columns])
-    one = df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    writer = one.write.mode("overwrite")
+    writer = last_of(df, keys).write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,26 +16,49 @@ from tallyard.sources.storage import workspace
 
 OUT = "user_id long, event_id long, n_before long, rolling5 double, rolling30 double, value_delta double"
 STATE = "n long, last array<double>"
+KEPT = 30
 
 
-def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Each event's features from those before it, then the event joins them. State: a count and the last 30 values."""
-    n, last = state.get if state.exists else (0, [])
-    last = list(last)
-    rows = []
-    for e in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples():
-        mean = lambda k: sum(last[-k:]) / len(last[-k:]) if last else None  # noqa: B023, E731
-        rows.append((key[0], e.event_id, n, mean(5), mean(30), e.value - last[-1] if last else 0.0))
-        n, last = n + 1, [*last, float(e.value)][-30:]
-    state.update((n, last))
-    yield pd.DataFrame(rows, columns=["user_id", "event_id", "n_before", "rolling5", "rolling30", "value_delta"])
+def before(last: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
+    """For each value the mean of the k before it, those of last among them; NaN where there are none."""
+    every = np.concatenate([last, values])
+    total = np.concatenate([[0.0], np.cumsum(every)])
+    at = np.arange(len(last), len(every))
+    first = np.maximum(0, at - k)
+    with np.errstate(invalid="ignore"):
+        return (total[at] - total[first]) / (at - first)
 
 
-def stream_history(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Snapshot, then advance, for each user in event time; events later than the allowed lateness are dropped."""
+def _advance(idle_ms: int | None):
+    """Each event's features from those before it, then the event joins them. State: a count and the last KEPT values."""
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, last = state.get if state.exists else (0, [])
+        e = pd.concat(list(frames)).sort_values(["ts", "event_id"], ignore_index=True)
+        last, values = np.array(last, float), e["value"].to_numpy(float)
+        every = np.concatenate([last, values])
+        previous = every[len(last) - 1 : -1] if len(last) else np.concatenate([[np.nan], values[:-1]])
+        state.update((int(n) + len(values), every[-KEPT:].tolist()))
+        if idle_ms is not None:
+            state.setTimeoutTimestamp(int(e["ts"].iloc[-1].value // 1_000_000) + idle_ms)
+        yield pd.DataFrame({"user_id": key[0], "event_id": e["event_id"], "n_before": n + np.arange(len(values)), "rolling5": before(last, values, 5), "rolling30": before(last, values, KEPT), "value_delta": np.nan_to_num(values - previous)})
+
+    return advance
+
+
+def stream_history(events: DataFrame, lateness: str = "1 hour", idle_days: int | None = None) -> DataFrame:
+    """Snapshot, then advance, for each user in event time; events later than the allowed lateness are dropped.
+
+    A task holds one user's events of one micro-batch, which the source's options bound. With idle_days, a user without
+    events for so long is forgotten and starts anew; without it every user's state stays.
+    """
     ship(events.sparkSession)
+    timeout = GroupStateTimeout.NoTimeout if idle_days is None else GroupStateTimeout.EventTimeTimeout
     marked = events.withWatermark("ts", lateness)
-    return marked.groupBy("user_id").applyInPandasWithState(_advance, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return marked.groupBy("user_id").applyInPandasWithState(_advance(None if idle_days is None else idle_days * 86_400_000), OUT, STATE, "append", timeout)
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -49,15 +73,10 @@ def stream_ratings(entries: DataFrame, folder: str, checkpoint: str, **options)
 
     def step(batch: DataFrame, number: int) -> None:
         state = spark.read.parquet(f"{folder}/state-{number - 1}") if number else None
-        batch = batch.persist()
         history = R.pairwise_elo(batch, F.lit(number), state=state, **options)
-        batch.unpersist()
-        if history is None:
-            new = state
-        else:
-            new = history.select("participant", F.col("rating_after").alias("rating"))
-            if state is not None:
-                new = new.unionByName(state.join(new, "participant", "left_anti"))
+        new = history.select("participant", F.col("rating_after").alias("rating"))
+        if state is not None:
+            new = new.unionByName(state.join(new, "participant", "left_anti"))
         new.write.mode("overwrite").parquet(f"{folder}/state-{number}")
 
     entries.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -69,10 +88,21 @@ def stream_ingest(spark: SparkSession, source: str, schema: str, path: str, chec
     return spark.read.parquet(path)
 
 
-def in_files(df: DataFrame, key: str, tag: str) -> tuple[str, list]:
-    """df as Parquet files under one folder, one write a key in ascending order, so a file stream meets them in it."""
-    folder = workspace(df.sparkSession, tag)
-    keys = sorted(r[0] for r in df.select(key).distinct().collect())
-    for k in keys:
-        df.where(F.col(key) == F.lit(k)).coalesce(1).write.mode("append").parquet(folder)
-    return folder, keys
+def arrivals(df: DataFrame, key: str, tag: str) -> tuple[str, Iterator[None]]:
+    """A folder, and an iterator that lets the files of one value of key after the other into it, in ascending order.
+
+    All files are written in one pass over df; a value's files then arrive together, by a rename.
+    """
+    spark, staged, folder = df.sparkSession, workspace(df.sparkSession, f"{tag}-staged"), workspace(df.sparkSession, tag)
+    df.withColumn("_arrival", F.col(key)).write.partitionBy("_arrival").parquet(staged)
+    values = sorted(r[0] for r in df.select(key).distinct().collect())  # one row an arrival
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+
+    def arrive() -> Iterator[None]:
+        for v in values:
+            fs.rename(path(f"{staged}/_arrival={v}"), path(f"{folder}/{v}"))
+            yield
+
+    return folder, arrive()
