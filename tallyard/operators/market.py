@@ -83,25 +83,32 @@ def pooled(bets: DataFrame) -> DataFrame:
     return bets.agg(F.count("*").alias("bets"), F.round(F.avg(F.try_divide(F.col("returned") - F.col("staked"), "staked")), 6).alias("mean_return"))
 
 
+#: Groups that rows are dealt to before they are resampled.
+BUCKETS = 1024
+
+
 def bootstrap_ci(df: DataFrame, c: str, key: Column, reps: int = 1000, seed: int = 42, by: str | None = None) -> DataFrame:
     """Mean and 2.5 and 97.5 percentiles of resampled means, over all rows, or for each value of by and all (by null).
 
-    A row's weight in a replicate is Poisson(1), by a uniform number from a hash of its key, the replicate and the seed;
-    a hash serves for four replicates, and sums precede the shuffle. Rows without a value take no part.
+    Rows are dealt to BUCKETS groups by a hash of their key, and it is groups that are resampled: sums of groups are all
+    that replicates read, however many rows there are. A group's weight in a replicate is Poisson(1), by a uniform number
+    from a hash of the group, the replicate and the seed; a hash serves for four. Rows without a value take no part.
     """
     group = F.col(by) if by else F.lit(None).cast("string")
-    rows = df.where(F.col(c).isNotNull()).select(F.col(c).alias("x"), key.cast("string").alias("k"), group.alias("by"))
-    rows = rows.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // 4) - 1))))
-    rows = rows.select("x", "by", "g", F.md5(F.concat_ws(":", "k", F.col("g").cast("string"), F.lit(str(seed)))).alias("mark"))
+    number = lambda mark, at: F.conv(F.substring(mark, at, 8), 16, 10).cast("long")
+    rows = df.where(F.col(c).isNotNull()).select(F.col(c).cast("double").alias("x"), (number(F.md5(key.cast("string")), 1) % BUCKETS).alias("bucket"), group.alias("by"))
+    rows = rows.groupBy("by", "bucket").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
     cuts, p, total = [], math.exp(-1), 0.0
     for k in range(8):
         total += p
         cuts.append(total)
         p /= k + 1
-    u = [(F.conv(F.substring("mark", 8 * j + 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0 for j in range(4)]
-    rows = rows.select("x", "by", "g", *[x.alias(f"u{j}") for j, x in enumerate(u)])
-    rows = rows.select("x", "by", "g", *[sum(((F.col(f"u{j}") > cut).cast("int") for cut in cuts), F.lit(0)).alias(f"w{j}") for j in range(4)])
-    sums = rows.groupBy("by", "g").agg(*[F.sum(F.col("x") * F.col(f"w{j}")).alias(f"s{j}") for j in range(4)], *[F.sum(f"w{j}").alias(f"n{j}") for j in range(4)])
+    marks = df.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(-(-reps // 4) - 1))).alias("g"))
+    marks = marks.withColumn("mark", F.md5(F.concat_ws(":", F.col("bucket").cast("string"), F.col("g").cast("string"), F.lit(str(seed)))))
+    u = [(number("mark", 8 * j + 1).cast("double") + 0.5) / 4294967296.0 for j in range(4)]
+    marks = marks.select("bucket", "g", *[x.alias(f"u{j}") for j, x in enumerate(u)])
+    marks = marks.select("bucket", "g", *[sum(((F.col(f"u{j}") > cut).cast("int") for cut in cuts), F.lit(0)).alias(f"w{j}") for j in range(4)])
+    sums = rows.join(marks, "bucket").groupBy("by", "g").agg(*[F.sum(F.col("x") * F.col(f"w{j}")).alias(f"s{j}") for j in range(4)], *[F.sum(F.col("n") * F.col(f"w{j}")).alias(f"n{j}") for j in range(4)])
     each = sums.select("by", "g", F.posexplode(F.array(*[F.struct(F.col(f"s{j}").alias("s"), F.col(f"n{j}").alias("n")) for j in range(4)])).alias("j", "r")).where(F.col("g") * 4 + F.col("j") < reps)
     every = each.groupBy("g", "j").agg(F.sum("r.s").alias("s"), F.sum("r.n").alias("n")).select(F.lit(None).cast(each.schema["by"].dataType).alias("by"), F.try_divide("s", "n").alias("m"))
     means = every.unionByName(each.select("by", F.try_divide("r.s", "r.n").alias("m"))) if by else every

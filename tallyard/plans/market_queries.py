@@ -66,8 +66,11 @@ _W = " + ".join(f"CAST(u > {c!r}::DOUBLE AS INTEGER)" for c in _cuts())
 
 def _boot(rows: str, reps: int) -> str:
     """BC: grp, mean, low, high. rows gives grp, k and x."""
-    return f"""BH AS MATERIALIZED (SELECT b.grp, x, g, md5(k || ':' || g || ':42') AS mark FROM ({rows}) b, range({reps // 4}) r(g)),
-BS AS MATERIALIZED (SELECT grp, g * 4 + j AS rep, sum(x * w) AS s, sum(w) AS n FROM (SELECT grp, g, j, x, {_W} AS w FROM (SELECT *, (CAST(('0x' || substr(mark, 1 + 8 * j, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM BH, range(4) q(j))) GROUP BY ALL),
+    number = "CAST(('0x' || substr({}, {}, 8)) AS BIGINT)"
+    return f"""BK AS MATERIALIZED (SELECT grp, {number.format("md5(k::VARCHAR)", 1)} % 1024 AS bucket, sum(x)::DOUBLE AS x, count(*) AS n FROM ({rows}) GROUP BY 1, 2),
+BH AS MATERIALIZED (SELECT bucket, g, md5(bucket || ':' || g || ':42') AS mark FROM range(1024) b(bucket), range({reps // 4}) r(g)),
+BW AS MATERIALIZED (SELECT bucket, g * 4 + j AS rep, {_W} AS w FROM (SELECT *, ({number.format("mark", "1 + 8 * j")} + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM BH, range(4) q(j))),
+BS AS MATERIALIZED (SELECT grp, rep, sum(x * w) AS s, sum(n * w) AS n FROM BK JOIN BW ON BW.bucket = BK.bucket GROUP BY grp, rep),
 BM AS (SELECT grp, rep, s / n AS m FROM BS UNION ALL SELECT NULL, rep, sum(s) / sum(n) FROM BS GROUP BY rep),
 BC AS (SELECT grp, round(avg(m), 4) AS mean, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM BM GROUP BY grp)"""
 
