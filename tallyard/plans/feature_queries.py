@@ -75,9 +75,9 @@ def w11_softmax(spark, sf):
     return H.softmax(entries(spark, sf).withColumn("z", F.col("discount") * 20), "z", "p").select("contest", "participant", F.round("p", 6).alias("p"))
 
 
-@query(with_entries("SELECT contest, participant, round(1 / odds / sum(1 / odds) OVER (PARTITION BY contest), 6) AS share FROM E"))
+@query(with_entries("SELECT contest, participant, round(1 / odds / sum(1 / odds) OVER (PARTITION BY contest), 9) AS share FROM E"))
 def w12_share(spark, sf):
-    return H.share(entries(spark, sf), 1 / F.col("odds")).select("contest", "participant", F.round("share", 6).alias("share"))
+    return H.share(entries(spark, sf), 1 / F.col("odds")).select("contest", "participant", F.round("share", 9).alias("share"))
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN coalesce(CASE WHEN turn % 3 <> 0 THEN turn END, -1) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS raw FROM conversations")
