@@ -21,8 +21,8 @@ import pyarrow.compute as pc
 
 from .common import resident
 
-CACHE_WORDS = 200_000
-KEEP_WORDS = 120_000
+CACHE_WORDS = 400_000
+KEEP_WORDS = 250_000
 LONG_WORD = 80
 SLICE_BYTES = 2_000_000
 ASK = 64
