@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, packing, quality, simhash, sstable, token_counts, toxicity, warc
+from . import ann, decontaminate, line_dedup, packing, quality, resampling, simhash, sstable, token_counts, toxicity, warc
 from .sql import ORACLES
 
 
@@ -65,8 +65,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, _read(spark, sf_dir, "documents"), "piece_bpe_32k.model", limit=4096)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=10, min_words=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_toxicity, op4_quality, op5_warc, op6_simhash, op7_decontaminate, op8_packing, op9_sstable, op10_token_counts)
+    f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_toxicity, op4_quality, op5_warc, op6_simhash, op7_decontaminate, op8_packing, op9_sstable, op10_token_counts, op11_resampling)
 }
 
 

@@ -57,4 +57,33 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN items i ON i.doc_id = d.doc_id
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op5_warc": OP5, "op7_decontaminate": OP7}
+# CRC-32 of a string: a table of 256 numbers, then a fold over the bytes.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS tab FROM range(256) AS t(i))"
+
+
+def _crc(text: str) -> str:
+    """The unsigned CRC-32 of text's UTF-8 bytes, beside the relation crc."""
+    bytes_ = f"list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_}), lambda c, b: xor(c // 256, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11 = rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, u.word, count(*) AS n FROM d, unnest(w) AS u(word) GROUP BY ALL),
+bw AS (SELECT u.word, count(*) AS n FROM b, unnest(w) AS u(word) GROUP BY ALL),
+spelt AS (SELECT word, {_crc("word")} % 10000 AS k FROM (SELECT word FROM dw UNION SELECT word FROM bw), crc),
+s AS (SELECT k, sum(n)::DOUBLE AS s FROM dw JOIN spelt USING (word) GROUP BY k),
+t AS (SELECT k, sum(n)::DOUBLE AS t FROM bw JOIN spelt USING (word) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((coalesce(t, 0) + 1) * (coalesce((SELECT sum(s) FROM s), 0) + 10000) / ((coalesce(s, 0) + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000))))::BIGINT AS gain
+      FROM s FULL JOIN t USING (k)),
+weights AS (SELECT doc_id, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM dw JOIN spelt USING (word) JOIN g USING (k) GROUP BY doc_id),
+sc AS (SELECT d.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+       FROM d LEFT JOIN weights USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM sc WHERE n_features >= 20)
+SELECT sc.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM sc LEFT JOIN r ON r.doc_id = sc.doc_id
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op5_warc": OP5, "op7_decontaminate": OP7, "op11_resampling": OP11}
