@@ -86,4 +86,22 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, co
 SELECT sc.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM sc LEFT JOIN r ON r.doc_id = sc.doc_id
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op5_warc": OP5, "op7_decontaminate": OP7, "op11_resampling": OP11}
+OP13 = rf"""
+WITH {_CRC_TABLE},
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM t),
+c AS (SELECT conv_id, {_crc("conv_id::VARCHAR")} % 4 AS h, conv_id - conv_id % 20 AS c0 FROM (SELECT DISTINCT conv_id FROM t), crc),
+b AS (SELECT c.conv_id, 0 AS own, o.n, role, text FROM c JOIN o ON o.conv_id = c.c0 AND o.n <= c.h
+      UNION ALL SELECT c.conv_id, 1, o.n, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.n > c.h),
+r AS (SELECT conv_id, row_number() OVER w AS depth, text, string_agg(sha256(octet_length(encode(role)) || ':' || role || text), '') OVER w AS k
+      FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY own, n ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT conv_id, 0 AS depth, '' AS text, '' AS k FROM c UNION ALL SELECT * FROM r),
+l AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS most, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS pk FROM a),
+n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(pk) AS pk, len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS words,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = most), '')) AS ends_sha256 FROM l GROUP BY k, depth),
+m AS (SELECT n.*, p.conv_id AS parent_conv_id, coalesce(q.n, 0) AS n_children FROM n LEFT JOIN n p ON p.k = n.pk LEFT JOIN (SELECT pk, count(*) AS n FROM n GROUP BY pk) q ON q.pk = n.k),
+s AS (SELECT a.k, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved_tokens FROM m JOIN a ON a.conv_id = m.conv_id AND a.depth <= m.depth GROUP BY a.k)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM m JOIN s ON s.k = m.k
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op5_warc": OP5, "op7_decontaminate": OP7, "op11_resampling": OP11, "op13_conversation_trie": OP13}
