@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, conversation_trie, decontaminate, line_dedup, packing, quality, resampling, simhash, sstable, token_counts, toxicity, warc
+from . import ann, conversation_trie, decontaminate, extraction, line_dedup, packing, quality, resampling, simhash, sstable, token_counts, toxicity, warc
 from .sql import ORACLES
 
 
@@ -69,12 +69,16 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), percent=10, min_words=20)
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(spark, _read(spark, sf_dir, "pages"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(spark, _read(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_toxicity, op4_quality, op5_warc, op6_simhash, op7_decontaminate, op8_packing, op9_sstable, op10_token_counts, op11_resampling, op13_conversation_trie)
+    f.__name__: f for f in (op1_line_dedup, op2_nearest_neighbours, op3_toxicity, op4_quality, op5_warc, op6_simhash, op7_decontaminate, op8_packing, op9_sstable, op10_token_counts, op11_resampling, op12_html_extraction, op13_conversation_trie)
 }
 
 

@@ -86,6 +86,15 @@ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, co
 SELECT sc.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM sc LEFT JOIN r ON r.doc_id = sc.doc_id
 """
 
+# The given pages have one template: an article of headings and paragraphs is their main text.
+OP12 = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '<!--.*?-->', '', 'gs') AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(replace(body, '<br>', ' '), '</?(?:p|h1)>'), lambda x:
+        trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '</?b>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM c
+"""
+
 OP13 = rf"""
 WITH {_CRC_TABLE},
 t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
@@ -104,4 +113,4 @@ s AS (SELECT a.k, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
 SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM m JOIN s ON s.k = m.k
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op5_warc": OP5, "op7_decontaminate": OP7, "op11_resampling": OP11, "op13_conversation_trie": OP13}
+ORACLES = {"op1_line_dedup": OP1, "op5_warc": OP5, "op7_decontaminate": OP7, "op11_resampling": OP11, "op12_html_extraction": OP12, "op13_conversation_trie": OP13}
