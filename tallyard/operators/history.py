@@ -109,22 +109,37 @@ def min_field(e: DataFrame, n: int) -> DataFrame:
 # ---- money over time
 
 
-def _by_days(bets: DataFrame, c: str, by: str, f) -> tuple[DataFrame, Column, Column]:
+def _by_days(bets: DataFrame, c: str, by: list[str], f) -> tuple[DataFrame, Column, Column]:
     """bets with what f makes of the days before within by; that, and what f makes of the day's bets so far. A task sees
     one day's bets, or one row a day."""
-    before = Window.partitionBy(by).orderBy("d").rowsBetween(FIRST, -1)
-    days = bets.groupBy(by, "d").agg(f(c).alias("_day")).select(by, "d", f("_day").over(before).alias("_before"))
-    so_far = Window.partitionBy(by, "d").orderBy("contest").rowsBetween(FIRST, 0)
-    return bets.join(days, [by, "d"]), F.col("_before"), f(c).over(so_far)
+    before = Window.partitionBy(*by).orderBy("d").rowsBetween(FIRST, -1)
+    days = bets.groupBy(*by, "d").agg(f(c).alias("_day")).select(*by, "d", f("_day").over(before).alias("_before"))
+    so_far = Window.partitionBy(*by, "d").orderBy("contest").rowsBetween(FIRST, 0)
+    return bets.join(days, [*by, "d"]), F.col("_before"), f(c).over(so_far)
 
 
-def equity(bets: DataFrame, pnl: str = "pnl", by: str = "season", start: float = 0.0) -> DataFrame:
-    """Bankroll after each bet at flat stakes."""
-    out, before, so_far = _by_days(bets, pnl, by, F.sum)
-    return out.withColumn("bankroll", F.coalesce(before, F.lit(0.0)) + so_far + F.lit(start)).drop("_before")
+def running_sum(bets: DataFrame, c: str, by: list[str], name: str) -> DataFrame:
+    """Sum of c over the bets of by up to and with each, in the order of date and contest."""
+    out, before, so_far = _by_days(bets, c, by, F.sum)
+    return out.withColumn(name, F.coalesce(before, F.lit(0.0)) + so_far).drop("_before")
+
+
+def equity(bets: DataFrame, pnl: str = "pnl", by: str = "season", start: float = 0.0, mode: str = "flat") -> DataFrame:
+    """Bankroll after each bet. mode flat: pnl is money, and adds up. mode kelly: pnl is the result as a share of the
+    bankroll before the bet; bankrolls are products, made as sums of logarithms in parallel, and growth is the logarithm
+    of the bankroll over start, which stays finite where the bankroll doesn't. A bet that loses all ends at 0, for good."""
+    if mode == "flat":
+        return running_sum(bets, pnl, [by], "bankroll").withColumn("bankroll", F.col("bankroll") + F.lit(start))
+    out = running_sum(bets.withColumn("_ln", log_factor(F.col(pnl))), "_ln", [by], "growth").drop("_ln")
+    return out.withColumn("bankroll", F.exp("growth") * start)
+
+
+def log_factor(r: Column) -> Column:
+    """Logarithm of what a bankroll is multiplied with by a result of r times itself; minus infinity from -1 down."""
+    return F.when(r > -1, F.log1p(r)).otherwise(F.lit(float("-inf")))
 
 
 def drawdown(bets: DataFrame, by: str = "season", bankroll: str = "bankroll") -> DataFrame:
     """Running peak, and how far below it the bankroll is, as a share of it."""
-    out, before, so_far = _by_days(bets, bankroll, by, F.max)
+    out, before, so_far = _by_days(bets, bankroll, [by], F.max)
     return out.withColumn("peak", F.greatest(before, so_far)).withColumn("drawdown", F.try_divide(F.col("peak") - F.col(bankroll), F.col("peak"))).drop("_before")

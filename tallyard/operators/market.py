@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyard.functions import pricing as P
 from tallyard.functions.scalars import distance_regime
 from tallyard.operators import history as H
-from tallyard.operators.ledger import Stake, fold
+from tallyard.operators.ledger import Stake, fold, ledger
 from tallyard.operators.relational import brier, settle_bets
 
 # ---- ledgers
@@ -155,7 +155,8 @@ def diagnostic_report(diag: DataFrame, reps: int = 2000) -> DataFrame:
 
 
 def compounding_ledger(bets: DataFrame, configs: DataFrame, start: float = 10_000.0, unit: float = 10.0) -> DataFrame:
-    """Final bankroll, bets made, wins, turnover and lowest bankroll of each (season, config).
+    """growth, n (bets made), wins, turnover and low (least bankroll) of each (season, config). growth and turnover are
+    logarithms of the last bankroll and of all stakes over start, as these may be beyond doubles.
 
     configs: config, mult (of Kelly's fraction) and floor (of the odds). Stakes are rounded, at least one unit, and left
     out above the bankroll.
@@ -164,10 +165,8 @@ def compounding_ledger(bets: DataFrame, configs: DataFrame, start: float = 10_00
     fraction = P.kelly(F.col("p"), F.col("odds"), 1.0) * F.col("mult")
     tickets = every.withColumns({"fraction": fraction, "k": F.lit(1), "n": F.lit(1)}).where("fraction > 0")
     steps = fold(tickets, Stake("rounded", start=start, unit=unit, minimum=unit, within=True))
-    return steps.groupBy("season", "config").agg(
-        F.round(F.max_by("bank", F.struct("d", "contest")), 2).alias("bankroll"), F.count("*").alias("n"), F.sum("won").alias("wins"),
-        F.round(F.sum("staked"), 2).alias("turnover"), F.round(F.least(F.min("bank"), F.lit(start)), 2).alias("low"),
-    )
+    turnover = F.log(F.col("staked") / start) + F.col("top") * math.log(2)
+    return ledger(steps, start).select("season", "config", "growth", F.col("contests").alias("n"), F.col("hits").alias("wins"), turnover.alias("turnover"), F.round(F.col("low") * start, 2).alias("low"))
 
 
 # ---- settlement

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyard.functions import pricing as P
 from tallyard.functions.scalars import distance_regime
 from tallyard.operators import history as H
-from tallyard.operators.ledger import Stake, fold, season_ledger
+from tallyard.operators.ledger import Stake, fold, plain, season_ledger
 from tallyard.operators.relational import combos
 
 # Hit rates of the ordered wheel by distance regime, of the banker, and of the wheel as a whole.
@@ -197,7 +197,7 @@ def _sweep(e: DataFrame, spec: Spec) -> DataFrame:
 
 def run_strategy(scored: DataFrame, spec: Spec) -> DataFrame:
     """A row a contest that is bet on, with the bankroll after it; every season starts anew."""
-    return fold(tickets(scored, spec).withColumn("config", F.lit("")), spec.stake).drop("config")
+    return plain(fold(tickets(scored, spec).withColumn("config", F.lit("")), spec.stake)).drop("config")
 
 
 def strategy_seasons(scored: DataFrame, spec: Spec) -> DataFrame:

@@ -153,6 +153,17 @@ def w13_equity(spark, sf):
     return H.equity(b, start=10_000.0).select("contest", F.round("bankroll", 4).alias("bankroll"))
 
 
+_KELLY_CURVE = "KC AS (SELECT *, sum(ln(1 + least(p, 0.5) / 4 * (CASE WHEN position = 1 THEN odds ELSE 0 END - 1))) OVER (PARTITION BY season ORDER BY d, contest ROWS UNBOUNDED PRECEDING) AS growth FROM BT)"
+
+
+@query(sql("SELECT contest, round(growth, 6) AS growth FROM KC", f"{_BETS}, {_KELLY_CURVE}"))
+def w13_equity_kelly(spark, sf):
+    """A quarter of p (up to one half) of the bankroll on each contest's first model pick, not rounded."""
+    share = F.least(F.col("p"), F.lit(0.5)) / 4
+    b = _bets(spark, sf).withColumn("r", share * (F.when(F.col("position") == 1, F.col("odds")).otherwise(0.0) - 1))
+    return H.equity(b, "r", mode="kelly").select("contest", F.round("growth", 6).alias("growth"))
+
+
 @query(sql("SELECT contest, round(peak, 4) AS peak, round((peak - bankroll) / peak, 6) AS drawdown FROM DD", f"{_BETS}, {_CURVE}"))
 def w14_drawdown(spark, sf):
     b = _bets(spark, sf).withColumn("pnl", F.col("returned") - F.col("staked"))
@@ -279,5 +290,4 @@ LG AS (SELECT season, config, 0::BIGINT AS i, 10000.0::DOUBLE AS bank, 0::BIGINT
 def l1_compounding_ledger(spark, sf):
     configs = spark.createDataFrame(_CONFIGS, "config string, mult double, floor double")
     out = M.compounding_ledger(_bets(spark, sf), configs)
-    # Bankrolls run up to numbers that no engine holds to the cent, so their logarithms are shown.
-    return out.select("season", "config", F.round(F.log(F.col("bankroll") / 10_000), 6).alias("growth"), "n", "wins", F.round(F.log(F.col("turnover") / 10_000), 6).alias("turnover"), "low")
+    return out.select("season", "config", F.round("growth", 6).alias("growth"), "n", "wins", F.round("turnover", 6).alias("turnover"), "low")

@@ -191,11 +191,32 @@ def test_bankrolls_carry_over(spark, stake):
     r = random.Random(3)
     rows = [(s, dt.date(2000, 1, 1 + c // 4), c, k, r.choice([1, 6]), round(r.random() / 4, 9), round(r.uniform(1, 9), 6), int(r.random() < 0.3)) for s in ("a", "b") for c in range(60) for k in range(r.randint(1, 3))]
     df = spark.createDataFrame(rows, "season string, d date, contest long, k int, n int, fraction double, odds double, won int").repartition(5)
-    got = sorted((x["season"], x["contest"], round(x["staked"], 6), round(x["returned"], 6), round(x["bank"], 6)) for x in L.fold(df.withColumn("config", F.lit("")), stake).collect())
-    assert got == slow_ledger(rows, stake) and got
+    steps = L.plain(L.fold(df.withColumn("config", F.lit("")), stake))
+    got = sorted((x["season"], x["contest"], x["staked"], x["returned"], x["bank"]) for x in steps.collect())
+    want = slow_ledger(rows, stake)
+    assert got and [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(x[2:] == pytest.approx(y[2:], abs=2e-6) for x, y in zip(got, want, strict=True))
     assert L.fold(df.withColumn("config", F.lit("")).limit(0), stake).count() == 0
 
 
+@pytest.mark.parametrize("stake", [L.Stake("share", start=1000.0), L.Stake("rounded", start=1000.0, minimum=10.0)])
+def test_bankrolls_beyond_doubles(spark, stake):
+    """Every ticket wins double its stake, 4,000 times: the bankroll ends at 1.5 ** 4000 times its start."""
+    rows = [("a", dt.date(2000, 1, 1) + dt.timedelta(c // 7), c, 1, 1, 0.5, 2.0, 1) for c in range(4000)] + [("b", dt.date(2000, 1, 1), c, 1, 1, 1.0, 2.0, int(c < 3)) for c in range(6)]
+    df = spark.createDataFrame(rows, "season string, d date, contest long, k int, n int, fraction double, odds double, won int").withColumn("config", F.lit("x"))
+    out = {r["season"]: r for r in L.season_ledger(L.fold(df, stake), stake.start).collect()}
+    assert out["a"]["growth"] == pytest.approx(4000 * math.log(1.5), abs=0.05) and out["a"]["roi"] == 1.0 and out["a"]["low"] == 1.0
+    assert out["b"]["low"] == 0.0 and out["b"]["growth"] is None or stake.how == "rounded"  # the fourth contest takes all
+
+
+def test_strategies_stay_finite_at_ten_times_the_contests(spark, e):
+    """Ten years of the same contests after each other, in one season."""
+    many = e.crossJoin(spark.range(10).toDF("again")).withColumns({"contest": F.col("contest") + F.col("again") * 1_000_000, "d": F.expr("d + make_interval(again)"), "season": F.lit("one")}).drop("again")
+    for name in ("v6_1", "v17", "v26", "v31"):
+        for r in S.strategy_seasons(scored_of(many), S.SPECS[name]).collect():
+            assert all(v is None or math.isfinite(v) for v in (r["roi"], r["growth"], r["low"]))
+
+
 def test_equity_by_days_is_equity_by_bets(spark):
     r = random.Random(4)
     rows = [(s, dt.date(2000, 1, 1 + c // 5), c, float(r.randint(-50, 60))) for s in ("a", "b") for c in range(40)]
