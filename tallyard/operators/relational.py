@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyard.functions.scalars import season_label
+from tallyard.sources.storage import last_of
 
 # ---- joins
 
@@ -17,8 +18,8 @@ def attach(df: DataFrame, other: DataFrame, keys: list[str], how: str = "left")
 
 
 def join_odds(features: DataFrame, odds: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join, one row a key."""
-    return features.join(odds, keys).dropDuplicates(keys)
+    """Inner join, one row a key: of rows that share it the last by all columns."""
+    return last_of(features.join(odds, keys), keys)
 
 
 def join_payouts(df: DataFrame, payouts: DataFrame, keys: list[str], payout: str = "payout") -> DataFrame:
@@ -27,8 +28,8 @@ def join_payouts(df: DataFrame, payouts: DataFrame, keys: list[str], payout: str
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Left join to a dimension, one row a key; Spark broadcasts it where its size allows."""
-    return df.join(dim.dropDuplicates([key]), key, "left")
+    """Left join to a dimension, one row a key (the last by all columns); Spark broadcasts it where its size allows."""
+    return df.join(last_of(dim, [key]), key, "left")
 
 
 def orphans(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:

@@ -8,10 +8,11 @@ from tallyard.functions.scalars import relevance
 from tallyard.operators import history as H
 from tallyard.operators import market as M
 from tallyard.operators import models as L
+from tallyard.operators.boosting import candidate_splits, fit_boosted_ranker
 from tallyard.operators.relational import brier, log_loss
 from tallyard.operators.strategies import SPECS, run_strategy
-from tallyard.plans.analogue import entries
-from tallyard.plans.market_queries import ranked, scored, sql
+from tallyard.plans.analogue import entries, with_entries
+from tallyard.plans.market_queries import FORM, ranked, scored, sql
 from tallyard.plans.table_queries import folds
 from tallyard.registry import query
 from tallyard.sources.storage import workspace
@@ -38,6 +39,32 @@ def m1_fit_ranker_trees(spark, sf):
     return model.transform(_features(spark, sf).where("d >= DATE '1999-09-01'")).select("contest", "participant", "score")
 
 
+@query()
+def m1_fit_ranker_boosted(spark, sf):
+    """Trees by the pairwise loss on the seasons before the last two, stopped by the NDCG of the last but one; scores of the last."""
+    e = _features(spark, sf)
+    model = fit_boosted_ranker(e.where("d < DATE '2000-09-01'"), FEATURES, relevance(F.col("position")), valid=F.col("d") >= F.lit("1999-09-01").cast("date"), rounds=10, depth=3, rate=0.3)
+    return model.transform(e.where("d >= DATE '2000-09-01'")).select("contest", "participant", "score")
+
+
+_CUTS = {"form": [0.0301, 0.0451, 0.0551, 0.0701], "weight": [10.5, 20.5, 30.5, 40.5], "discount": [0.015, 0.035, 0.055, 0.075]}
+_CUT_ROWS = ", ".join(f"('{f}', {c}::DOUBLE)" for f, cs in _CUTS.items() for c in cs)
+_GRADS = f"""FE AS (SELECT *, coalesce({FORM}, 0.05) AS form FROM E),
+TR AS (SELECT a.contest, a.participant, any_value(a.form) AS form, any_value(a.weight) AS weight, any_value(a.discount) AS discount,
+         sum(CASE WHEN a.position < b.position THEN -0.5 WHEN a.position > b.position THEN 0.5 ELSE 0 END)::DOUBLE AS g, sum(CASE WHEN a.position <> b.position THEN 0.25 ELSE 0 END)::DOUBLE AS h
+       FROM FE a JOIN FE b ON b.contest = a.contest WHERE a.d < DATE '1999-09-01' GROUP BY a.contest, a.participant),
+CU AS (SELECT * FROM (VALUES {_CUT_ROWS}) t(feature, cut)),
+SP AS (SELECT feature, cut, sum(CASE WHEN v <= cut THEN g ELSE 0 END) AS gl, sum(CASE WHEN v <= cut THEN h ELSE 0 END) AS hl, sum(g) AS ga, sum(h) AS ha
+       FROM (SELECT *, CASE feature WHEN 'form' THEN form WHEN 'weight' THEN weight ELSE discount END AS v FROM TR, CU) GROUP BY feature, cut)"""
+
+
+@query(with_entries("SELECT feature, cut, round(gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1), 5) AS gain, round(-0.1 * gl / (hl + 1), 7) AS \"left\", round(-0.1 * (ga - gl) / (ha - hl + 1), 7) AS \"right\" FROM SP", _GRADS))
+def m1_boosted_splits(spark, sf):
+    """Every split of a first tree's root, with its gain and the values of both leaves."""
+    out = candidate_splits(_train(spark, sf), list(_CUTS), relevance(F.col("position")), list(_CUTS.values()))
+    return out.select("feature", "cut", F.round("gain", 5).alias("gain"), F.round("left", 7).alias("left"), F.round("right", 7).alias("right"))
+
+
 @query()
 def m2_fit_platt(spark, sf):
     """Of the probabilities to win and to place: losses by season."""
@@ -55,6 +82,19 @@ def m3_fit_isotonic(spark, sf):
     return iso(e.where("d >= DATE '1999-09-01'")).select("contest", "participant", "calibrated")
 
 
+_CELLS = """CL AS (SELECT round(p, 2) AS cell, count(*) AS n, sum(CAST(position = 1 AS INTEGER))::DOUBLE AS wins FROM RK WHERE d < DATE '1999-09-01' GROUP BY 1),
+MEANS AS (SELECT a.cell AS lo, b.cell AS hi, sum(c.wins) / sum(c.n) AS mean FROM CL a JOIN CL b ON b.cell >= a.cell JOIN CL c ON c.cell BETWEEN a.cell AND b.cell GROUP BY a.cell, b.cell),
+LEAST AS (SELECT c.cell, m.lo, min(m.mean) AS mean FROM CL c JOIN MEANS m ON m.lo <= c.cell AND m.hi >= c.cell GROUP BY c.cell, m.lo)"""
+
+
+@query(sql("SELECT CL.cell, n, round(fit, 6) AS calibrated FROM CL JOIN (SELECT cell, max(mean) AS fit FROM LEAST GROUP BY cell) f ON f.cell = CL.cell", _CELLS))
+def m3_isotonic_cells(spark, sf):
+    """The isotonic fit of winning on p in hundredths, at its own cells."""
+    e = scored(spark, sf).where("d < DATE '1999-09-01'").withColumns({"cell": F.round("p", 2), "win": (F.col("position") == 1).cast("int")})
+    cells = e.groupBy("cell").agg(F.count("*").alias("n"))
+    return L.fit_isotonic(e, "cell", "win")(cells).select("cell", "n", F.round("calibrated", 6).alias("calibrated"))
+
+
 @query()
 def m4_fit_meta(spark, sf):
     e = H.pressure(ranked(spark, sf).withColumns({"implied": 1 / F.col("odds"), "win": (F.col("position") == 1).cast("int")}), "discount")
@@ -73,6 +113,31 @@ def m6_attribution(spark, sf):
     return out.select("feature", F.round("mean_abs", 6).alias("mean_abs"), F.round("percent", 4).alias("percent"), "kept")
 
 
+_VARIANTS = """MP AS (SELECT contest, participant, discount, weight, odds, greatest(0, 20 - position)::DOUBLE AS rel FROM E),
+VA AS (SELECT * FROM (VALUES ('', 0), ('discount', 0), ('discount', 1), ('weight', 0), ('weight', 1), ('odds', 0), ('odds', 1)) t(feature, again)),
+PL AS (SELECT MP.*, feature, again, row_number() OVER (PARTITION BY contest, feature, again ORDER BY participant) AS i,
+         row_number() OVER (PARTITION BY contest, feature, again ORDER BY md5('42:' || again || ':' || feature || ':' || contest || ':' || participant)) AS k FROM MP, VA),
+SW AS (SELECT a.contest, a.participant, a.feature, a.again, a.rel, CASE WHEN a.feature = 'discount' THEN b.discount ELSE a.discount END * 10 + CASE WHEN a.feature = 'weight' THEN b.weight ELSE a.weight END * 0.01 + CASE WHEN a.feature = 'odds' THEN b.odds ELSE a.odds END * -0.002 AS score
+       FROM PL a JOIN PL b ON b.contest = a.contest AND b.feature = a.feature AND b.again = a.again AND b.k = a.i),
+OD AS (SELECT *, row_number() OVER (PARTITION BY contest, feature, again ORDER BY round(score, 9) DESC, participant) AS got, row_number() OVER (PARTITION BY contest, feature, again ORDER BY rel DESC, participant) AS best FROM SW),
+ND AS (SELECT feature, avg(x) AS m FROM (SELECT feature, again, contest, """ + "sum(CASE WHEN got <= 3 THEN (pow(2.0::DOUBLE, rel) - 1) / log2(got + 1) ELSE 0 END) / nullif(sum(CASE WHEN best <= 3 THEN (pow(2.0::DOUBLE, rel) - 1) / log2(best + 1) ELSE 0 END), 0) AS x FROM OD GROUP BY feature, again, contest) GROUP BY feature)"
+
+
+class _Rounded(L.LinearRanker):
+    """Scores to nine digits, so that ties are ties in any engine."""
+
+    def transform(self, e, name="score"):
+        return super().transform(e, name).withColumn(name, F.round(name, 9))
+
+
+@query(with_entries("SELECT a.feature, round(b.m, 6) AS base, round(a.m, 6) AS permuted FROM ND a JOIN ND b ON b.feature = '' WHERE a.feature <> ''", _VARIANTS))
+def m6_permutation(spark, sf):
+    """What NDCG at 3 of a fixed score falls to when a feature is dealt anew within each contest."""
+    model = _Rounded(["discount", "weight", "odds"], [10.0, 0.01, -0.002])
+    out = L.permutation_importance(entries(spark, sf), model, model.features, relevance(F.col("position")), repeats=2)
+    return out.select("feature", F.round("base", 6).alias("base"), F.round("permuted", 6).alias("permuted"))
+
+
 @query()
 def m7_walk_forward(spark, sf):
     out = L.walk_forward(_features(spark, sf), folds(spark, lookback=5), FEATURES)
