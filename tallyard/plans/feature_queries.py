@@ -159,6 +159,29 @@ def r3_glicko(spark, sf):
     return h.select(F.col("period").cast("long").alias("period"), "participant", F.round("rating", 2).alias("pre"), F.round("rating_after", 2).alias("post"), F.round("rd_after", 2).alias("rd"))
 
 
+_BOTH = "(1 + ln(abs(ma - mb) + 1))"
+_LEVELED = f"""{FULL_ENTRIES},
+ED AS MATERIALIZED (SELECT DISTINCT contest, before FROM (SELECT contest, lag(contest) OVER (PARTITION BY participant ORDER BY d, contest) AS before FROM FE) WHERE before IS NOT NULL),
+PATHS AS (SELECT DISTINCT contest, 1 AS k FROM FE UNION ALL SELECT DISTINCT e.contest, k + 1 FROM PATHS JOIN ED e ON e.before = PATHS.contest),
+LV AS MATERIALIZED (SELECT contest, max(k) AS level FROM PATHS GROUP BY contest),
+EL AS MATERIALIZED (SELECT contest, participant, margin, coalesce(position, 99) AS pos, level, count(*) OVER (PARTITION BY contest) AS n FROM FE JOIN LV USING (contest)),
+PR AS MATERIALIZED (SELECT a.level, a.n, a.participant AS pa, b.participant AS pb, a.pos AS posa, b.pos AS posb, a.margin AS ma, b.margin AS mb FROM EL a JOIN EL b ON a.contest = b.contest AND a.participant <> b.participant),
+RS AS (SELECT 0 AS k, participant, 1500.0::DOUBLE AS elo, 1500.0::DOUBLE AS margin_elo, 1500.0::DOUBLE AS rating, 350.0::DOUBLE AS rd FROM (SELECT DISTINCT participant FROM EL)
+  UNION ALL SELECT S.k + 1, S.participant, S.elo + coalesce(D.e, 0), S.margin_elo + coalesce(D.m, 0), CASE WHEN D.pa IS NULL THEN S.rating ELSE S.rating + 173.7178::DOUBLE * {_NEW2} * D.delta END, CASE WHEN D.pa IS NULL THEN S.rd ELSE sqrt({_NEW2}) * 173.7178::DOUBLE END
+  FROM (SELECT *, 0.06::DOUBLE AS vol FROM RS) S LEFT JOIN (SELECT p.pa, sum(32.0::DOUBLE * ({_WON} - 1 / (1 + pow(10.0::DOUBLE, (B.elo - A.elo) / 400))) / (n - 1)) AS e,
+      sum(20.0::DOUBLE * {_BOTH} * ({_WON} - 1 / (1 + pow(10.0::DOUBLE, (B.margin_elo - A.margin_elo) / 400))) / (n - 1)) AS m, sum({_G} * {_G} * {_GE} * (1 - {_GE})) AS v_inv, sum({_G} * ({_WON} - {_GE})) AS delta
+    FROM PR p JOIN RS A ON A.participant = p.pa AND p.level = A.k + 1 JOIN RS B ON B.participant = p.pb GROUP BY p.pa) D ON D.pa = S.participant WHERE S.k < (SELECT max(level) FROM LV))"""
+_SHOWN = ", ".join(f"round(A.{c}, 2) AS {c}_pre, round(B.{c}, 2) AS {c}_post" for c in ("elo", "margin_elo", "rating", "rd"))
+
+
+@query(with_entries(f"SELECT contest, EL.participant, {_SHOWN} FROM EL JOIN RS A ON A.participant = EL.participant AND A.k = level - 1 JOIN RS B ON B.participant = EL.participant AND B.k = level", _LEVELED).replace("WITH ", "WITH RECURSIVE ", 1))
+def r1_r2_r3_by_contest(spark, sf):
+    """The three ratings before and after every contest, each contest seeing all earlier ones."""
+    h = R.ratings_by_contest(full_entries(spark, sf)).withColumnsRenamed({"glicko": "rating", "glicko_after": "rating_after"})
+    shown = [F.round(f"{c}{old}", 2).alias(f"{c}_{new}") for c in ("elo", "margin_elo", "rating", "rd") for old, new in (("", "pre"), ("_after", "post"))]
+    return h.select("contest", "participant", *shown)
+
+
 def _edges_sql(source: str, position: str) -> str:
     return f"""SNAP AS (SELECT DISTINCT CAST(date_trunc('year', d) AS DATE) AS as_of FROM {source}),
 EDGES AS MATERIALIZED (SELECT as_of, a.participant AS src, b.participant AS dst, count(*) AS weight FROM {source} a JOIN {source} b ON a.contest = b.contest AND {position.format('a')} > {position.format('b')} JOIN SNAP ON a.d < as_of GROUP BY 1, 2, 3)"""
