@@ -6,6 +6,8 @@ passage does. A line of min_words / (2 spread) words or more is a chunk of its o
 that stands at two places has a chunk in common there: with over 2 spread lines it holds two borders that its own lines
 decide, and with fewer it holds such a long line.
 
+Blank lines go with the line before them: they are not compared, and part no passage.
+
 A chunk that stands at an earlier place too (by doc_id, then line) is a repeat. Where it does, it is extended line by
 line to both sides, and with the chunks beside it that repeat the same document at the same distance it makes up one
 stretch, the longest that both places share. Stretches and their sources are then compared byte by byte; where a group
@@ -15,7 +17,7 @@ words or more go. The first place of any line is never removed: each removed lin
 min_words tells passages from lines that documents share by nature (headings, greetings, notices); 50 words are about
 a paragraph.
 
-Defined results: null texts stay null and empty ones empty; a document removed whole has an empty text; rows that
+Defined results: the blank lines after a removed line go with it (those at a text's beginning stay); null texts stay null and empty ones empty; a document removed whole has an empty text; rows that
 repeat both doc_id and text are one document and get the same result; null ids come last; an empty table gives no
 rows; all other columns of docs are kept as they are, whatever they are called (but for columns with the names of those
 that dedup_lines adds, which it replaces).
@@ -37,6 +39,21 @@ DIGITS, BASE, PRIME = 7, 31, 268_435_399
 ADDED = ("n_lines", "n_removed_lines", "n_removed_words")
 
 
+#: A noncharacter that stands for line ends that are followed by a blank line or by nothing.
+BLANK = "\ufdd0"
+
+
+def lines_of(text: Column) -> Column:
+    """The lines of a text, each with the blank lines after it, whose line ends are BLANK. Texts that hold that character
+    themselves are split at every line end."""
+    return F.split(F.when(text.contains(BLANK), text).otherwise(F.regexp_replace(text, r"\n(?=[ \t\r]*(?:\n|\z))", BLANK)), "\n")
+
+
+def bare(line: Column, text: Column) -> Column:
+    """A line without the blank lines after it."""
+    return F.when(text.contains(BLANK), line).otherwise(F.substring_index(line, BLANK, 1))
+
+
 def words_in(line: Column) -> Column:
     return F.regexp_count(line, F.lit(r"[^ \t\r\n]+"))
 
@@ -49,7 +66,7 @@ def border_digit(line: Column) -> Column:
 def chunks(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREAD, hash_of=F.xxhash64) -> DataFrame:
     """id, key, a, b, h, before, after: every chunk with a word in it, by its first and last line, its hash, and the
     hashes of the lines beside it, nearest first."""
-    rows = docs.where(F.length("text") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), F.split("text", "\n").alias("lines"))
+    rows = docs.where(F.length("text") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), F.transform(lines_of(F.col("text")), lambda x: bare(x, F.col("text"))).alias("lines"))
     rows = rows.withColumns({"hs": F.transform("lines", lambda x: F.xxhash64(x)), "digits": F.transform("lines", border_digit), "words": F.transform("lines", words_in)})
     n, reach = F.size("lines"), spread + 1
     rolled = lambda i: F.pmod(sum((F.get("digits", i - j) * BASE**j for j in range(1, WINDOW)), F.get("digits", i)), F.lit(PRIME))
@@ -111,8 +128,8 @@ def _with_spans(docs: DataFrame, found: DataFrame, names: dict[str, str]) -> Dat
 
 def _differing(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     """g of the groups whose stretches are not all the same bytes. Equal ones meet within a task before the shuffle."""
-    each = rows.where(F.col(names["spans"]).isNotNull()).select("text", F.explode(names["spans"]).alias("s"))
-    body = F.array_join(F.slice(F.split("text", "\n"), F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + 1), "\n")
+    each = rows.where(F.col(names["spans"]).isNotNull()).select("text", lines_of(F.col("text")).alias("lines"), names["spans"]).select("text", "lines", F.explode(names["spans"]).alias("s"))
+    body = F.array_join(F.transform(F.slice("lines", F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + 1), lambda x: bare(x, F.col("text"))), "\n")
     return each.select(F.col("s.g").alias("g"), body.alias("body")).distinct().groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
 
 
@@ -129,20 +146,24 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREA
         fine = each.groupBy(F.col(names["id"]).alias(names["own"]), F.col(names["key"]).alias(names["text"])).agg(F.collect_set("s").alias(names["lines"]))
         rows = rows.join(fine, (F.col(names["id"]) == F.col(names["own"])) & (F.col(names["key"]) == F.col(names["text"])), "left")
         rows = rows.withColumn(names["spans"], F.col(names["lines"])).drop(names["own"], names["text"], names["lines"])
-    rows = rows.withColumn(names["lines"], F.split("text", "\n"))
+    rows = rows.withColumn(names["lines"], lines_of(F.col("text")))
     repeats = F.array_sort(F.transform(F.filter(F.coalesce(names["spans"], F.array().cast(SPANS)), lambda s: s["repeat"]), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))
     none = F.array().cast("array<struct<a:int,b:int>>")
     last = lambda done: F.get(done, F.size(done) - 1)
     wider = lambda done, s: F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last(done)["a"].alias("a"), F.greatest(last(done)["b"], s["b"]).alias("b"))))
     joined = F.aggregate(repeats, none, lambda done, s: F.when((F.size(done) > 0) & (last(done)["b"] >= s["a"]), wider(done, s)).otherwise(F.concat(done, F.array(s))))
-    size = lambda s: F.aggregate(F.slice(names["lines"], s["a"] + 1, s["b"] - s["a"] + 1), F.lit(0), lambda n, x: n + words_in(x))
+    size = lambda s: F.aggregate(F.slice(names["lines"], s["a"] + 1, s["b"] - s["a"] + 1), F.lit(0), lambda n, x: n + words_in(bare(x, F.col("text"))))
     rows = rows.withColumn(names["gone"], F.filter(joined, lambda s: size(s) >= min_words))
     kept = F.filter(names["lines"], lambda x, i: ~F.exists(names["gone"], lambda s: (i >= s["a"]) & (i <= s["b"])))
+    ends = lambda x: 1 + F.when(F.col("text").contains(BLANK), F.lit(0)).otherwise(F.length(x) - F.length(F.replace(x, F.lit(BLANK), F.lit(""))))
+    height = lambda s: F.aggregate(F.slice(names["lines"], s["a"] + 1, s["b"] - s["a"] + 1), F.lit(0), lambda n, x: n + ends(x))
+    whole = F.array_join(kept, "\n")
+    whole = F.when(F.col("text").contains(BLANK), whole).otherwise(F.replace(whole, F.lit(BLANK), F.lit("\n")))
     total = lambda f: F.aggregate(names["gone"], F.lit(0), lambda n, s: n + f(s))
-    out = [F.when(F.size(names["gone"]) > 0, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    out = [F.when(F.size(names["gone"]) > 0, whole).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(
-        *out, F.when(F.length("text") > 0, F.size(names["lines"])).otherwise(0).cast("long").alias("n_lines"),
-        total(lambda s: s["b"] - s["a"] + 1).cast("long").alias("n_removed_lines"), total(size).cast("long").alias("n_removed_words"),
+        *out, F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"),
+        total(height).cast("long").alias("n_removed_lines"), total(size).cast("long").alias("n_removed_words"),
     )
 
 

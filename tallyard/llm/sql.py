@@ -2,9 +2,13 @@
 
 _X = "CAST(('0x' || substr(md5(line), 1, 7)) AS BIGINT)"
 OP1 = rf"""
-WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-L AS (SELECT doc_id, u.i - 1 AS i, u.line AS line, len(regexp_extract_all(u.line, '[^ \t\r\n]+')) AS words
-      FROM docs, unnest(list_transform(lines, lambda x, i: {{'i': i, 'line': x}})) AS t(u) WHERE text <> ''),
+WITH given AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+P AS (SELECT doc_id, u.i - 1 AS i, u.line AS line, len(regexp_extract_all(u.line, '[^ \t\r\n]+')) AS words
+      FROM given, unnest(list_transform(lines, lambda x, i: {{'i': i, 'line': x}})) AS t(u) WHERE text <> ''),
+N AS (SELECT *, CAST(sum(CAST(words > 0 AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS n FROM P),
+L AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i, line, words, part, height FROM
+      (SELECT doc_id, n, min_by(line, i) AS line, sum(words) AS words, string_agg(line, chr(10) ORDER BY i) AS part, count(*) AS height FROM N GROUP BY doc_id, n)),
+docs AS (SELECT g.doc_id, g.text, len(g.lines) AS n_lines, coalesce(l.lines, ['']) AS lines FROM given g LEFT JOIN (SELECT doc_id, list(line ORDER BY i) AS lines FROM L GROUP BY doc_id) l ON l.doc_id = g.doc_id),
 R AS (SELECT *, (lag(x) OVER w * 31 + x) % 268435399 AS roll, lead(words) OVER w AS next_words, lead(i) OVER w AS next_i
       FROM (SELECT *, {_X} AS x FROM L) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 ends AS (SELECT DISTINCT doc_id, CASE WHEN roll <= next_roll THEN i ELSE i + 1 END AS b FROM (SELECT *, lead(roll) OVER (PARTITION BY doc_id ORDER BY i) AS next_roll FROM R) WHERE roll IS NOT NULL AND next_roll IS NOT NULL
@@ -24,10 +28,10 @@ marked AS (SELECT *, CASE WHEN max(b) OVER (PARTITION BY doc_id ORDER BY a, b RO
 islands AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS n FROM marked) GROUP BY doc_id, n),
 sized AS (SELECT s.doc_id, s.a, s.b, sum(l.words) AS words FROM islands s JOIN L l ON l.doc_id = s.doc_id AND l.i BETWEEN s.a AND s.b GROUP BY ALL),
 gone AS (SELECT * FROM sized WHERE words >= 50),
-per AS (SELECT doc_id, sum(b - a + 1) AS n_lines, sum(words) AS n_words FROM gone GROUP BY doc_id),
-kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text FROM L l
+per AS (SELECT g.doc_id, sum(l.height) AS n_lines, sum(l.words) AS n_words FROM gone g JOIN L l ON l.doc_id = g.doc_id AND l.i BETWEEN g.a AND g.b GROUP BY g.doc_id),
+kept AS (SELECT l.doc_id, string_agg(l.part, chr(10) ORDER BY l.i) AS text FROM L l
          WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = l.doc_id AND l.i BETWEEN g.a AND g.b) GROUP BY l.doc_id)
-SELECT d.doc_id, CAST(CASE WHEN d.text <> '' THEN len(d.lines) ELSE 0 END AS BIGINT) AS n_lines, CAST(coalesce(p.n_lines, 0) AS BIGINT) AS n_removed_lines,
+SELECT d.doc_id, CAST(CASE WHEN d.text <> '' THEN d.n_lines ELSE 0 END AS BIGINT) AS n_lines, CAST(coalesce(p.n_lines, 0) AS BIGINT) AS n_removed_lines,
        CAST(coalesce(p.n_words, 0) AS BIGINT) AS n_removed_words, CASE WHEN p.doc_id IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text
 FROM docs d LEFT JOIN per p ON p.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """

@@ -7,12 +7,24 @@ from pyspark.sql import functions as F
 from tallyard.llm import line_dedup
 
 
+def units(text):
+    """Each line with the wordless lines after it."""
+    out = []
+    for line in text.split("\n"):
+        if out and not re.search("[^ \t\r]", line):
+            out[-1].append(line)
+        else:
+            out.append([line])
+    return out
+
+
 def brute(rows, min_words=50, spread=2):
     """Chunks between least rolling hashes and around long lines; those found again grow line by line, and with what
     they overlap go if long enough."""
     count = lambda x: len(re.findall("[^ \t\r\n]+", x))
     order = sorted((k for k in range(len(rows)) if rows[k][1]), key=lambda k: (rows[k][0] if rows[k][0] is not None else 1 << 62, k))
-    lines = {k: rows[k][1].split("\n") for k in order}
+    parts = {k: units(rows[k][1]) for k in order}
+    lines = {k: [x[0] for x in parts[k]] for k in order}
     places, gone = {}, {k: [] for k in order}
     for k in order:
         digits = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines[k]]
@@ -52,7 +64,7 @@ def brute(rows, min_words=50, spread=2):
             else:
                 done.append([a, b])
         done = [(a, b) for a, b in done if sum(map(count, own[a : b + 1])) >= min_words]
-        out[k] = "\n".join(x for j, x in enumerate(own) if not any(a <= j <= b for a, b in done))
+        out[k] = "\n".join("\n".join(x) for j, x in enumerate(parts[k]) if not any(a <= j <= b for a, b in done))
     return [out[k] for k in range(len(rows))]
 
 
@@ -64,7 +76,8 @@ def corpus(seed=2):
     rows = [(0, None), (1, ""), (2, "\n\n"), (3, "x"), (4, line(20000)), (5, "\n".join([line(9)] * 30))]
     for k in range(6, 90):
         parts = [[line(r.randint(1, 30)) for _ in range(r.randint(0, 4))] for _ in range(2)]
-        rows.append((k, "\n".join(parts[0] + (r.choice(passages) if r.random() < 0.6 else []) + [boiler] + parts[1])))
+        gap = r.choice(["", "", "\n", "\n \t\n\n"])
+        rows.append((k, r.choice(["", "", "\n\n"]) + "\n".join(parts[0] + ([x + gap for x in r.choice(passages)] if r.random() < 0.6 else []) + [boiler] + parts[1]) + gap))
     return [*rows, (90, rows[20][1]), (91, rows[20][1]), (None, rows[21][1])]
 
 
@@ -104,6 +117,13 @@ def test_every_long_repeat_has_a_chunk_in_common(spark, docs_of):
     assert all(got[2 * k] == 0 and got[2 * k + 1] == 50 for k in range(60))
 
 
+def test_blank_lines_part_no_passage(spark, docs_of):
+    half = [" ".join(f"{w}{k}" for k in range(30)) for w in ("left", "right")]
+    rows = [(1, "own\n" + half[0] + "\n" * 9 + half[1] + "\nend"), (2, "other\n" + half[0] + "\n" + half[1] + "\n \n\nlast"), (3, half[0] + "\n\n" + half[1] + "\n\n"), (4, line_dedup.BLANK + half[0] + "\n\n" + half[1]), (5, "\n\n")]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed_lines"], r["n_removed_words"]) for r in line_dedup.dedup_lines(docs_of(rows)).collect()}
+    assert got == {1: (rows[0][1], 12, 0, 0), 2: ("other\nlast", 6, 4, 60), 3: ("", 5, 5, 60), 4: (rows[3][1], 3, 0, 0), 5: ("\n\n", 3, 0, 0)}
+
+
 def test_repeated_rows_change_nothing(spark, docs_of):
     rows = corpus(4)
     a = line_dedup.dedup_lines(docs_of(rows)).select("doc_id", "text").collect()
