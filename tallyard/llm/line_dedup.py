@@ -49,13 +49,14 @@ def lines_of(text: Column) -> Column:
     return F.split(F.when(text.contains(BLANK), text).otherwise(F.regexp_replace(text, r"\n(?=[ \t\r]*(?:\n|\z))", BLANK)), "\n")
 
 
-def bare(line: Column, text: Column) -> Column:
-    """A line without the blank lines after it."""
-    return F.when(text.contains(BLANK), line).otherwise(F.substring_index(line, BLANK, 1))
+def bare_lines(text: Column) -> Column:
+    """The same lines without the blank ones after them. What is asked of the whole text is asked once, not by the line."""
+    return F.when(text.contains(BLANK), F.split(text, "\n")).otherwise(F.transform(lines_of(text), lambda x: F.substring_index(x, BLANK, 1)))
 
 
 def words_in(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"[^ \t\r\n]+"))
+    """Runs of anything but white space and BLANK."""
+    return F.regexp_count(line, F.lit(rf"[^ \t\r\n{BLANK}]+"))
 
 
 def border_digit(line: Column) -> Column:
@@ -66,7 +67,7 @@ def border_digit(line: Column) -> Column:
 def chunks(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREAD, hash_of=F.xxhash64) -> DataFrame:
     """id, key, a, b, h, before, after: every chunk with a word in it, by its first and last line, its hash, and the
     hashes of the lines beside it, nearest first."""
-    rows = docs.where(F.length("text") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), F.transform(lines_of(F.col("text")), lambda x: bare(x, F.col("text"))).alias("lines"))
+    rows = docs.where(F.length("text") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), bare_lines(F.col("text")).alias("lines"))
     rows = rows.withColumns({"hs": F.transform("lines", lambda x: F.xxhash64(x)), "digits": F.transform("lines", border_digit), "words": F.transform("lines", words_in)})
     n, reach = F.size("lines"), spread + 1
     rolled = lambda i: F.pmod(sum((F.get("digits", i - j) * BASE**j for j in range(1, WINDOW)), F.get("digits", i)), F.lit(PRIME))
@@ -128,8 +129,8 @@ def _with_spans(docs: DataFrame, found: DataFrame, names: dict[str, str]) -> Dat
 
 def _differing(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     """g of the groups whose stretches are not all the same bytes. Equal ones meet within a task before the shuffle."""
-    each = rows.where(F.col(names["spans"]).isNotNull()).select("text", lines_of(F.col("text")).alias("lines"), names["spans"]).select("text", "lines", F.explode(names["spans"]).alias("s"))
-    body = F.array_join(F.transform(F.slice("lines", F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + 1), lambda x: bare(x, F.col("text"))), "\n")
+    each = rows.where(F.col(names["spans"]).isNotNull()).select(bare_lines(F.col("text")).alias("lines"), F.explode(names["spans"]).alias("s"))
+    body = F.array_join(F.slice("lines", F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + 1), "\n")
     return each.select(F.col("s.g").alias("g"), body.alias("body")).distinct().groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
 
 
@@ -152,11 +153,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREA
     last = lambda done: F.get(done, F.size(done) - 1)
     wider = lambda done, s: F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last(done)["a"].alias("a"), F.greatest(last(done)["b"], s["b"]).alias("b"))))
     joined = F.aggregate(repeats, none, lambda done, s: F.when((F.size(done) > 0) & (last(done)["b"] >= s["a"]), wider(done, s)).otherwise(F.concat(done, F.array(s))))
-    size = lambda s: F.aggregate(F.slice(names["lines"], s["a"] + 1, s["b"] - s["a"] + 1), F.lit(0), lambda n, x: n + words_in(bare(x, F.col("text"))))
+    size = lambda s: F.aggregate(F.slice(names["lines"], s["a"] + 1, s["b"] - s["a"] + 1), F.lit(0), lambda n, x: n + words_in(x))
     rows = rows.withColumn(names["gone"], F.filter(joined, lambda s: size(s) >= min_words))
     kept = F.filter(names["lines"], lambda x, i: ~F.exists(names["gone"], lambda s: (i >= s["a"]) & (i <= s["b"])))
-    ends = lambda x: 1 + F.when(F.col("text").contains(BLANK), F.lit(0)).otherwise(F.length(x) - F.length(F.replace(x, F.lit(BLANK), F.lit(""))))
-    height = lambda s: F.aggregate(F.slice(names["lines"], s["a"] + 1, s["b"] - s["a"] + 1), F.lit(0), lambda n, x: n + ends(x))
+    ends = lambda x: 1 + F.length(x) - F.length(F.replace(x, F.lit(BLANK), F.lit("")))
+    blank = lambda s: F.aggregate(F.slice(names["lines"], s["a"] + 1, s["b"] - s["a"] + 1), F.lit(0), lambda n, x: n + ends(x))
+    height = lambda s: F.when(F.col("text").contains(BLANK), s["b"] - s["a"] + 1).otherwise(blank(s))
     whole = F.array_join(kept, "\n")
     whole = F.when(F.col("text").contains(BLANK), whole).otherwise(F.replace(whole, F.lit(BLANK), F.lit("\n")))
     total = lambda f: F.aggregate(names["gone"], F.lit(0), lambda n, s: n + f(s))
