@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyard.operators import buckets as B
 from tallyard.operators import history as H
 from tallyard.operators import ratings as R
 from tallyard.plans.analogue import FULL_ENTRIES, entries, full_entries, table, with_entries
@@ -52,6 +53,21 @@ def w7_handler_rate_strict(spark, sf):
     return H.handler_rate(entries(spark, sf)).select("contest", "participant", F.round("handler_rate", 6).alias("rate"))
 
 
+@query(with_entries("SELECT contest, participant, round(handler_rate, 6) AS rate FROM RT", _STRICT))
+def w7_handler_rate_buckets(spark, sf):
+    """w7 for handlers that hold a large share of all rows."""
+    return B.handler_rate(entries(spark, sf)).select("contest", "participant", F.round("handler_rate", 6).alias("rate"))
+
+
+_SO_FAR = f"({_HD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(with_entries(f"SELECT contest, participant, round(coalesce(avg(CAST(position = 1 AS DOUBLE)) OVER {_SO_FAR}, 0.08), 6) AS rate, count(*) OVER {_SO_FAR} AS n_before, CAST(coalesce(sum(CAST(position = 1 AS INTEGER)) OVER {_SO_FAR}, 0) AS BIGINT) AS prior_wins FROM E"))
+def w4_prior_rate_buckets(spark, sf):
+    """w3, w4 and w16 of handlers in the same way."""
+    return B.prior_rate(entries(spark, sf)).select("contest", "participant", F.round("handler_prior_rate", 6).alias("rate"), "n_before", "prior_wins")
+
+
 @query(with_entries("SELECT contest, participant, round(p, 4) AS pressure, round(price - p, 4) AS advantage FROM (SELECT *, sum(CASE WHEN rn <= 3 THEN price END) OVER (PARTITION BY contest) AS p FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY price DESC, participant) AS rn FROM E))"))
 def w8_pressure(spark, sf):
     return H.pressure(entries(spark, sf), "price").select("contest", "participant", F.round("pressure", 4).alias("pressure"), F.round("advantage", 4).alias("advantage"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyard.functions import scalars as S
+from tallyard.operators import buckets
 from tallyard.operators import relational as R
 from tallyard.plans.analogue import entries, table, with_entries
 from tallyard.registry import query
@@ -199,6 +200,14 @@ def j11_as_of(spark, sf):
     return R.as_of(e, history, "participant", "last_price", 0.0).select("contest", "participant", "last_price")
 
 
+@query(with_entries("SELECT e.contest, e.participant, coalesce((SELECT max_by(h.w, h.d) FROM (SELECT handler, d, max(price) AS w FROM E GROUP BY 1, 2) h WHERE h.handler = e.handler AND h.d < e.d), 0) AS last_price FROM E e"))
+def j11_as_of_buckets(spark, sf):
+    """j11 for keys that hold a large share of all rows."""
+    e = entries(spark, sf)
+    history = e.groupBy("handler", F.col("d").alias("valid_from")).agg(F.max("price").alias("last_price"))
+    return buckets.as_of(e, history, "handler", "last_price", 0.0).select("contest", "participant", "last_price")
+
+
 # ---- aggregations
 
 
