@@ -16,7 +16,9 @@ _W = "PARTITION BY user_id ORDER BY ts, event_id"
 @query(f"SELECT user_id, event_id, row_number() OVER ({_W}) - 1 AS n_before, round(avg(value) OVER ({_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 8) AS rolling5, round(avg(value) OVER ({_W} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), 8) AS rolling30, round(coalesce(value - lag(value) OVER ({_W}), 0), 4) AS value_delta FROM events")
 def t1_stream_history(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    folder, arrivals = T.arrivals(e.withColumn("part", F.floor(F.datediff("ts", F.lit("1970-01-01")) / 8)), "part", "events")
+    part = F.floor(F.datediff("ts", F.lit("1970-01-01")) / 8)
+    every = e.withColumn("part", part).unionByName(T.closing(e).withColumn("part", part + 1))
+    folder, arrivals = T.arrivals(every, "part", "events")
     path, checkpoint = workspace(spark, "history"), workspace(spark, "checkpoint")
     for _ in arrivals:  # each part is a run of its own that goes on where the last one ended
         stream = spark.readStream.schema("user_id long, event_id long, ts timestamp, value double").parquet(f"{folder}/*")
@@ -32,7 +34,7 @@ def t2_stream_ratings(spark, sf):
     for _ in arrivals:
         T.stream_ratings(spark.readStream.schema(e.schema).parquet(f"{folder}/*"), states, checkpoint)
         n += 1
-    return spark.read.parquet(f"{states}/state-{n - 1}").select("participant", F.round("rating", 2).alias("rating"))
+    return T.rating_state(spark, states, n - 1).select("participant", F.round("rating", 2).alias("rating"))
 
 
 @query("SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY 1")

@@ -8,14 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tallyard.operators import ratings as R
 from tallyard.sources.shipping import ship
 from tallyard.sources.storage import workspace
 
 OUT = "user_id long, event_id long, n_before long, rolling5 double, rolling30 double, value_delta double"
-STATE = "n long, last array<double>"
 KEPT = 30
 
 
@@ -29,36 +28,85 @@ def before(last: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
         return (total[at] - total[first]) / (at - first)
 
 
-def _advance(idle_ms: int | None):
-    """Each event's features from those before it, then the event joins them. State: a count and the last KEPT values."""
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class History(StatefulProcessor):
+    """Snapshot, then advance, for one user in event time. State: a count, the last KEPT values, and events that wait until
+    the watermark has passed them, as earlier ones may still come."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "n long, newest_us long")
+        self.last = handle.getListState("last", "value double")
+        self.waiting = handle.getListState("waiting", "us long, event_id long, value double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = self.known.get()[1] if self.known.exists() else None
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for frame in rows:
+            us = frame["ts"].astype("datetime64[us]").astype("int64")
+            # What has been passed was settled without it.
+            frame = frame.assign(us=us)[(us > passed) & (us > (-1 if newest is None else newest))] if newest is not None or passed else frame.assign(us=us)
+            if len(frame):
+                self.waiting.appendList([(int(u), int(i), float(v)) for u, i, v in zip(frame["us"], frame["event_id"], frame["value"], strict=True)])
+                self.handle.registerTimer(int(frame["us"].min() // 1000) + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted(self.waiting.get()) if self.waiting.exists() else []
+        ready, later = [x for x in events if x[0] < passed], [x for x in events if x[0] >= passed]
+        n, newest = self.known.get() if self.known.exists() else (0, 0)
+        if not ready:
+            if not later and self.idle_ms is not None and newest and passed >= newest + self.idle_ms * 1000:
+                self.known.clear()
+                self.last.clear()
             return
-        n, last = state.get if state.exists else (0, [])
-        e = pd.concat(list(frames)).sort_values(["ts", "event_id"], ignore_index=True)
-        last, values = np.array(last, float), e["value"].to_numpy(float)
+        last, values = np.array([x[0] for x in self.last.get()] if self.last.exists() else [], float), np.array([x[2] for x in ready])
         every = np.concatenate([last, values])
         previous = every[len(last) - 1 : -1] if len(last) else np.concatenate([[np.nan], values[:-1]])
-        state.update((int(n) + len(values), every[-KEPT:].tolist()))
-        if idle_ms is not None:
-            state.setTimeoutTimestamp(int(e["ts"].iloc[-1].value // 1_000_000) + idle_ms)
-        yield pd.DataFrame({"user_id": key[0], "event_id": e["event_id"], "n_before": n + np.arange(len(values)), "rolling5": before(last, values, 5), "rolling30": before(last, values, KEPT), "value_delta": np.nan_to_num(values - previous)})
+        self.known.update((n + len(ready), ready[-1][0]))
+        self.last.put([(float(v),) for v in every[-KEPT:]])
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] // 1000 + 1)
+        else:
+            self.waiting.clear()
+        if self.idle_ms is not None:
+            self.handle.registerTimer(ready[-1][0] // 1000 + self.idle_ms)
+        yield pd.DataFrame({"user_id": key[0], "event_id": [x[1] for x in ready], "n_before": n + np.arange(len(ready)), "rolling5": before(last, values, 5), "rolling30": before(last, values, KEPT), "value_delta": np.nan_to_num(values - previous)})
+
+    def close(self) -> None:
+        pass
 
-    return advance
+
+#: The state store that keyed state of several kinds needs.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The user of the event that ends a stream.
+NOBODY = -1
 
 
 def stream_history(events: DataFrame, lateness: str = "1 hour", idle_days: int | None = None) -> DataFrame:
-    """Snapshot, then advance, for each user in event time; events later than the allowed lateness are dropped.
+    """Features of each user's events from those before them, in the order of (ts, event_id).
 
-    A task holds one user's events of one micro-batch, which the source's options bound. With idle_days, a user without
-    events for so long is forgotten and starts anew; without it every user's state stays.
+    An event comes out when the watermark has passed it, so one that is late, but not by more than lateness, still takes
+    its place; one that is later is dropped. At the end of a finite stream the last ones wait until a later event (of any
+    user, see `closing`) moves the watermark. With idle_days, a user without events for so long is forgotten and starts
+    anew; without it every user's count and last values stay. A task holds the events of one user that wait, which
+    lateness and the source's options bound.
     """
-    ship(events.sparkSession)
-    timeout = GroupStateTimeout.NoTimeout if idle_days is None else GroupStateTimeout.EventTimeTimeout
+    spark = events.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     marked = events.withWatermark("ts", lateness)
-    return marked.groupBy("user_id").applyInPandasWithState(_advance(None if idle_days is None else idle_days * 86_400_000), OUT, STATE, "append", timeout)
+    return marked.groupBy("user_id").transformWithStateInPandas(History(None if idle_days is None else idle_days * 86_400_000), OUT, "Append", "EventTime")
+
+
+def closing(events: DataFrame, after: str = "2 hours") -> DataFrame:
+    """One event of nobody, so much after all of events, and with their columns: it lets what waits come out."""
+    end = events.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts")).withColumn("user_id", F.lit(NOBODY))
+    return end.select(*[F.col(f.name).cast(f.dataType) if f.name in end.columns else F.lit(0).cast(f.dataType).alias(f.name) for f in events.schema])
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -66,18 +114,40 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start().awaitTermination()
 
 
+#: Batches after which changes are merged.
+MERGE = 8
+
+
+def rating_state(spark: SparkSession, folder: str, upto: int) -> DataFrame | None:
+    """participant, rating as batches up to and with `upto` left them: the last merged state and the changes since."""
+    merged = (upto + 1) // MERGE * MERGE - 1
+    paths = [f"{folder}/merged-{merged}"] * (merged >= 0) + [f"{folder}/change-{n}" for n in range(merged + 1, upto + 1)]
+    if not paths:
+        return None
+    every = spark.read.schema("participant long, rating double, batch long").parquet(*paths)
+    return every.groupBy("participant").agg(F.max_by("rating", "batch").alias("rating"))
+
+
 def stream_ratings(entries: DataFrame, folder: str, checkpoint: str, **options) -> None:
-    """Every micro-batch is one rating period. Each batch leaves its state under its own number in the folder, so a
-    batch that is run again starts from the same state."""
+    """Every micro-batch is one rating period.
+
+    A batch asks for the states of its own participants, and leaves a change file with theirs alone; each MERGE batches
+    changes are merged into a state of all. Files bear the batch's number and are made from earlier ones only, so a batch
+    that is run again leaves the same.
+    """
     spark = entries.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
-        state = spark.read.parquet(f"{folder}/state-{number - 1}") if number else None
-        history = R.pairwise_elo(batch, F.lit(number), state=state, **options)
-        new = history.select("participant", F.col("rating_after").alias("rating"))
+        state = rating_state(spark, folder, number - 1)
         if state is not None:
-            new = new.unionByName(state.join(new, "participant", "left_anti"))
-        new.write.mode("overwrite").parquet(f"{folder}/state-{number}")
+            state = state.join(batch.select("participant").distinct(), "participant", "left_semi")
+        history = R.pairwise_elo(batch, F.lit(number), state=state, **options)
+        change = history.select(F.col("participant").cast("long").alias("participant"), F.col("rating_after").alias("rating"), F.lit(number).cast("long").alias("batch"))
+        change.write.mode("overwrite").parquet(f"{folder}/change-{number}")
+        if (number + 1) % MERGE == 0:
+            before = [f"{folder}/merged-{number - MERGE}"] * (number >= MERGE) + [f"{folder}/change-{n}" for n in range(number - MERGE + 1, number + 1)]
+            every = spark.read.schema(change.schema).parquet(*before).groupBy("participant").agg(F.max_by("rating", "batch").alias("rating"), F.max("batch").alias("batch"))
+            every.write.mode("overwrite").parquet(f"{folder}/merged-{number}")
 
     entries.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
