@@ -67,8 +67,12 @@ def border_digit(line: Column) -> Column:
 def chunks(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREAD, hash_of=F.xxhash64) -> DataFrame:
     """id, key, a, b, h, before, after: every chunk with a word in it, by its first and last line, its hash, and the
     hashes of the lines beside it, nearest first."""
-    rows = docs.where(F.length("text") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), bare_lines(F.col("text")).alias("lines"))
-    rows = rows.withColumns({"hs": F.transform("lines", lambda x: F.xxhash64(x)), "digits": F.transform("lines", border_digit), "words": F.transform("lines", words_in)})
+    rows = docs.where(F.length("text") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("key"), "text", F.split("text", "\n").alias("every"))
+    # Few texts have blank lines; the others need no second look.
+    rows = rows.withColumn("counted", F.transform("every", words_in)).withColumn("blank", F.array_contains("counted", 0))
+    rows = rows.withColumn("lines", F.when(F.col("blank"), bare_lines(F.col("text"))).otherwise(F.col("every")))
+    rows = rows.withColumn("words", F.when(F.col("blank"), F.transform("lines", words_in)).otherwise(F.col("counted"))).drop("text", "every", "counted", "blank")
+    rows = rows.withColumns({"hs": F.transform("lines", lambda x: F.xxhash64(x)), "digits": F.transform("lines", border_digit)})
     n, reach = F.size("lines"), spread + 1
     rolled = lambda i: F.pmod(sum((F.get("digits", i - j) * BASE**j for j in range(1, WINDOW)), F.get("digits", i)), F.lit(PRIME))
     rows = rows.withColumn("roll", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i >= WINDOW - 1, rolled(i))))
@@ -129,9 +133,11 @@ def _with_spans(docs: DataFrame, found: DataFrame, names: dict[str, str]) -> Dat
 
 def _differing(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     """g of the groups whose stretches are not all the same bytes. Equal ones meet within a task before the shuffle."""
-    each = rows.where(F.col(names["spans"]).isNotNull()).select(bare_lines(F.col("text")).alias("lines"), F.explode(names["spans"]).alias("s"))
-    body = F.array_join(F.slice("lines", F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + 1), "\n")
-    return each.select(F.col("s.g").alias("g"), body.alias("body")).distinct().groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    body = lambda lines, s: F.array_join(F.slice(lines, s["a"] + 1, s["b"] - s["a"] + 1), "\n")
+    # The lines are a lambda's argument, and so made once for all stretches of a text.
+    bodies = F.transform(F.array(bare_lines(F.col("text"))), lambda lines: F.transform(names["spans"], lambda s: F.struct(s["g"].alias("g"), body(lines, s).alias("body"))))
+    each = rows.where(F.col(names["spans"]).isNotNull()).select(F.explode(bodies[0]).alias("s"))
+    return each.select("s.g", "s.body").distinct().groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREAD, hash_of=F.xxhash64) -> DataFrame:
@@ -147,7 +153,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, spread: int = SPREA
         fine = each.groupBy(F.col(names["id"]).alias(names["own"]), F.col(names["key"]).alias(names["text"])).agg(F.collect_set("s").alias(names["lines"]))
         rows = rows.join(fine, (F.col(names["id"]) == F.col(names["own"])) & (F.col(names["key"]) == F.col(names["text"])), "left")
         rows = rows.withColumn(names["spans"], F.col(names["lines"])).drop(names["own"], names["text"], names["lines"])
-    rows = rows.withColumn(names["lines"], lines_of(F.col("text")))
+    rows = rows.withColumn(names["lines"], F.when(F.col(names["spans"]).isNotNull(), lines_of(F.col("text"))).otherwise(F.array().cast("array<string>")))
     repeats = F.array_sort(F.transform(F.filter(F.coalesce(names["spans"], F.array().cast(SPANS)), lambda s: s["repeat"]), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))))
     none = F.array().cast("array<struct<a:int,b:int>>")
     last = lambda done: F.get(done, F.size(done) - 1)
