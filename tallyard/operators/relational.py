@@ -52,22 +52,24 @@ def pairs(e: DataFrame, cols: list[str], ordered: bool = True, contest: str = "c
 def combos(e: DataFrame, k: int, cols: list[str], order: str, contest: str = "contest", anchor: str | None = None, ordered: bool = False) -> DataFrame:
     """Combinations of k entries of one contest, cols with suffixes _1 to _k.
 
-    Unordered ones ascend by order; with anchor, a column of 0 and 1, the first is an anchor and the others are not.
-    The entries are expected to have been cut to a few for each contest.
+    Unordered ones ascend by order; with anchor, a column of 0 and 1, the first is an anchor and the others are not. They
+    are made within an array of the contest's entries, so one exchange by contest serves this and what is done by contest
+    before and after. The entries are expected to have been cut to a few for each contest.
     """
-    side = lambda j: e.select(contest, F.col(order).alias(f"_o{j}"), *([F.col(anchor).alias(f"_a{j}")] if anchor else []), *[F.col(c).alias(f"{c}_{j}") for c in cols])
-    out = side(1).where("_a1 = 1") if anchor else side(1)
-    for j in range(2, k + 1):
-        nxt = side(j).where(f"_a{j} = 0") if anchor else side(j)
-        first = 2 if anchor else 1
-        if ordered:
-            rule = [F.col(f"_o{j}") != F.col(f"_o{i}") for i in range(1, j)]
-        else:
-            rule = [F.col(f"_o{j}") > F.col(f"_o{i}") for i in range(first, j)][-1:]
-        out = out.join(nxt, contest)
-        if rule:
-            out = out.where(reduce(lambda p, q: p & q, rule))
-    return out.drop(*[f"_o{j}" for j in range(1, k + 1)], *[f"_a{j}" for j in range(1, k + 1)])
+    one = F.struct(F.col(order).alias("_o"), F.struct(*cols).alias("_x"), *([F.col(anchor).alias("_a")] if anchor else []))
+    fields = e.groupBy(contest).agg(F.sort_array(F.collect_list(one)).alias("_f"))
+
+    def pick(rest: Column, chosen: list[Column]) -> Column:
+        if len(chosen) == k:
+            return F.array(F.struct(*[x["_x"][c].alias(f"{c}_{j}") for j, x in enumerate(chosen, 1) for c in cols]))
+        others = lambda i: F.filter(rest, lambda _, j: j != i) if ordered else F.slice(rest, i + 2, F.size(rest))
+        return F.flatten(F.transform(rest, lambda x, i: pick(others(i), [*chosen, x])))
+
+    every = pick(F.col("_f"), [])
+    if anchor:
+        legs = F.filter("_f", lambda x: x["_a"] == 0)
+        every = F.flatten(F.transform(F.filter("_f", lambda x: x["_a"] == 1), lambda x: pick(legs, [x])))
+    return fields.select(contest, F.explode(every).alias("_c")).select(contest, "_c.*")
 
 
 def assign_folds(e: DataFrame, folds: DataFrame, d: str = "d") -> DataFrame:

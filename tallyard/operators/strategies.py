@@ -16,7 +16,7 @@ from tallyard.functions import pricing as P
 from tallyard.functions.scalars import distance_regime
 from tallyard.operators import history as H
 from tallyard.operators.ledger import Stake, fold, plain, season_ledger
-from tallyard.operators.relational import combos
+from tallyard.operators.relational import combos, settle_bets
 
 # Hit rates of the ordered wheel by distance regime, of the banker, and of the wheel as a whole.
 REGIME_HITS = {"Mile": 0.077748, "Sprint": 0.055276, "Stayer": 0.07}
@@ -102,12 +102,17 @@ def prepared(scored: DataFrame, spec: Spec) -> DataFrame:
     return H.min_field(H.share(H.public_rank(H.rank_in_contest(scored, "score")), 1 / F.col("odds"), "q"), spec.min_field)
 
 
-def tickets(scored: DataFrame, spec: Spec) -> DataFrame:
+def tickets(scored: DataFrame, spec: Spec, payouts: DataFrame | None = None) -> DataFrame:
     """season, d, contest, k, n, fraction, odds, won: what the strategy bets on, see `ledger.fold`.
 
     scored: entries with score and p (probabilities that add up to 1 in a contest), and meta or place where the spec
-    takes these. Contests without enough entries for the kind give no tickets.
+    takes these. Contests without enough entries for the kind give no tickets. payouts: contest, combo (a sorted array of
+    participants' numbers) and dividend (for 10 of stake); a trio that pays actually wins what its number sets are paid,
+    those of a dead heat added up. Without payouts it wins the contest's payout by positions.
     """
+    if spec.kind == "trio" and spec.pays == "actual" and payouts is not None:
+        out = _anchored(prepared(scored, spec), spec, payouts)
+        return out.select("season", "d", "contest", F.col("k").cast("int"), F.col("n").cast("int"), F.round("fraction", 9).alias("fraction"), F.round("odds", 6).alias("odds"), "won")
     make = {"single": _single, "box": _box, "banker": _banker, "wheel": _anchored, "trio": _anchored, "sweep": _sweep}[spec.kind]
     out = make(prepared(scored, spec), spec)
     # Rounded, so that gates and stakes don't hang on the last bit.
@@ -150,13 +155,13 @@ def regime_hits(distance: Column) -> Column:
     return reduce(lambda c, x: c.when(regime == x[0], F.lit(x[1])), list(REGIME_HITS.items())[1:], F.when(regime == "Mile", F.lit(REGIME_HITS["Mile"])))
 
 
-def _anchored(e: DataFrame, spec: Spec) -> DataFrame:
+def _anchored(e: DataFrame, spec: Spec, payouts: DataFrame | None = None) -> DataFrame:
     """One ticket over twelve ordered or six unordered combinations of the top pick with two of four legs."""
     ordered = spec.kind == "wheel"
     anchor = e.where((F.col("model_rank") == 1) & (F.col("odds") <= ANCHOR_ODDS)).withColumn("anchor", F.lit(1))
     legs = e.where((F.col("model_rank") > 1) & (F.col("odds") >= LEG_ODDS))
     legs = legs.withColumn("leg", F.row_number().over(H.contest_window().orderBy("model_rank"))).where(F.col("leg") <= LEGS).drop("leg").withColumn("anchor", F.lit(0))
-    three = combos(anchor.unionByName(legs), 3, ["position", "p", "q", "odds"], "model_rank", anchor="anchor", ordered=ordered)
+    three = combos(anchor.unionByName(legs), 3, ["participant", "position", "p", "q", "odds"], "model_rank", anchor="anchor", ordered=ordered)
     price = P.harville_ordered if ordered else P.harville_trio
     own = [F.col(f"p_{k}") for k in (1, 2, 3)]
     if spec.pays == "raw":  # of odds that add up to more than 1, kept within bounds
@@ -166,10 +171,15 @@ def _anchored(e: DataFrame, spec: Spec) -> DataFrame:
         market = price(*[F.col(f"q_{k}") for k in (1, 2, 3)], guard=spec.guard)
     three = three.withColumns({"hit": price(*own, guard=spec.guard), "pay": P.synthetic_odds(market, spec.rake)})
     n = LEGS * (LEGS - 1) // (1 if ordered else 2)
+    if payouts is not None:
+        three = settle_bets(three.withColumns({"combo": F.array_sort(F.array(*[F.col(f"participant_{k}") for k in (1, 2, 3)])), "stake": F.lit(1.0)}), payouts.withColumn("combo", F.col("combo").cast("array<bigint>")))
+    paid = [] if payouts is None else [F.sum("returned").alias("paid"), F.max("won").alias("set_won")]
     both = F.max(((F.col("position_2") <= 3) & (F.col("position_3") <= 3)).cast("int"))
-    block = three.groupBy("contest").agg(F.count("*").alias("n"), F.sum("hit").alias("hit"), F.avg("pay").alias("pay"), F.max("position_1").alias("at"), both.alias("legs")).where(F.col("n") == n)
+    block = three.groupBy("contest").agg(F.count("*").alias("n"), F.sum("hit").alias("hit"), F.avg("pay").alias("pay"), F.max("position_1").alias("at"), both.alias("legs"), *paid).where(F.col("n") == n)
     head = e.groupBy("season", "d", "contest").agg(F.max("payout").alias("payout"), F.max("distance").alias("distance"))
     block = block.join(head, "contest").withColumn("won", ((F.col("at") <= (1 if ordered else 3)) & (F.col("legs") == 1)).cast("int"))
+    if payouts is not None:
+        block = block.withColumns({"won": F.col("set_won"), "payout": F.col("paid") * 10})
     odds = {"hits": F.lit(None).cast("double"), "fixed": F.lit(WHEEL_ODDS), "actual": F.col("payout") / 10}.get(spec.pays, F.col("pay"))
     p = regime_hits(F.col("distance")) if spec.p == "regime" else F.col("hit")
     expected = F.lit(WHEEL_ODDS) if spec.pays == "fixed" else F.col("pay") / (n if spec.per_ticket or ordered else 1)
@@ -186,23 +196,23 @@ def _sweep(e: DataFrame, spec: Spec) -> DataFrame:
         e = H.share(e, F.col("place"), "own")
     e = e.where(F.col("model_rank") <= SWEEP)
     e = H.share(e, F.col("p"), "own") if spec.p == "top" else e if spec.p == "place" else e.withColumn("own", F.col("p"))
-    three = combos(e, 3, ["position", "own", "q", "model_rank"], "model_rank")
+    three = combos(e, 3, ["position", "own", "q", "model_rank", "season", "d"], "model_rank").withColumnsRenamed({"season_1": "season", "d_1": "d"})
     three = three.withColumns({"hit": P.harville_trio(*[F.col(f"own_{k}") for k in (1, 2, 3)], guard=spec.guard), "pay": P.synthetic_odds(P.harville_trio(*[F.col(f"q_{k}") for k in (1, 2, 3)], guard=spec.guard), spec.rake)})
     three = three.where((F.round(F.col("hit") * F.col("pay"), 9) >= spec.min_ev) & (F.round("hit", 9) >= spec.min_p)).withColumn("fraction", F.round(P.kelly(F.col("hit"), F.col("pay"), spec.mult), 9)).where("fraction > 0")
     order = H.contest_window().orderBy(F.desc("fraction"), *[f"model_rank_{k}" for k in (1, 2, 3)])
     best = three.withColumn("k", F.row_number().over(order)).where(F.col("k") <= spec.top)
     won = sum(((F.col(f"position_{k}") <= 3).cast("int") for k in (1, 2, 3)), F.lit(0)) == 3
-    return best.join(e.select("season", "d", "contest").distinct(), "contest").withColumns({"n": F.lit(1), "odds": F.col("pay"), "won": won.cast("int")})
+    return best.withColumns({"n": F.lit(1), "odds": F.col("pay"), "won": won.cast("int")})
 
 
-def run_strategy(scored: DataFrame, spec: Spec) -> DataFrame:
+def run_strategy(scored: DataFrame, spec: Spec, payouts: DataFrame | None = None) -> DataFrame:
     """A row a contest that is bet on, with the bankroll after it; every season starts anew."""
-    return plain(fold(tickets(scored, spec).withColumn("config", F.lit("")), spec.stake)).drop("config")
+    return plain(fold(tickets(scored, spec, payouts).withColumn("config", F.lit("")), spec.stake)).drop("config")
 
 
-def strategy_seasons(scored: DataFrame, spec: Spec) -> DataFrame:
+def strategy_seasons(scored: DataFrame, spec: Spec, payouts: DataFrame | None = None) -> DataFrame:
     """Per season: contests, hits, roi, growth, low, break_even."""
-    steps = fold(tickets(scored, spec).withColumn("config", F.lit("")), spec.stake)
+    steps = fold(tickets(scored, spec, payouts).withColumn("config", F.lit("")), spec.stake)
     return season_ledger(steps, spec.stake.start, spec.pays != "hits", spec.stake.how == "flat").drop("config")
 
 

@@ -6,6 +6,7 @@ from itertools import permutations
 
 from pyspark.sql import functions as F
 
+from tallyard.functions.scalars import clean_combo
 from tallyard.operators import history as H
 from tallyard.operators import strategies as S
 from tallyard.plans.analogue import entries, with_entries
@@ -30,6 +31,22 @@ def sql(body: str, more: str) -> str:
     return with_entries(body, f"{_SCORED}, {more}")
 
 
+def payouts(spark, sf):
+    """contest, combo, dividend: what trios are paid, out of rows of several pools, combinations as text; every 17th contest
+    has a dead heat for third place, and some rows name no trio."""
+    e = entries(spark, sf)
+    at = lambda k: F.max(F.when(F.col("position") == k, F.col("participant"))).cast("string")
+    first = e.groupBy("contest").agg(*[at(k).alias(f"p{k}") for k in (1, 2, 3, 4)], F.max("payout").alias("dividend")).where("p3 IS NOT NULL")
+    row = lambda pool, combo, dividend: F.struct(F.lit(pool).alias("pool"), combo.alias("combo"), dividend.alias("dividend"))
+    dead = F.when((F.col("contest") % 17 == 0) & F.col("p4").isNotNull(), F.concat_ws(",", "p4", "p1", "p2"))
+    rows = F.array(row("TRIO", F.concat_ws(",", "p3", "p1", "p2"), F.col("dividend")), row("TRIO", dead, F.col("dividend") / 2), row("TRIO", F.concat_ws("/", "p1", "p2"), F.col("dividend")), row("QUINELLA", F.concat_ws(",", "p1", "p2"), F.col("dividend")))
+    rows = first.select("contest", F.explode(rows).alias("x")).select("contest", "x.*")
+    return rows.where("pool = 'TRIO'").select("contest", clean_combo(F.col("combo")).alias("combo"), "dividend").where("combo IS NOT NULL")
+
+
+_PAYS = """PY AS (SELECT contest, list_sort(list(participant) FILTER (position <= 3)) AS combo, max(payout) AS dv FROM E GROUP BY contest HAVING count(*) FILTER (position <= 3) = 3
+  UNION ALL SELECT contest, list_sort(list(participant) FILTER (position IN (1, 2, 4))), max(payout) / 2 FROM E WHERE contest % 17 = 0 GROUP BY contest HAVING count(*) FILTER (position IN (1, 2, 4)) = 3)"""
+
 _RS = f"RS AS (SELECT *, {PLACE} AS place, {META} AS meta, count(*) OVER (PARTITION BY contest) AS field FROM RK)"
 _WON2 = "CAST(a.position <= 2 AND b.position <= 2 AS INTEGER)"
 
@@ -70,13 +87,14 @@ def _trio(p: str) -> str:
     return "(" + " + ".join(_ordered(p, r) for r in permutations("abc")) + ")"
 
 
-def _anchored(s: S.Spec) -> str:
+def _anchored(s: S.Spec, sets: bool = False) -> str:
     ordered = s.kind == "wheel"
     n, price = (12, _ordered) if ordered else (6, _trio)
     market = "least(greatest(1 / a.odds * (1 / b.odds / (1 - 1 / a.odds)) * (1 / c.odds / (1 - 1 / a.odds - 1 / b.odds)), 0.00001), 0.99)" if s.pays == "raw" else price("q")
     legs = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY contest ORDER BY model_rank) AS leg FROM RS WHERE model_rank > 1 AND odds >= 7 AND field >= {s.min_field}) WHERE leg <= 4)"
-    rows = f"SELECT a.season, a.d, a.contest, a.payout, a.distance, a.position AS spot, {price('p')} AS hit, {1 - s.rake}::DOUBLE / ({market}) AS pay, CAST(b.position <= 3 AND c.position <= 3 AS INTEGER) AS legs FROM RS a JOIN {legs} b ON b.contest = a.contest JOIN {legs} c ON c.contest = a.contest AND c.model_rank {'<>' if ordered else '>'} b.model_rank WHERE a.model_rank = 1 AND a.odds <= 5 AND a.field >= {s.min_field}"
-    block = f"SELECT season, d, contest, max(payout) AS payout, max(distance) AS distance, sum(hit) AS hit, avg(pay) AS pay, CAST(max(spot) <= {1 if ordered else 3} AND max(legs) = 1 AS INTEGER) AS w FROM ({rows}) GROUP BY season, d, contest HAVING count(*) = {n}"
+    rows = f"SELECT a.season, a.d, a.contest, a.payout, a.distance, a.position AS spot, {price('p')} AS hit, {1 - s.rake}::DOUBLE / ({market}) AS pay, CAST(b.position <= 3 AND c.position <= 3 AS INTEGER) AS legs, {'(SELECT sum(dv) FROM PY WHERE PY.contest = a.contest AND PY.combo = list_sort([a.participant, b.participant, c.participant]))' if sets else 'NULL::DOUBLE'} AS dv FROM RS a JOIN {legs} b ON b.contest = a.contest JOIN {legs} c ON c.contest = a.contest AND c.model_rank {'<>' if ordered else '>'} b.model_rank WHERE a.model_rank = 1 AND a.odds <= 5 AND a.field >= {s.min_field}"
+    won = "CAST(count(dv) > 0 AS INTEGER)" if sets else f"CAST(max(spot) <= {1 if ordered else 3} AND max(legs) = 1 AS INTEGER)"
+    block = f"SELECT season, d, contest, {'coalesce(sum(dv), 0)' if sets else 'max(payout)'} AS payout, max(distance) AS distance, sum(hit) AS hit, avg(pay) AS pay, {won} AS w FROM ({rows}) GROUP BY season, d, contest HAVING count(*) = {n}"
     p = "CASE WHEN distance <= 1200 THEN 0.055276 WHEN distance <= 1650 THEN 0.077748 ELSE 0.07 END::DOUBLE" if s.p == "regime" else "hit"
     expected = "250.0::DOUBLE" if s.pays == "fixed" else f"pay / {n}" if ordered or s.per_ticket else "pay"
     f = "0" if s.pays == "hits" else str(s.fixed_fraction) if s.fixed_fraction is not None else _kelly("pr", "ex", s.mult)
@@ -112,7 +130,7 @@ def _stake(s: S.Spec, n: int) -> str:
     return f"CASE WHEN {' OR '.join(rules) or 'false'} THEN 0 ELSE {each} END"
 
 
-def strategy_sql(s: S.Spec) -> str:
+def strategy_sql(s: S.Spec, sets: bool = False) -> str:
     n = _N.get(s.kind) or (1 if s.stake.how == "share" or s.pays == "fixed" else 3 if s.kind == "box" else 2)
     stake = _stake(s, n)
     total = lambda what: f"list_sum(list_transform(x.ts, lambda t: ({what})))"
@@ -120,7 +138,8 @@ def strategy_sql(s: S.Spec) -> str:
     hit = f"list_max(list_transform(x.ts, lambda t: CASE WHEN ({stake}) > 0 THEN t.w ELSE 0 END))"
     step = f"{{'d': x.d, 'contest': x.contest, 'ts': x.ts, 'bank': s.bank - {staked} + {paid}, 'low': least(s.low, s.bank - {staked} + {paid}), 'n': s.n + CAST({staked} > 0 AS BIGINT), 'hits': s.hits + {hit}, 'staked': s.staked + {staked}, 'returned': s.returned + {paid}}}"
     zero = f"'bank': {s.stake.start}::DOUBLE, 'low': {s.stake.start}::DOUBLE, 'n': 0::BIGINT, 'hits': 0::BIGINT, 'staked': 0::DOUBLE, 'returned': 0::DOUBLE"
-    more = f"""{_RS}, TK AS (SELECT season, d, contest, k, round(f, 9)::DOUBLE AS f, round(o, 6)::DOUBLE AS o, w::BIGINT AS w FROM ({_MAKE[s.kind](s)})),
+    made = _anchored(s, True) if sets else _MAKE[s.kind](s)
+    more = f"""{_RS}, {_PAYS}, TK AS (SELECT season, d, contest, k, round(f, 9)::DOUBLE AS f, round(o, 6)::DOUBLE AS o, w::BIGINT AS w FROM ({made})),
 CN AS (SELECT season, d, contest, list({{'f': f, 'o': o, 'w': w}} ORDER BY k) AS ts FROM TK GROUP BY season, d, contest),
 FD AS (SELECT season, list_reduce(list_concat([{{'d': NULL::DATE, 'contest': NULL::BIGINT, 'ts': NULL::STRUCT(f DOUBLE, o DOUBLE, w BIGINT)[], {zero}}}], list({{'d': d, 'contest': contest, 'ts': ts, {zero}}} ORDER BY d, contest)), lambda s, x: {step}) AS r FROM CN GROUP BY season)"""
     priced = s.pays != "hits"
@@ -132,9 +151,11 @@ FD AS (SELECT season, list_reduce(list_concat([{{'d': NULL::DATE, 'contest': NUL
 
 
 def _register(name: str, spec: S.Spec) -> None:
-    @query(strategy_sql(spec), name=f"strategy_{name}")
+    sets = name == "v32"  # settled against the number sets that are paid
+
+    @query(strategy_sql(spec, sets), name=f"strategy_{name}")
     def run(spark, sf):
-        return S.strategy_seasons(calibrated(spark, sf), spec)
+        return S.strategy_seasons(calibrated(spark, sf), spec, payouts(spark, sf) if sets else None)
 
 
 for _name, _spec in S.SPECS.items():

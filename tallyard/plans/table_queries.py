@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyard.functions import scalars as S
@@ -94,6 +95,30 @@ def s13_list_columns(spark, sf):
     return out.select(F.lit("orders").alias("table"), "column")
 
 
+_TABLES = {
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "pages": ["page_id", "url", "html"], "labels": ["doc_id", "quality", "toxic"], "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", {k} AS position, count(*) AS n_rows, count({c}) AS n_values FROM {t}" for t, cs in _TABLES.items() for k, c in enumerate(cs, 1)))
+def s13_catalogue(spark, sf):
+    """Columns of six tables with their rows and values."""
+    return T.catalogue({t: table(spark, sf, t) for t in _TABLES}).drop("type")
+
+
+@query("WITH M AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1), K AS (SELECT d, n, row_number() OVER (ORDER BY d) AS number FROM M WHERE d < DATE '1999-01-01'), N AS (SELECT d, n, (SELECT max(number) FROM K) + row_number() OVER (ORDER BY d) AS number FROM M WHERE d >= DATE '1999-01-01' AND n >= 3) SELECT number, d, n FROM K UNION ALL SELECT number, d, n FROM N")
+def s14_append_meetings(spark, sf):
+    """Days as meetings: those of the first years are there, the others come later and are numbered on."""
+    path = T.workspace(spark, "meetings")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("contest"), F.col("o_orderdate").cast("date").alias("d"))
+    old = o.where("d < DATE '1999-01-01'")
+    days = old.select("d").distinct()
+    old.join(days.withColumn("number", F.row_number().over(Window.orderBy("d"))), "d").repartition("number").write.partitionBy("number").parquet(path)  # a row a day
+    T.append_meetings(o.where("d >= DATE '1998-12-01'"), path, "d", min_contests=3)
+    return spark.read.parquet(path).groupBy(F.col("number").cast("long").alias("number"), "d").agg(F.count("*").alias("n"))
+
+
 @query(with_entries("SELECT season, count(*) AS n, round(sum(CASE WHEN season = '1995/1996' THEN price * 2 ELSE price END), 2) AS total FROM E GROUP BY season"))
 def s14_replace_partition(spark, sf):
     path = T.workspace(spark, "seasons")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -104,6 +105,29 @@ def replace_partition(df: DataFrame, path: str, key: str, contest: str = "contes
     df.join(enough, key, "left_semi").select(*df.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
+def append_meetings(df: DataFrame, path: str, meeting: str, number: str = "number", contest: str = "contest", min_contests: int = 5) -> None:
+    """Adds df's meetings to the table of partitions by number: meetings that the table knows replace theirs, new ones get
+    the numbers after the largest, in the order of meeting. Those with fewer than min_contests contests are left out."""
+    spark = df.sparkSession
+    enough = df.groupBy(meeting).agg(F.count_distinct(contest).alias("_n")).where(F.col("_n") >= min_contests).select(meeting)
+    known = spark.read.parquet(path).select(meeting, F.col(number).cast("int").alias(number)).distinct()
+    most = known.agg(F.coalesce(F.max(number), F.lit(0))).first()[0]
+    new = enough.join(known, meeting, "left_anti").withColumn(number, (F.row_number().over(Window.orderBy(meeting)) + most).cast("int"))  # a row a meeting
+    numbers = settle(known.join(enough, meeting, "left_semi").unionByName(new), "numbers")
+    out = df.drop(number).join(numbers, meeting)
+    settle(out, "meetings").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(number).parquet(path)
+
+
+def catalogue(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, column, position, type, n_rows, n_values (not null) of every column, one scan a table."""
+    each = []
+    for name, df in tables.items():
+        counts = df.agg(F.count("*").alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_c{k}") for k, c in enumerate(df.columns)])
+        rows = [F.struct(F.lit(name).alias("table"), F.lit(c).alias("column"), F.lit(k + 1).alias("position"), F.lit(t).alias("type"), F.col("_rows").alias("n_rows"), F.col(f"_c{k}").alias("n_values")) for k, (c, t) in enumerate(df.dtypes)]
+        each.append(counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
+    return reduce(DataFrame.unionByName, each)
+
+
 def materialise_features(df: DataFrame, path: str, horizon: str, rebuild: bool = False, d: str = "d", by: str = "season") -> DataFrame:
     """df up to the horizon, computed once under a path of that horizon and read from there, by season."""
     spark, place = df.sparkSession, f"{path}/until-{horizon}"
