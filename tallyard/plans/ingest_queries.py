@@ -32,18 +32,8 @@ def _write(df, path: str, header: list[str] | None = None) -> None:
     df.repartition("meeting").write.partitionBy("meeting").option("header", True).option("emptyValue", "").csv(path)
 
 
-_DONE: dict[tuple[str, str], dict] = {}
-
-
 def ingested(spark, sf) -> dict:
-    """The three tables, ingested once for an application and its tables."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _DONE:
-        _DONE[key] = _ingest(spark, sf)
-    return _DONE[key]
-
-
-def _ingest(spark, sf) -> dict:
+    """The three tables; every call writes the raw files and ingests them."""
     e, raw = full_entries(spark, sf), workspace(spark, "raw")
     m = _numbered(e)
     name = F.concat(F.lit("RACE "), F.col("no").cast("string"), F.lit(" ("), F.col("contest").cast("string"), F.lit(")"))

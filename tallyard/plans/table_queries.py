@@ -107,15 +107,15 @@ def s13_catalogue(spark, sf):
     return T.catalogue({t: table(spark, sf, t) for t in _TABLES}).drop("type")
 
 
-@query("WITH M AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1), K AS (SELECT d, n, row_number() OVER (ORDER BY d) AS number FROM M WHERE d < DATE '1999-01-01'), N AS (SELECT d, n, (SELECT max(number) FROM K) + row_number() OVER (ORDER BY d) AS number FROM M WHERE d >= DATE '1999-01-01' AND n >= 3) SELECT number, d, n FROM K UNION ALL SELECT number, d, n FROM N")
+@query("WITH M AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS d, count(*) AS n FROM orders GROUP BY 1), K AS (SELECT d, n, row_number() OVER (ORDER BY d) AS number FROM M WHERE d < DATE '1999-01-01'), N AS (SELECT d, n, (SELECT max(number) FROM K) + row_number() OVER (ORDER BY d) AS number FROM M WHERE d >= DATE '1999-01-01' AND n >= 20) SELECT number, d, n FROM K UNION ALL SELECT number, d, n FROM N")
 def s14_append_meetings(spark, sf):
-    """Days as meetings: those of the first years are there, the others come later and are numbered on."""
+    """Months as meetings: those of the first years are there, the others come later and are numbered on."""
     path = T.workspace(spark, "meetings")
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("contest"), F.col("o_orderdate").cast("date").alias("d"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("contest"), F.trunc("o_orderdate", "month").alias("d"))
     old = o.where("d < DATE '1999-01-01'")
     days = old.select("d").distinct()
-    old.join(days.withColumn("number", F.row_number().over(Window.orderBy("d"))), "d").repartition("number").write.partitionBy("number").parquet(path)  # a row a day
-    T.append_meetings(o.where("d >= DATE '1998-12-01'"), path, "d", min_contests=3)
+    old.join(days.withColumn("number", F.row_number().over(Window.orderBy("d"))), "d").repartition("number").write.partitionBy("number").parquet(path)  # a row a month
+    T.append_meetings(o.where("d >= DATE '1998-12-01'"), path, "d", min_contests=20)
     return spark.read.parquet(path).groupBy(F.col("number").cast("long").alias("number"), "d").agg(F.count("*").alias("n"))
 
 
