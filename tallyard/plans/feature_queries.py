@@ -279,6 +279,21 @@ def r6_snapshot_features(spark, sf):
     return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
+_FRESH = f"""{_LEVELED}, {_pagerank_sql(_edges_sql('FE', 'coalesce({}.position, 99)'))},
+EQ AS (SELECT contest, EL.participant, A.margin_elo AS elo, A.rating AS glicko_mu, A.rd AS glicko_rd, 0.06::DOUBLE AS glicko_vol FROM EL JOIN RS A ON A.participant = EL.participant AND A.k = level - 1), {_ROW.removeprefix(_STATES + ', ')}"""
+_FRESH_SELECT = _ROW_SELECT.replace("LEFT JOIN EL e ON e.period = year(x.d) AND e.participant = x.participant LEFT JOIN GL g ON g.period = year(x.d) AND g.participant = x.participant", "LEFT JOIN EQ e ON e.contest = x.contest AND e.participant = x.participant")
+_DIGITS = {"elo": 2, "glicko_mu": 2, "glicko_rd": 2, "centrality": 8, "rolling_esi": 6, "rolling_csi": 6, "esi_pressure": 5, "pace_advantage": 5, "handler_rate": 6, "second_handler_rate": 6}
+
+
+@query(with_entries(_FRESH_SELECT, _FRESH).replace("WITH ", "WITH RECURSIVE ", 1))
+def r6_contest_features(spark, sf):
+    """The feature row of 28 columns, with ratings before the contest itself."""
+    e = full_entries(spark, sf)
+    ranks = R.pagerank(R.dominance_edges(e, R.yearly_snapshots(e)))
+    out = R.contest_features(e, R.ratings_by_contest(e), ranks, F.trunc("d", "year"))
+    return out.withColumns({c: F.round(c, n) for c, n in _DIGITS.items()})
+
+
 _LEGACY = f"""{_STATES}, {_PACE}, XL AS (SELECT *, {_rate_sql('handler')} AS handler_rate, coalesce(avg(coalesce(CAST(position = 1 AS DOUBLE), 0)) OVER (PARTITION BY handler ORDER BY d, contest, participant ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.08) AS handler_prior_rate FROM XQ)"""
 _LEGACY_SELECT = """SELECT x.contest, x.participant, round(rolling_esi, 6) AS rolling_esi, round(esi_pressure, 5) AS esi_pressure, round(handler_rate, 6) AS handler_rate, round(handler_prior_rate, 6) AS handler_prior_rate, round(coalesce(elo, 1500), 2) AS elo, round(coalesce(glicko_mu, 1500), 2) AS glicko, round(coalesce(glicko_rd, 350), 2) AS rd, round(coalesce(r.rank, 0.001), 8) AS centrality
 FROM XL x LEFT JOIN EL e ON e.period = year(x.d) AND e.participant = x.participant LEFT JOIN GL g ON g.period = year(x.d) AND g.participant = x.participant LEFT JOIN RANKS r ON r.as_of = CAST(date_trunc('year', x.d) AS DATE) AND r.node = x.participant"""
