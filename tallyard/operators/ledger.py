@@ -155,13 +155,13 @@ def _totals(steps: DataFrame, *sums: Column, **cols: str) -> DataFrame:
 
 
 def ledger(steps: DataFrame, start: float) -> DataFrame:
-    """Per season and config: contests, hits, staked and returned in units of 2 ** top, growth (logarithm of the last
-    bankroll over start, null from 0 down), low (the least bankroll over start)."""
+    """Per season and config: contests, hits, staked and returned in units of 2 ** top, bank (the last bankroll, infinite
+    beyond doubles), growth (its logarithm over start, null from 0 down), low (the least bankroll over start)."""
     last = F.max_by(F.struct("bank", "scale"), F.struct("d", "contest"))
     low = F.least(F.min(F.col("bank") * F.pow(F.lit(2.0), "scale")), F.lit(start)) / start
     out = _totals(steps, F.count("*").alias("contests"), F.sum("won").alias("hits"), last.alias("_last"), low.alias("low"), staked="staked", returned="returned")
     growth = F.when(F.col("_last.bank") > 0, F.log(F.col("_last.bank") / start) + F.col("_last.scale") * math.log(2))
-    return out.withColumn("growth", growth).drop("_last")
+    return out.withColumns({"growth": growth, "bank": F.col("_last.bank") * F.pow(F.lit(2.0), F.col("_last.scale"))}).drop("_last")
 
 
 def season_ledger(steps: DataFrame, start: float, priced: bool = True, flat: bool = False) -> DataFrame:

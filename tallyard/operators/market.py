@@ -155,8 +155,8 @@ def diagnostic_report(diag: DataFrame, reps: int = 2000) -> DataFrame:
 
 
 def compounding_ledger(bets: DataFrame, configs: DataFrame, start: float = 10_000.0, unit: float = 10.0) -> DataFrame:
-    """growth, n (bets made), wins, turnover and low (least bankroll) of each (season, config). growth and turnover are
-    logarithms of the last bankroll and of all stakes over start, as these may be beyond doubles.
+    """Final bankroll, n (bets made), wins, turnover and low (least bankroll) of each (season, config); growth and
+    log_turnover are logarithms of bankroll and turnover over start, finite where these are beyond doubles.
 
     configs: config, mult (of Kelly's fraction) and floor (of the odds). Stakes are rounded, at least one unit, and left
     out above the bankroll.
@@ -165,8 +165,10 @@ def compounding_ledger(bets: DataFrame, configs: DataFrame, start: float = 10_00
     fraction = P.kelly(F.col("p"), F.col("odds"), 1.0) * F.col("mult")
     tickets = every.withColumns({"fraction": fraction, "k": F.lit(1), "n": F.lit(1)}).where("fraction > 0")
     steps = fold(tickets, Stake("rounded", start=start, unit=unit, minimum=unit, within=True))
-    turnover = F.log(F.col("staked") / start) + F.col("top") * math.log(2)
-    return ledger(steps, start).select("season", "config", "growth", F.col("contests").alias("n"), F.col("hits").alias("wins"), turnover.alias("turnover"), F.round(F.col("low") * start, 2).alias("low"))
+    return ledger(steps, start).select(
+        "season", "config", F.round("bank", 2).alias("bankroll"), "growth", F.col("contests").alias("n"), F.col("hits").alias("wins"), F.round(F.col("staked") * F.pow(F.lit(2.0), "top"), 2).alias("turnover"),
+        (F.log(F.col("staked") / start) + F.col("top") * math.log(2)).alias("log_turnover"), F.round(F.col("low") * start, 2).alias("low"),
+    )
 
 
 # ---- settlement

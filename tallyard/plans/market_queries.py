@@ -290,4 +290,4 @@ LG AS (SELECT season, config, 0::BIGINT AS i, 10000.0::DOUBLE AS bank, 0::BIGINT
 def l1_compounding_ledger(spark, sf):
     configs = spark.createDataFrame(_CONFIGS, "config string, mult double, floor double")
     out = M.compounding_ledger(_bets(spark, sf), configs)
-    return out.select("season", "config", F.round("growth", 6).alias("growth"), "n", "wins", F.round("turnover", 6).alias("turnover"), "low")
+    return out.select("season", "config", F.round("growth", 6).alias("growth"), "n", "wins", F.round("log_turnover", 6).alias("turnover"), "low")

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-NAMES = ["flagship_season_report", "strategy_v26", "strategy_v32", "strategy_v21", "r6_snapshot_features", "a20_diagnostic_report", "p27_header_fields", "s14_replace_partition", "j11_as_of", "a4_bettable_flag", "w7_handler_rate_strict", "r1_pairwise_elo", "l1_compounding_ledger", "strategy_v25", "t1_stream_history", "t2_stream_ratings", "m8_ndcg", "m1_boosted_splits", "m3_isotonic_cells", "m6_permutation", "r1_r2_r3_by_contest", "w13_equity_kelly", "w7_handler_rate_buckets", "s13_catalogue", "s14_append_meetings", "strategy_v6_1", "ingest_results"]
+NAMES = ["flagship_season_report", "strategy_v26", "strategy_v32", "strategy_v21", "r6_snapshot_features", "a20_diagnostic_report", "p27_header_fields", "s14_replace_partition", "j11_as_of", "a4_bettable_flag", "w7_handler_rate_strict", "r1_pairwise_elo", "l1_compounding_ledger", "strategy_v25", "t1_stream_history", "t2_stream_ratings", "m8_ndcg", "m1_boosted_splits", "m3_isotonic_cells", "m6_permutation", "r1_r2_r3_by_contest", "w13_equity_kelly", "w7_handler_rate_buckets", "s13_catalogue", "s14_append_meetings", "strategy_v6_1"]
 
 
 def show(v):
