@@ -1,5 +1,6 @@
 """Token counts, sorted tables and packing against the libraries, by exact round trips."""
 
+import hashlib
 import random
 import zlib
 
@@ -38,6 +39,24 @@ def test_counts_and_cache(spark, docs_of, tmp_path):
     assert token_counts.token_counts(spark, docs_of([]), "byte_bpe_50k.json").count() == 0
 
 
+def test_a_run_reads_its_own_part_of_the_cache(spark, docs_of, tmp_path, monkeypatch):
+    cache, texts = f"file://{tmp_path}/cache", [f"text number {k}" for k in range(60)]
+    first = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(spark, docs_of(list(enumerate(texts))), "piece_bpe_32k.model", cache).collect()}
+    mine = hashlib.sha256(texts[7].encode()).hexdigest()[:2].upper()
+    files = list((tmp_path / "cache").glob("version=*/part=*/*.parquet"))
+    others = [f for f in files if f.parent.name != f"part={mine}"]
+    assert len(others) > 20 and len(files) - len(others) >= 1
+    for f in others:  # a run that looked into them would fail
+        f.write_bytes(b"not a parquet file")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    for few in (token_counts.FEW_DIGESTS, 0):  # sent to all tasks, or joined by a shuffle
+        monkeypatch.setattr(token_counts, "FEW_DIGESTS", few)
+        got = token_counts.token_counts(spark, docs_of([(1, texts[7]), (2, texts[7])]), "piece_bpe_32k.model", cache).collect()
+        assert [(r["n_tokens"], r["cached"]) for r in got] == [(first[7], True)] * 2
+    other = token_counts.token_counts(spark, docs_of([(1, texts[7])]), "byte_bpe_50k.json", cache).collect()
+    assert [r["cached"] for r in other] == [False]  # another vocabulary's counts are its own
+
+
 def test_contents_that_differ_in_spaces_alone_share_a_count(spark, docs_of, tmp_path):
     assert tokens.drops_spaces("word_bpe_49k.json") and not tokens.drops_spaces("byte_bpe_50k.json") and not tokens.drops_spaces("piece_bpe_32k.model")
     texts, cache = ["a b\n c", " a   b\n  c ", "a b\nc", "  ", ""], f"file://{tmp_path}/cache"
@@ -70,6 +89,23 @@ def test_sorted_tables_round_trip(spark, docs_of, monkeypatch):
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_shards_and_ranges_go_by_bytes(spark, docs_of):
+    rows = [(k, "some words of a text " * (1 + k % 7)) for k in range(300)] + [(400, "long " * 5000), (401, None), (402, "")]
+    docs, name = docs_of(rows), "byte_bpe_50k.json"
+    want = {i: library(name, t, 2) for i, t in rows}
+    whole = sstable.write_shards(spark, docs.coalesce(1), name, 2).count()
+    small = sstable.write_shards(spark, docs, name, 2, most_bytes=3000)
+    shards = small.orderBy("first_key").collect()
+    assert len(shards) > 5 * whole and all(r["n_docs"] == 1 or 4 * r["n_ids"] + sstable.ENTRY_BYTES * r["n_docs"] <= 3000 for r in shards)
+    assert all(a["last_key"] < b["first_key"] for a, b in zip(shards, shards[1:], strict=False))
+    got = sstable.read_shards(spark, small).orderBy("start").collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: v for i, v in want.items()} and [r["doc_id"] for r in got] == sorted(want)
+    assert [r["start"] for r in got] == [sum(len(want[i]) // 4 for i in sorted(want)[:k]) for k in range(len(want))]
+    size = sum(len(t or "") for _, t in rows)
+    ranged = sstable.write_shards(spark, docs, name, 2, range_bytes=size // 20).count()
+    assert ranged > int(spark.conf.get("spark.sql.shuffle.partitions"))  # more ranges than the session's number
+
+
 def test_a_damaged_shard_is_refused(tmp_path):
     path = tmp_path / "shard"
     path.write_bytes(b"".join(sstable.shard_bytes(iter([(k, b"\1\0\0\0" * k) for k in range(50)]), {})))
