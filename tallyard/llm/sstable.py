@@ -30,6 +30,10 @@ from . import tokens
 from .common import fresh, open_fs, settle, ship, text_of, thrifty, write_file
 
 BLOCK_BYTES = 256 << 10
+#: A task takes about so many bytes of text, and begins a new shard when one holds so many bytes of ids and keys.
+RANGE_BYTES = 64 << 20
+SHARD_BYTES = 64 << 20
+ENTRY_BYTES = 32
 BLOOM_BITS = 10
 BLOOM_HASHES = 7
 MAGIC = b"TYSST001"
@@ -171,12 +175,14 @@ class Shard:
 MANIFEST = "path string, n_docs long, n_ids long, first_key binary, last_key binary"
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int | None, folder: str | None = None) -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int | None, folder: str | None = None, range_bytes: int = RANGE_BYTES, most_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes the texts of docs, appends end_id to each, and writes shards to a folder in shared storage.
 
     Returns the manifest, one row a shard: path, n_docs, n_ids, first_key, last_key. Rows are dealt out by ranges of
-    doc_id, and each task encodes and writes as it reads, so memory holds one batch and one block. A task's file has
-    a name of its own attempt, and only the manifest's files count: lost and repeated tasks leave nothing behind that
+    doc_id, as many as range_bytes of text each ask for (or the session's number of shuffle partitions, if that is more),
+    and each task encodes and writes as it reads. A shard ends before the entry that would take it over most_bytes, so
+    memory holds one batch, one block and the keys of one shard, whatever a range holds. A task's files have
+    names of its own attempt, and only the manifest's files count: lost and repeated tasks leave nothing behind that
     is read. Null texts are empty, null ids come first, rows that repeat an id stay side by side in an order
     of their texts' hashes, maybe over several shards, an empty table gives no shards, and other columns are ignored.
     """
@@ -184,7 +190,10 @@ def write_shards(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id:
     folder = folder or fresh(spark, "sstable")
     rows = docs.select("doc_id", text_of(docs).alias("text"))
     mark = F.xxhash64("text")  # so that an id which very many rows have is dealt to several shards
-    rows = rows.repartitionByRange("doc_id", mark).sortWithinPartitions("doc_id", mark, "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = -(-size // range_bytes)
+    number = [ranges] if ranges > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    rows = rows.repartitionByRange(*number, "doc_id", mark).sortWithinPartitions("doc_id", mark, "text")
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches):
@@ -197,13 +206,21 @@ def write_shards(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id:
                     yield doc_id, ids[borders[k] : borders[k + 1]].astype("<u4").tobytes() + tail
 
         stream = entries()
-        first = next(stream, None)
-        if first is None:
-            return
-        summary: dict = {}
-        path = write_file(folder, "shard", shard_bytes((x for part in ((first,), stream) for x in part), summary))
-        row = {"path": path} | summary
-        yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())]))
+        ahead = next(stream, None)
+
+        def one_shard():
+            nonlocal ahead
+            held = 0
+            while ahead is not None and (not held or held + ENTRY_BYTES + len(ahead[1]) <= most_bytes):
+                held += ENTRY_BYTES + len(ahead[1])
+                yield ahead
+                ahead = next(stream, None)
+
+        while ahead is not None:
+            summary: dict = {}
+            path = write_file(folder, "shard", shard_bytes(one_shard(), summary))
+            row = {"path": path} | summary
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary())]))
 
     return settle(rows.mapInArrow(thrifty(write, ("ids", vocabulary)), MANIFEST), "manifest")
 
