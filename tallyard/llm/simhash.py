@@ -16,6 +16,9 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,22 +30,40 @@ from .components import components
 
 SEGMENTS = 5
 BLOCK = 1024
-
-
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """A bit is set if it is set in over half of the hashes of the text's word shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    own = [words[k:] for k in range(shingle)]
-    grams = list(map(b" ".join, zip(*own, strict=False))) if len(words) >= shingle else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, 42) for g in grams), np.uint64, len(grams))
-    bits = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 16):
-        part = hashes[k : k + (1 << 16)]
-        bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int.from_bytes(np.packbits(bits * 2 > len(hashes), bitorder="little").tobytes(), "little")
+#: Bytes of a text that are cut into words and shingles at a time.
+RUN_BYTES = 1 << 18
+_SPACE = re.compile(rb"[\x09-\x0d ]")
+
+
+def word_runs(text: str | None, size: int) -> Iterator[list[bytes]]:
+    """The text's words in their order, A-Z in lower case, by runs of about size bytes."""
+    data, at = (text or "").encode("utf-8", "surrogatepass").lower(), 0
+    while at < len(data):
+        space = _SPACE.search(data, at + size)
+        end = space.start() if space else len(data)
+        yield data[at:end].split()
+        at = end
+
+
+def fingerprint(text: str | None, shingle: int = 4, run_bytes: int = RUN_BYTES) -> int:
+    """A bit is set if it is set in over half of the hashes of the text's word shingles. Long texts go by runs of words,
+    each with the last words of the one before, so that memory does not follow the text's length in words."""
+    digest, bits, n, last = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+
+    def add(grams: list[bytes]) -> None:
+        nonlocal bits, n
+        hashes = np.fromiter((digest(g, 42) for g in grams), np.uint64, len(grams))
+        bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+        n += len(grams)
+
+    for run in word_runs(text, run_bytes):
+        words = last + run
+        if len(words) >= shingle:
+            add(list(map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))))
+        last = words[max(0, len(words) - shingle + 1) :]
+    if not n and last:
+        add([b" ".join(last)])
+    return int.from_bytes(np.packbits(bits * 2 > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame, shingle: int = 4) -> DataFrame:

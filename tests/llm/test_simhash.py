@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import xxhash
@@ -113,3 +114,16 @@ def test_clashing_names(spark, docs_of):
 def test_empty(spark, docs_of):
     assert simhash.near_groups(spark, docs_of([])).count() == 0
     assert simhash.keep_one(spark, docs_of([])).count() == 0
+
+
+def test_long_texts_by_runs_have_the_same_fingerprint():
+    r = random.Random(12)
+    for n in (0, 1, 3, 4, 5, 40, 700):
+        text = "".join(r.choice(["Ab", "é", "word" * 9, "x"]) + str(r.randrange(30)) + r.choice([" ", "\n\n", "\t", "\x0b", "\u00a0 "]) for _ in range(n))
+        for size in (1, 7, 50, 1000):
+            assert simhash.fingerprint(text, run_bytes=size) == slow_fingerprint(text)
+            assert sum(simhash.word_runs(text, size), []) == text.encode().lower().split()
+    tracemalloc.start()
+    assert simhash.fingerprint("some words " * 1_000_000) == slow_fingerprint("some words " * 50)
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
