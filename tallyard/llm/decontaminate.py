@@ -181,6 +181,7 @@ def _query(spark: SparkSession, index: DataFrame, items: list[tuple], window: in
     total[:size] = 0
     for r in counted.toLocalIterator():  # as many rows as the block of items has terms
         total[r["term"]] = r["n"]
+    given.destroy()
     order = np.argsort(total[query["terms"]], axis=1, kind="stable")
     return query | {"matrix": np.take_along_axis(query.pop("terms"), order, axis=1), "offsets": order.astype(np.int16)}
 
@@ -224,6 +225,7 @@ def matches(spark: SparkSession, index: DataFrame, benchmark: DataFrame, window:
                         yield pa.RecordBatch.from_pandas(found, schema=_HITS, preserve_index=False)
 
         part = settle(index.select("block", "n_words", "terms", "ends", "positions").mapInArrow(thrifty(look), HITS), "hits")
+        given.destroy()  # its hits are stored: nothing asks for it again
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], HITS)
 
