@@ -59,7 +59,8 @@ def cut_long(distinct: pa.Array, codes: np.ndarray, borders: np.ndarray, most: i
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: dict[int, int], most_bytes: int) -> list[tuple[str, int]]:
     """(text, label) of up to per_label rows of each label, drawn by a hash of the id from the rows that are not held out.
 
-    Texts over most_bytes are left to others of their class. Ids with labels of both kinds take no part.
+    Texts over most_bytes are left to others of their class. Ids with labels of both kinds take no part. Of several texts
+    under one id the one with the least hash is drawn, so that each run draws the same.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("y")).where("low = y")
     sized = docs.select("doc_id", F.octet_length(text_of(docs)).alias("size")).where((F.col("size") > 0) & (F.col("size") <= most_bytes)).select("doc_id")
@@ -69,5 +70,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: d
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label[y])
         drawn = part if drawn is None else drawn.unionByName(part)
     # At most as many ids as per_label allows.
-    rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y").collect()
+    rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(drawn), "doc_id").where((F.octet_length("text") > 0) & (F.octet_length("text") <= most_bytes))
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), "text"))["text"].alias("text"), F.min("y").alias("y")).collect()
     return [(r["text"], r["y"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]

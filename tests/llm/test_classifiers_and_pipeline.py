@@ -15,7 +15,8 @@ from test_simhash import slow_groups
 from test_token_tables import library
 
 import corpus_pipeline
-from tallyard.llm import quality, toxicity
+from tallyard.llm import quality, toxicity, words
+from tallyard.llm.common import settle
 
 SF = "/root/testdata/sf0.01"
 
@@ -125,6 +126,38 @@ def test_misspellings_share_n_grams():
     assert p[0] > 0.7 > p[1]
 
 
+def test_a_repeated_id_gives_the_same_sample(spark, docs_of):
+    rows = [(k % 20, f"text {k} " * 3) for k in range(200)] + [(30, None), (31, ""), (32, "x" * 900)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(33)], "doc_id long, toxic int")
+    drawn = [words.labelled_sample(docs_of(rows[::step]).repartition(n), labels, "toxic", {0: 50, 1: 50}, 500) for step, n in ((1, 1), (-1, 5), (1, 3))]
+    assert drawn[0] == drawn[1] == drawn[2] and {t for t, _ in drawn[0]} <= {t for _, t in rows[:200]}
+    assert len(drawn[0]) == len({k for k in range(20) if zlib.crc32(str(k).encode()) % 3 != 1})
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty documents, then repeated and null ids, null, empty and very long texts; a column that clashes with results."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int, text_key string, score string"
+    labels = spark.createDataFrame([(k, 1, int(k % 2)) for k in range(40)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    r = random.Random(4)
+    text = lambda k: " ".join(f"w{r.randrange(10**6)}" for _ in range(30)) + " vile scoundrel" * (3 * (k % 2))
+    long = " ".join(f"v{k}" for k in range(120_000))
+    rows = [(k, text(k)) for k in range(40)] + [(50, None), (51, ""), (52, long), (52, long), (None, "a text of its own " * 5)]
+    for table in ([], rows):
+        now = spark.createDataFrame([(i, t, "en", "s", 0, "mine", "own") for i, t in table], schema)
+        for name, stage in corpus_pipeline.STAGES:
+            columns = now.columns
+            now = settle(stage(spark, now, f"file://{tmp_path}"), f"odd-{name}")
+            assert name == "packing" or now.columns == columns
+            if name == "near_dedup":
+                kept = [x["doc_id"] for x in now.collect()]
+        got = {x["doc_id"] for x in now.collect()}
+        assert got == set(kept) and len(kept) == len(got)
+    # Texts without words are one group, of which the smallest id stays; copies of the long one likewise.
+    assert {50, 52, None} <= got and 51 not in got and not got & set(range(1, 40, 2)) and set(range(0, 40, 2)) <= got
+
+
 def test_pipeline(spark, tmp_path):
     r = random.Random(7)
     line = lambda n: " ".join(r.choice("abcdefghij") + str(r.randrange(300)) for _ in range(n))
