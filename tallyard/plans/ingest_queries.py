@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyard.plans.analogue import FULL_ENTRIES, full_entries, table, with_entries
+from tallyard.plans.analogue import FULL_ENTRIES, entries, full_entries, table, with_entries
 from tallyard.registry import query
 from tallyard.sources import ingest as I
-from tallyard.sources.storage import workspace
+from tallyard.sources.storage import settle, workspace
 
 #: Files lie in a folder of each meeting here, as Spark names files itself.
 NUMBER = r"meeting=(\d+)/"
@@ -29,21 +29,22 @@ def _write(df, path: str, header: list[str] | None = None) -> None:
     """A headed CSV file a meeting; columns are all but meeting, which names its folder."""
     names = [c for c in df.columns if c != "meeting"]
     df = df.toDF(*[c if c == "meeting" else dict(zip(names, header or names, strict=True))[c] for c in df.columns])
-    df.repartition("meeting").write.partitionBy("meeting").option("header", True).option("emptyValue", "").csv(path)
+    df.repartition("meeting").write.partitionBy("meeting").option("header", True).option("emptyValue", "").option("compression", "gzip").csv(path)
 
 
 def ingested(spark, sf) -> dict:
     """The three tables; every call writes the raw files and ingests them."""
-    e, raw = full_entries(spark, sf), workspace(spark, "raw")
-    m = _numbered(e)
+    raw = workspace(spark, "raw")
+    # Entries are made twice, as they lie by contest then; stored, they would have to meet by contest once more.
+    e, m = full_entries(spark, sf), settle(_numbered(entries(spark, sf)), "numbered")
     name = F.concat(F.lit("RACE "), F.col("no").cast("string"), F.lit(" ("), F.col("contest").cast("string"), F.lit(")"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("---"))
-    rows = e.join(m.select("contest", "meeting", "no"), "contest").select(
+    times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("draw") == 2, 2).otherwise(1)))  # rows that come twice
+    rows = e.withColumn("_", times).join(m.select("contest", "meeting", "no"), "contest").select(
         "meeting", name.alias("n"), F.lit("GOOD"), "course", text("position"), text("number"), F.concat(F.col("name"), F.lit(" (K"), F.lpad(F.hex("participant"), 4, "0"), F.lit(")")), text("handler"), text("second_handler"), text("weight"), F.lit("1100"), text("draw"),
         F.lit("1-1/2"), "running_pos", F.lit("0:57.87"), text("odds"),
     )
-    again = rows.where(F.col("draw") == "2")  # rows that come twice
-    _write(rows.unionByName(again), f"{raw}/races", [str(k) for k in range(len(I.RESULT_COLUMNS))])
+    _write(rows, f"{raw}/races", [str(k) for k in range(len(I.RESULT_COLUMNS))])
     contest = m.select("meeting", F.col("day").alias("date"), F.col("no").alias("contest_no"), name.alias("contest_name"), F.lit("GOOD").alias("going"), F.lit("TURF").alias("course"), "distance", F.lit("Class 4").alias("contest_class"), F.lit("n/a").alias("prize"),
                        F.concat(F.lit("http://x/results?racecourse="), F.when(F.col("meeting") % 2 == 0, "st").otherwise("hv"), F.lit("&RaceNo="), F.col("no").cast("string")).alias("url"))
     _write(contest, f"{raw}/metadata")

@@ -15,7 +15,8 @@ PAYOUT_COLUMNS = ["date", "contest_no", "contest_name", "pool", "combo", "divide
 CONTEST_COLUMNS = ["date", "contest_no", "contest_name", "going", "course", "distance", "contest_class", "prize", "url"]
 #: The meeting's number at the end of a file's name.
 NUMBER = r"(\d+)\.csv$"
-RESULT_KEY, PAYOUT_KEY, CONTEST_KEY = ["contest_id", "participant"], ["contest_id", "pool", "combo"], ["contest_id"]
+#: Codes may be cut, so participants of one contest may share a code; they then differ by name.
+RESULT_KEY, PAYOUT_KEY, CONTEST_KEY = ["contest_id", "participant", "name"], ["contest_id", "pool", "combo"], ["contest_id"]
 
 
 def _keyed(rows: DataFrame, no) -> DataFrame:
@@ -48,7 +49,7 @@ def payouts(raw: DataFrame) -> DataFrame:
 
 
 def results(raw: DataFrame, raw_contests: DataFrame, distances: DataFrame, number: str = NUMBER) -> DataFrame:
-    """A row a contest and participant that finished.
+    """A row a contest and participant, by code and name, that finished.
 
     Result files have no date: it is the first one of the contest file with the same number. distances: contest_id, distance.
     """

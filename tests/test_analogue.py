@@ -5,7 +5,9 @@ import datetime as dt
 import duckdb
 import pytest
 
+from tallyard.plans import ingest_queries as I
 from tallyard.plans.analogue import entries, full_entries, with_entries
+from tallyard.registry import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +38,11 @@ def test_entries_meet_once(spark, tables):
     """One shuffle of lines, one of orders."""
     plan = full_entries(spark, tables)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 2 or plan.count("Exchange hashpartitioning") <= 2, plan
+
+
+@pytest.mark.parametrize("name", ["ingest_results", "ingest_payouts", "ingest_contests"])
+def test_ingest_keeps_participants_whose_cut_codes_are_one(spark, tables, name):
+    """K1234 stands for two participants of the first contest."""
+    got = getattr(I, name)(spark, tables)
+    assert sorted(map(tuple, got.collect()), key=str) == sql(tables, f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})")
+    assert name != "ingest_results" or sorted(r["name"] for r in got.where("participant = 'K1234'").collect()) == ["P74560", "P74561"]
