@@ -302,3 +302,25 @@ def test_the_shared_folder_must_be_named_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session())
+
+
+def test_a_ledger_makes_its_steps_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    shape = "season string, config string, d date, contest long, k int, n int, fraction double, odds double, won int"
+    t = spark.createDataFrame([("s", "", dt.date(2000, 1, 1), c, 1, 1, 0.1, 3.0, c % 2) for c in range(20)], shape)
+    row = L.ledger(L.fold(t.mapInArrow(count, shape), L.Stake("rounded", least=10.0)), 100_000.0).collect()
+    assert row[0]["contests"] == 20 and row[0]["hits"] == 10 and seen.value == 20
+
+
+def test_prices_of_triples_are_spelt_out_once(spark):
+    shape = "season string, d date, contest long, participant long, position int, odds double, score double, p double, place double, payout double"
+    rows = [("s", dt.date(2000, 1, 1), 1, k, k, 2.0 + k, 9.0 - k, (9 - k) / 36, 0.5, 100.0) for k in range(1, 9)]
+    for v in ("v26", "v27", "v28", "v29"):
+        plan = S.tickets(spark.createDataFrame(rows, shape), S.SPECS[v])._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("aggregate(") <= 2, v  # of the own probabilities and of the market's
