@@ -6,7 +6,7 @@ isotonic fit pools violators by ranges, and then across them, so that blocks and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -46,6 +46,19 @@ class TreeRanker:
         return out.withColumnRenamed("prediction", name).drop("_x")
 
 
+#: Rows of a partition that trees are fitted on.
+TREE_ROWS = 200_000
+
+
+def _tree_rows(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    """features without nulls and label, dealt evenly: a task of the trees' many passes reads at most about TREE_ROWS
+    rows, however many there are, and what made them runs once. Trees hang on the rows' order by their sample of
+    candidate splits alone."""
+    rows = settle(df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features], F.col(label).cast("double").alias(label)), "trees")
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // TREE_ROWS)))
+
+
 def fit_ranker(train: DataFrame, features: list[str], kind: str = "linear"):
     """linear: logistic regression without intercept on differences within a contest. boosted: trees boosted by the
     pairwise loss, see `boosting`. trees: Spark's boosted trees on relevance, entry by entry."""
@@ -54,7 +67,7 @@ def fit_ranker(train: DataFrame, features: list[str], kind: str = "linear"):
     if kind == "trees":
         from pyspark.ml import Pipeline
 
-        data = train.fillna(0.0, features).withColumn("label", relevance(F.col("position")).cast("double"))
+        data = _tree_rows(train.withColumn("label", relevance(F.col("position"))), features, "label")
         return TreeRanker(features, Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol="label", maxIter=10, maxDepth=4, seed=42)]).fit(data))
     both = pairs(train.fillna(0.0, features), ["participant", "position", *features], ordered=False)
     x = F.array(*[F.col(f"{f}_a") - F.col(f"{f}_b") for f in features])
@@ -65,7 +78,8 @@ def fit_ranker(train: DataFrame, features: list[str], kind: str = "linear"):
 
 def fit_platt(df: DataFrame, score: str, target: str):
     """Logistic regression on one score, with an L2 term of 1 over the number of rows. Returns df -> df with p."""
-    data = df.select(F.array(score).alias("a"), F.col(target).cast("double").alias("label")).select(array_to_vector("a").alias("features"), "label")
+    data = settle(df.select(F.col(score).cast("double").alias("x"), F.col(target).cast("double").alias("label")), "platt")  # counted, then fitted
+    data = data.select(array_to_vector(F.array("x")).alias("features"), "label")
     model = LogisticRegression(regParam=1.0 / max(1, data.count()), standardization=False, maxIter=50).fit(data)
     w, b = float(model.coefficients[0]), float(model.intercept)
     return lambda e, name="p": e.withColumn(name, 1 / (1 + F.exp(-(F.col(score) * w + b))))
@@ -133,7 +147,7 @@ def fit_isotonic(df: DataFrame, p: str, target: str):
 def fit_meta(df: DataFrame, features: list[str], target: str):
     """Boosted trees on score, market and field; returns df -> df with meta_p."""
     vector = VectorAssembler(inputCols=features, outputCol="_x")
-    model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=8, maxDepth=3, seed=42).fit(vector.transform(df.fillna(0.0, features).withColumn("_y", F.col(target).cast("double"))))
+    model = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=8, maxDepth=3, seed=42).fit(vector.transform(_tree_rows(df.withColumn("_y", F.col(target)), features, "_y")))
 
     def use(e: DataFrame, name: str = "meta_p") -> DataFrame:
         out = model.transform(vector.transform(e.fillna(0.0, features)))
@@ -172,13 +186,14 @@ def permutation_importance(e: DataFrame, model, features: list[str], rel: Column
     variants = F.array(F.struct(F.lit("").alias("feature"), F.lit(0).alias("again")), *[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("again")) for f in features for r in range(repeats)])
     each = one.select("contest", "field", F.explode(variants).alias("v"))
     digest = lambda a: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("v.again"), F.col("v.feature"), F.col("contest"), a["participant"]).cast("binary"))
-    dealt = F.array_sort(F.transform("field", lambda a, i: F.struct(digest(a).alias("h"), i.alias("i"))))
+    dealt = F.when(F.col("v.feature") != "", F.array_sort(F.transform("field", lambda a, i: F.struct(digest(a).alias("h"), i.alias("i")))))
     each = each.withColumn("dealt", dealt)
     other = lambda i, f: F.get("field", F.get("dealt", i)["i"])[f]
     cell = lambda a, i, f: F.when(F.col("v.feature") == f, other(i, f)).otherwise(a[f]).alias(f)
     moved = F.transform("field", lambda a, i: F.struct(a["participant"].alias("participant"), a["rel"].alias("rel"), *[cell(a, i, f) for f in features]))
-    flat = each.select(F.struct("contest", "v").alias("contest"), F.explode(moved).alias("x")).select("contest", "x.*")
-    scores = ndcg(model.transform(flat, "score"), "score", F.col("rel"), k).groupBy("contest.v.feature").agg(F.avg("ndcg").alias("permuted"))
+    flat = each.select("contest", "v.feature", "v.again", F.explode(moved).alias("x")).select("contest", F.col("feature").alias("_feature"), F.col("again").alias("_again"), "x.*")
+    # The variants of a contest lie where the contest does, so that nothing is shuffled again.
+    scores = ndcg(model.transform(flat, "score"), "score", F.col("rel"), k, ["contest", "_feature", "_again"]).groupBy(F.col("_feature").alias("feature")).agg(F.avg("ndcg").alias("permuted"))
     base = scores.where("feature = ''").select(F.col("permuted").alias("base"))
     out = scores.where("feature <> ''").crossJoin(F.broadcast(base))  # one row
     return out.select("feature", "base", "permuted", (F.col("base") - F.col("permuted")).alias("drop"))
@@ -271,13 +286,13 @@ def _one_by_one(e: DataFrame, folds: DataFrame, features: list[str], kind: str)
     return out
 
 
-def ndcg(e: DataFrame, score: str, rel: Column, k: int = 3) -> DataFrame:
-    """contest, ndcg: discounted gain of the first k by score over that of the best order."""
+def ndcg(e: DataFrame, score: str, rel: Column, k: int = 3, keys: Sequence[str] = ("contest",)) -> DataFrame:
+    """keys, ndcg: discounted gain of the first k by score over that of the best order."""
     e = e.withColumn("_rel", rel)
-    by = lambda c: F.row_number().over(H.contest_window().orderBy(F.desc(c), "participant"))
+    by = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(c), "participant"))
     e = e.withColumns({"_got": by(score), "_best": by("_rel")})
     gain = lambda r: F.sum(F.when(F.col(r) <= k, (F.pow(F.lit(2.0), F.col("_rel")) - 1) / F.log2(F.col(r) + 1)).otherwise(0.0))
-    return e.groupBy("contest").agg(F.try_divide(gain("_got"), gain("_best")).alias("ndcg"))
+    return e.groupBy(*keys).agg(F.try_divide(gain("_got"), gain("_best")).alias("ndcg"))
 
 
 def save_model(model: PipelineModel, path: str) -> None:

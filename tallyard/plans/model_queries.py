@@ -15,7 +15,7 @@ from tallyard.plans.analogue import entries, with_entries
 from tallyard.plans.market_queries import FORM, ranked, scored, sql
 from tallyard.plans.table_queries import folds
 from tallyard.registry import query
-from tallyard.sources.storage import workspace
+from tallyard.sources.storage import settle, workspace
 
 FEATURES = ["form", "weight", "odds"]
 
@@ -68,7 +68,8 @@ def m1_boosted_splits(spark, sf):
 @query()
 def m2_fit_platt(spark, sf):
     """Of the probabilities to win and to place: losses by season."""
-    e = scored(spark, sf).withColumns({"win": (F.col("position") == 1).cast("int"), "placed": (F.col("position") <= 3).cast("int")}).drop("p")
+    e = scored(spark, sf).withColumns({"win": (F.col("position") == 1).cast("int"), "placed": (F.col("position") <= 3).cast("int")})
+    e = settle(e.select("season", "d", "score", "win", "placed"), "scored")  # two fits and the losses read it
     early = e.where("d < DATE '1999-09-01'")
     e = L.fit_platt(early, "score", "placed")(L.fit_platt(early, "score", "win")(e), "place")
     losses = [f(F.col(p), F.col(y)).alias(f"{y}_{name}") for p, y in (("p", "win"), ("place", "placed")) for name, f in (("brier", brier), ("log_loss", log_loss))]

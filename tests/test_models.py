@@ -167,3 +167,24 @@ def test_meta_and_saved_trees(spark, tmp_path):
     again = L.TreeRanker(model.features, L.load_model(f"file://{tmp_path}/t"))
     scores = lambda m: sorted((r["contest"], r["participant"], r["score"]) for r in m.transform(e).collect())
     assert scores(model) == scores(again)
+
+
+def test_platt_makes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(k / 50 - 1, int(k % 3 > 0)) for k in range(100)], "score double, y int").repartition(2)
+    L.fit_platt(df.mapInArrow(count, df.schema), "score", "y")
+    assert seen.value == 100
+
+
+def test_tree_rows_are_bounded_by_task(spark, monkeypatch):
+    monkeypatch.setattr(L, "TREE_ROWS", 100)
+    df = spark.range(5000).selectExpr("CAST(id AS DOUBLE) AS a", "id % 2 AS y", "CAST(NULL AS DOUBLE) AS b")
+    rows = L._tree_rows(df, ["a", "b"], "y")
+    sizes = rows.rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()
+    assert sum(sizes) == 5000 and max(sizes) <= 110 and rows.where("b <> 0").count() == 0
