@@ -18,64 +18,118 @@ OUT = "user_id long, event_id long, n_before long, rolling5 double, rolling30 do
 KEPT = 30
 
 
-def before(last: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
-    """For each value the mean of the k before it, those of last among them; NaN where there are none."""
-    every = np.concatenate([last, values])
-    total = np.concatenate([[0.0], np.cumsum(every)])
-    at = np.arange(len(last), len(every))
-    first = np.maximum(0, at - k)
-    with np.errstate(invalid="ignore"):
-        return (total[at] - total[first]) / (at - first)
+#: Groups that users are dealt to by a hash; a checkpoint holds for one number of them.
+BUCKETS = 256
+
+
+def advance(users: dict[str, np.ndarray], ready: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """What is known of users after the events of ready, and each event's features from its user's events before it.
+
+    users: user_id, n, newest_us and last, a row of KEPT values a user, NaN where there are none. A value that is missing
+    counts as an event, and not in a mean. All users take their steps at once.
+    """
+    order = np.lexsort((ready["value"], ready["event_id"], ready["us"], ready["user_id"]))
+    ready = {c: v[order] for c, v in ready.items()}
+    who, first, count = np.unique(ready["user_id"], return_index=True, return_counts=True)
+    n, last, known = np.zeros(len(who), np.int64), np.full((len(who), KEPT), np.nan), np.isin(who, users["user_id"])
+    at = np.searchsorted(users["user_id"], who[known])
+    n[known], last[known] = users["n"][at], users["last"][at]
+    # Each user's last values, then the new ones.
+    of = np.repeat(np.arange(len(who)), count)
+    here = np.arange(len(of)) + KEPT * (of + 1)
+    every = np.full(len(of) + KEPT * len(who), np.nan)
+    every[here] = ready["value"]
+    every[(first + KEPT * np.arange(len(who)))[:, None] + np.arange(KEPT)] = last
+    total, values, means = np.zeros(len(of)), np.zeros(len(of)), {}
+    for k in range(1, KEPT + 1):
+        x = every[here - k]
+        total, values = total + np.where(np.isnan(x), 0.0, x), values + ~np.isnan(x)
+        if k in (5, KEPT):
+            means[k] = np.divide(total, values, out=np.full(len(of), np.nan), where=values > 0)
+    delta = ready["value"] - every[here - 1]
+    out = {"user_id": ready["user_id"], "event_id": ready["event_id"], "n_before": n[of] + np.arange(len(of)) - first[of], "rolling5": means[5], "rolling30": means[KEPT], "value_delta": np.where(np.isnan(delta), 0.0, delta)}
+    end = first + count
+    now = {"user_id": who, "n": n + count, "newest_us": ready["us"][end - 1], "last": every[(end + KEPT * np.arange(len(who)))[:, None] + np.arange(KEPT)]}
+    rest = ~np.isin(users["user_id"], who)
+    now = {c: np.concatenate([users[c][rest], now[c]]) for c in now}
+    order = np.argsort(now["user_id"])
+    return {c: v[order] for c, v in now.items()}, out
+
+
+EVENT = {"user_id": np.int64, "us": np.int64, "event_id": np.int64, "value": np.float64}
+USER = {"user_id": np.int64, "n": np.int64, "newest_us": np.int64, "last": np.float64}
 
 
 class History(StatefulProcessor):
-    """Snapshot, then advance, for one user in event time. State: a count, the last KEPT values, and events that wait until
-    the watermark has passed them, as earlier ones may still come."""
+    """Snapshot, then advance, for a bucket of users in event time. State, each column as its bytes: users with a count and
+    their last KEPT values, and events that wait until the watermark has passed them, as earlier ones may still come. A
+    call of the state costs the same for one user as for many, so a bucket asks for all of its own at once."""
 
     def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getValueState("known", "n long, newest_us long")
-        self.last = handle.getListState("last", "value double")
-        self.waiting = handle.getListState("waiting", "us long, event_id long, value double")
+        self.users = handle.getValueState("users", ", ".join(f"{c} binary" for c in USER))
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} binary" for c in EVENT))
+        self.due = handle.getValueState("due", "ms long")
+
+    def wake(self, ms: int) -> None:
+        """The bucket's one timer."""
+        due = self.due.get()[0] if self.due.exists() else None
+        if due is None or ms < due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(ms)
+            self.due.update((ms,))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = self.known.get()[1] if self.known.exists() else None
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        passed, first = timerValues.getCurrentWatermarkInMs() * 1000, None
         for frame in rows:
-            us = frame["ts"].astype("datetime64[us]").astype("int64")
             # What has been passed was settled without it.
-            frame = frame.assign(us=us)[(us > passed) & (us > (-1 if newest is None else newest))] if newest is not None or passed else frame.assign(us=us)
+            frame = frame[frame["us"] > passed] if passed else frame
             if len(frame):
-                self.waiting.appendList([(int(u), int(i), float(v)) for u, i, v in zip(frame["us"], frame["event_id"], frame["value"], strict=True)])
-                self.handle.registerTimer(int(frame["us"].min() // 1000) + 1)
+                self.waiting.appendValue(tuple(frame[c].to_numpy(t).tobytes() for c, t in EVENT.items()))
+                first = min(x for x in (first, int(frame["us"].min())) if x is not None)
+        if first is not None:
+            self.wake(first // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        events = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready, later = [x for x in events if x[0] < passed], [x for x in events if x[0] >= passed]
-        n, newest = self.known.get() if self.known.exists() else (0, 0)
-        if not ready:
-            if not later and self.idle_ms is not None and newest and passed >= newest + self.idle_ms * 1000:
-                self.known.clear()
-                self.last.clear()
-            return
-        last, values = np.array([x[0] for x in self.last.get()] if self.last.exists() else [], float), np.array([x[2] for x in ready])
-        every = np.concatenate([last, values])
-        previous = every[len(last) - 1 : -1] if len(last) else np.concatenate([[np.nan], values[:-1]])
-        self.known.update((n + len(ready), ready[-1][0]))
-        self.last.put([(float(v),) for v in every[-KEPT:]])
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
+        self.due.clear()
+        chunks = list(self.waiting.get()) if self.waiting.exists() else []
+        events = {c: np.frombuffer(b"".join(x[k] for x in chunks), t) for k, (c, t) in enumerate(EVENT.items())}
+        users = {c: np.frombuffer(x, t) for x, (c, t) in zip(self.users.get() if self.users.exists() else [b""] * len(USER), USER.items(), strict=True)}
+        users["last"] = users["last"].reshape(-1, KEPT)
+        ready, later = ({c: v[at] for c, v in events.items()} for at in (events["us"] < passed, events["us"] >= passed))
+        out = None
+        if len(ready["us"]):
+            settled = ready["user_id"]
+            users, out = advance(users, ready)
+            if len(later["us"]):
+                self.waiting.put([tuple(v.tobytes() for v in later.values())])
+            else:
+                self.waiting.clear()
         else:
-            self.waiting.clear()
+            settled = events["user_id"][:0]
+        if len(later["us"]):
+            self.wake(int(later["us"].min()) // 1000 + 1)
+        forgotten = False
         if self.idle_ms is not None:
-            self.handle.registerTimer(ready[-1][0] // 1000 + self.idle_ms)
-        yield pd.DataFrame({"user_id": key[0], "event_id": [x[1] for x in ready], "n_before": n + np.arange(len(ready)), "rolling5": before(last, values, 5), "rolling30": before(last, values, KEPT), "value_delta": np.nan_to_num(values - previous)})
+            idle = ~np.isin(users["user_id"], later["user_id"])
+            gone = idle & ~np.isin(users["user_id"], settled) & (users["newest_us"] + self.idle_ms * 1000 <= passed)
+            forgotten = bool(gone.any())
+            until = np.maximum(users["newest_us"] // 1000 + self.idle_ms, passed // 1000 + 1)[idle & ~gone]
+            users = {c: v[~gone] for c, v in users.items()}
+            if len(until):
+                self.wake(int(until.min()))
+        if not len(users["user_id"]):
+            self.users.clear()
+        elif out is not None or forgotten:
+            self.users.update(tuple(v.tobytes() for v in users.values()))
+        if out is not None:
+            yield pd.DataFrame(out if not key[1] else out | {"user_id": pd.array([None] * len(out["user_id"]), "Int64")})
 
     def close(self) -> None:
         pass
@@ -87,20 +141,22 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 NOBODY = -1
 
 
-def stream_history(events: DataFrame, lateness: str = "1 hour", idle_days: int | None = None) -> DataFrame:
+def stream_history(events: DataFrame, lateness: str = "1 hour", idle_days: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Features of each user's events from those before them, in the order of (ts, event_id).
 
     An event comes out when the watermark has passed it, so one that is late, but not by more than lateness, still takes
     its place; one that is later is dropped. At the end of a finite stream the last ones wait until a later event (of any
     user, see `closing`) moves the watermark. With idle_days, a user without events for so long is forgotten and starts
-    anew; without it every user's count and last values stay. A task holds the events of one user that wait, which
-    lateness and the source's options bound.
+    anew; without it every user's count and last values stay. A task holds one bucket's users, about 270 bytes each, and
+    its events that wait, which lateness and the source's options bound; more buckets make both smaller.
     """
     spark = events.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     marked = events.withWatermark("ts", lateness)
-    return marked.groupBy("user_id").transformWithStateInPandas(History(None if idle_days is None else idle_days * 86_400_000), OUT, "Append", "EventTime")
+    user = F.col("user_id")
+    dealt = marked.select("ts", F.coalesce(user, F.lit(0)).cast("long").alias("user_id"), F.unix_micros("ts").alias("us"), "event_id", "value", F.pmod(F.xxhash64(user), F.lit(buckets)).alias("bucket"), user.isNull().alias("nobody"))
+    return dealt.groupBy("bucket", "nobody").transformWithStateInPandas(History(None if idle_days is None else idle_days * 86_400_000), OUT, "Append", "EventTime")
 
 
 def closing(events: DataFrame, after: str = "2 hours") -> DataFrame:

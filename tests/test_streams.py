@@ -58,3 +58,27 @@ def test_rating_changes_follow_the_batch_and_can_be_run_again(spark, tmp_path, m
     for k in range(5):
         T.stream_ratings(spark.readStream.schema(schema).parquet(f"{source}/[0-{k}]"), states, f"{checkpoint}-again")
     assert read() == before
+
+
+def test_state_of_history_is_kept_by_bucket_and_equals_windows(spark, tmp_path):
+    """Calls of the state follow the buckets, not the users. Missing values count as events, and not in means; events
+    without a user are one group; the session's time zone changes nothing."""
+    e = spark.range(6000).selectExpr("IF(id % 100 = 7, NULL, id % 600) AS user_id", "id AS event_id", "timestamp_seconds(1709290000 + CAST(id / 10 AS LONG)) AS ts", "IF(id % 13 = 0, NULL, id % 37 + 0.25D) AS value")
+    source, out, checkpoint = (f"file://{tmp_path}/{d}" for d in ("in", "out", "check"))
+    zone, kept = spark.conf.get("spark.sql.session.timeZone"), []
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for k, part in enumerate((e.where("event_id < 4000"), e.where("event_id >= 4000").unionByName(T.closing(e)))):
+            part.coalesce(1).write.parquet(f"{source}/{k}")
+            stream = T.stream_history(spark.readStream.schema(SCHEMA).parquet(f"{source}/*"), "1 hour", buckets=8)
+            run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            run.awaitTermination()
+            kept += [s["numRowsTotal"] for p in run.recentProgress for s in p["stateOperators"]]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert 0 < max(kept) < 600
+    w = "OVER (PARTITION BY user_id ORDER BY ts, event_id"
+    want = e.selectExpr("user_id", "event_id", f"row_number() {w}) - 1 AS n_before", *[f"round(avg(value) {w} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING), 8) AS rolling{k}" for k in (5, 30)], f"coalesce(value - lag(value) {w}), 0D) AS value_delta")
+    got = spark.read.parquet(out).select("user_id", "event_id", F.col("n_before").cast("int").alias("n_before"), *[F.round(F.nanvl(c, F.lit(None)), 8).alias(c) for c in ("rolling5", "rolling30")], "value_delta")
+    assert got.count() == 6000
+    assert want.exceptAll(got).count() == 0
