@@ -42,7 +42,7 @@ def m1_fit_ranker_trees(spark, sf):
 @query()
 def m1_fit_ranker_boosted(spark, sf):
     """Trees by the pairwise loss on the seasons before the last two, stopped by the NDCG of the last but one; scores of the last."""
-    e = _features(spark, sf)
+    e = settle(_features(spark, sf).select("contest", "d", "participant", "position", *FEATURES), "features")  # cuts, fields and scores read it
     model = fit_boosted_ranker(e.where("d < DATE '2000-09-01'"), FEATURES, relevance(F.col("position")), valid=F.col("d") >= F.lit("1999-09-01").cast("date"), rounds=10, depth=3, rate=0.3)
     return model.transform(e.where("d >= DATE '2000-09-01'")).select("contest", "participant", "score")
 

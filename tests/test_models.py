@@ -73,6 +73,22 @@ def test_boosted_scores_are_those_of_loops(spark):
     assert len(model.trees) == 3 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_contests_are_kept_in_blocks_and_lie_across_batches(spark):
+    rows, cuts = made(60), [[0.2, 0.4, 0.6, 0.8], [0.5]]
+    e = spark.createDataFrame(rows, E)
+    blocks = B.fields(e, ["a", "b"], cuts, rel(), F.lit(False))
+    assert 0 < blocks.count() <= 8  # two a partition
+    want = slow_boost(rows, cuts, 2, 2, 0.3)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        model = B.fit_boosted_ranker(e.withColumn("contest", F.concat(F.lit("c"), "contest")), ["a", "b"], rel(), rounds=2, depth=2, rate=0.3, cuts=cuts)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = {(r["contest"], r["participant"]): r["score"] for r in model.transform(e).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_boosted_beats_linear_stops_early_and_comes_back(spark, tmp_path):
     e = spark.createDataFrame(made(150, 2), E).cache()
     late = F.col("contest") >= 100
