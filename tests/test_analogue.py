@@ -4,9 +4,10 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallyard.plans import ingest_queries as I
-from tallyard.plans.analogue import entries, full_entries, with_entries
+from tallyard.plans.analogue import by_contest, entries, full_entries, with_entries
 from tallyard.registry import ORACLES
 
 
@@ -46,3 +47,11 @@ def test_ingest_keeps_participants_whose_cut_codes_are_one(spark, tables, name):
     got = getattr(I, name)(spark, tables)
     assert sorted(map(tuple, got.collect()), key=str) == sql(tables, f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})")
     assert name != "ingest_results" or sorted(r["name"] for r in got.where("participant = 'K1234'").collect()) == ["P74560", "P74561"]
+
+
+def test_tasks_by_contest_keep_their_size_as_rows_grow(spark):
+    for n in (10_000, 80_000):
+        x = spark.range(n).select(F.floor(F.col("id") / 4).alias("contest"), "id")
+        tasks = by_contest(x, 1000).withColumn("task", F.spark_partition_id())
+        assert max(r["count"] for r in tasks.groupBy("task").count().collect()) < 2000
+        assert tasks.select("contest", "task").distinct().count() == n // 4 and tasks.select("id").distinct().count() == n
