@@ -18,7 +18,7 @@ from tallyard.operators import buckets  # noqa: F401
 from tallyard.operators.boosting import BoostedRanker, candidate_splits, fit_boosted_ranker, quantile_cuts  # noqa: F401
 from tallyard.operators.ledger import Stake, fold, ledger, plain, season_ledger  # noqa: F401
 from tallyard.operators.models import attribution, fit_isotonic, fit_logistics, fit_meta, fit_platt, fit_ranker, importance, isotonic_blocks, load_model, ndcg, permutation_importance, save_model, walk_forward  # noqa: F401
-from tallyard.operators.ratings import FEATURES, contest_features, contest_levels, daily_pagerank, dominance_edges, glicko, history_features, legacy_chain, margin_elo, pagerank, pairwise_elo, rating_fold, ratings_by_contest, snapshot_pagerank, snapshot_features, yearly_snapshots  # noqa: F401
+from tallyard.operators.ratings import FEATURES, contest_features, contest_levels, daily_pagerank, dominance_edges, glicko, history_features, legacy_chain, margin_elo, pagerank, pairwise_elo, rating_fold, ratings_by_contest, ratings_by_period, snapshot_pagerank, snapshot_features, yearly_snapshots  # noqa: F401
 from tallyard.operators.relational import (  # noqa: F401
     arg_max, as_of, assign_folds, attach, bettable_flag, bottom_n, brier, combos, completeness_audit, counts, covers, dedupe, distinct_count, join_odds, join_payouts, log_loss, lookup, null_audit, orphans, overlap,
     pairs, pending, season_counts, settle_bets, summary, top_n, top_peak, union_ragged,
