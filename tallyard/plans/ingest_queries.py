@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyard.plans.analogue import FULL_ENTRIES, entries, full_entries, table, with_entries
 from tallyard.registry import query
 from tallyard.sources import ingest as I
-from tallyard.sources.storage import settle, workspace
+from tallyard.sources.storage import drop, settle, shuffles_dropped, workspace
 
 #: Files lie in a folder of each meeting here, as Spark names files itself.
 NUMBER = r"meeting=(\d+)/"
@@ -25,32 +25,39 @@ def _numbered(e):
     return meetings.withColumns({"no": F.row_number().over(w.orderBy("contest")), "day": F.date_format(F.min("d").over(w), "dd/MM/yyyy")})
 
 
-def _write(df, path: str, header: list[str] | None = None) -> None:
-    """A headed CSV file a meeting; columns are all but meeting, which names its folder."""
+def _write(df, path: str, header: list[str] | None = None, *texts) -> None:
+    """A headed CSV file a meeting; columns are all but meeting, which names its folder. texts are columns made of df's
+    once its rows have met by meeting, so that they are not shuffled."""
+    df = df.repartition("meeting")
+    df = df.select("meeting", *texts) if texts else df
     names = [c for c in df.columns if c != "meeting"]
     df = df.toDF(*[c if c == "meeting" else dict(zip(names, header or names, strict=True))[c] for c in df.columns])
-    df.repartition("meeting").write.partitionBy("meeting").option("header", True).option("emptyValue", "").option("compression", "gzip").csv(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.partitionBy("meeting").option("header", True).option("emptyValue", "").option("compression", "gzip").csv(path)
 
 
 def ingested(spark, sf) -> dict:
-    """The three tables; every call writes the raw files and ingests them."""
+    """The three tables; every call writes the raw files, ingests them and deletes them."""
     raw = workspace(spark, "raw")
     # Entries are made twice, as they lie by contest then; stored, they would have to meet by contest once more.
     e, m = full_entries(spark, sf), settle(_numbered(entries(spark, sf)), "numbered")
     name = F.concat(F.lit("RACE "), F.col("no").cast("string"), F.lit(" ("), F.col("contest").cast("string"), F.lit(")"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("---"))
     times = F.explode(F.array_repeat(F.lit(0), F.when(F.col("draw") == 2, 2).otherwise(1)))  # rows that come twice
-    rows = e.withColumn("_", times).join(m.select("contest", "meeting", "no"), "contest").select(
-        "meeting", name.alias("n"), F.lit("GOOD"), "course", text("position"), text("number"), F.concat(F.col("name"), F.lit(" (K"), F.lpad(F.hex("participant"), 4, "0"), F.lit(")")), text("handler"), text("second_handler"), text("weight"), F.lit("1100"), text("draw"),
+    rows = e.withColumn("_", times).join(m.select("contest", "meeting", "no"), "contest").select("meeting", "no", "contest", "course", "position", "number", "name", "participant", "handler", "second_handler", "weight", "draw", "running_pos", "odds")
+    _write(
+        rows, f"{raw}/races", [str(k) for k in range(len(I.RESULT_COLUMNS))],
+        name.alias("n"), F.lit("GOOD"), "course", text("position"), text("number"), F.concat(F.col("name"), F.lit(" (K"), F.lpad(F.hex("participant"), 4, "0"), F.lit(")")), text("handler"), text("second_handler"), text("weight"), F.lit("1100"), text("draw"),
         F.lit("1-1/2"), "running_pos", F.lit("0:57.87"), text("odds"),
     )
-    _write(rows, f"{raw}/races", [str(k) for k in range(len(I.RESULT_COLUMNS))])
     contest = m.select("meeting", F.col("day").alias("date"), F.col("no").alias("contest_no"), name.alias("contest_name"), F.lit("GOOD").alias("going"), F.lit("TURF").alias("course"), "distance", F.lit("Class 4").alias("contest_class"), F.lit("n/a").alias("prize"),
                        F.concat(F.lit("http://x/results?racecourse="), F.when(F.col("meeting") % 2 == 0, "st").otherwise("hv"), F.lit("&RaceNo="), F.col("no").cast("string")).alias("url"))
     _write(contest, f"{raw}/metadata")
     paid = m.where("contest % 5 <> 0").select("meeting", F.col("day").alias("date"), F.col("no").alias("contest_no"), name.alias("contest_name"), F.lit("TRIO").alias("pool"), F.lit("1,2,3").alias("combo"), F.when(F.col("contest") % 7 == 0, "REFUND").otherwise(F.col("payout").cast("string")).alias("dividend"), F.lit("0").alias("is_refund"))
     _write(paid, f"{raw}/dividends")
-    return I.ingest(spark, f"{raw}/races", f"{raw}/dividends", f"{raw}/metadata", workspace(spark, "ingested"), NUMBER)
+    tables = I.ingest(spark, f"{raw}/races", f"{raw}/dividends", f"{raw}/metadata", workspace(spark, "ingested"), NUMBER)
+    drop(spark, m, raw)  # the tables are stored by now
+    return tables
 
 
 @query(with_entries("SELECT contest_id, day AS d, no AS contest_no, MK.distance, FE.position, draw AS number, name, 'K' || lpad(upper(to_hex(participant)), 4, '0') AS participant, CAST(handler AS VARCHAR) AS handler, weight AS carried, odds, course FROM (SELECT *, CASE WHEN is_turf = 1 THEN 'TURF - \"A\" Course' ELSE 'ALL WEATHER TRACK' END AS course FROM FE) FE JOIN MK ON MK.contest = FE.contest WHERE FE.position IS NOT NULL", _RAW))

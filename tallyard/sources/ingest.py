@@ -73,7 +73,8 @@ def ingest(spark: SparkSession, result_files: str, payout_files: str, contest_fi
     done = {}
 
     def stored(name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{target}/{name}")
+        with T.shuffles_dropped(spark):
+            df.write.mode("overwrite").parquet(f"{target}/{name}")
         done[name] = spark.read.schema(df.schema).parquet(f"{target}/{name}")
         return done[name]
 

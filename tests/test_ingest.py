@@ -1,8 +1,13 @@
 """The whole ingest on a few small files."""
 
 import datetime as dt
+from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from tallyard.plans.ingest_queries import ingested
 from tallyard.sources.ingest import ingest
+from tallyard.sources.storage import shared_dir
 
 
 def test_ingest(spark, tmp_path):
@@ -27,3 +32,15 @@ def test_ingest(spark, tmp_path):
     contests = sorted((r["contest_id"], r["distance"], r["prize"], r["venue"], r["is_bettable"]) for r in got["contests"].collect())
     assert contests == [("2026-04-15_R1", 1200, None, "ST", 1), ("2026-04-15_R2", 1650, 920000, "UNK", 0), ("2026-04-16_R7", 1800, 1, "HV", 0)]
     assert spark.read.parquet(f"{tmp_path}/clean/results").count() == 3
+
+
+def test_raw_files_go_when_the_tables_are_stored(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderdate < '1995-02-01'")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{sf}/lineitem.parquet").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").write.parquet(f"{tmp_path}/lineitem.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    tables = ingested(spark, str(tmp_path))
+    assert {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before} == {"ingested"}
+    assert all(t.count() for t in tables.values())
