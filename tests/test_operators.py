@@ -209,6 +209,15 @@ def test_bankrolls_beyond_doubles(spark, stake):
     assert out["b"]["low"] == 0.0 and out["b"]["growth"] is None or stake.how == "rounded"  # the fourth contest takes all
 
 
+def test_bankrolls_below_doubles(spark):
+    """Every ticket loses half of the bankroll, 4,000 times: no contest is left out when it is below the least double."""
+    rows = [("a", dt.date(2000, 1, 1) + dt.timedelta(c // 7), c, 1, 1, 0.5, 2.0, 0) for c in range(4000)]
+    df = spark.createDataFrame(rows, "season string, d date, contest long, k int, n int, fraction double, odds double, won int").withColumn("config", F.lit("x"))
+    stake = L.Stake("share", start=1000.0)
+    (r,) = L.season_ledger(L.fold(df, stake), stake.start).collect()
+    assert r["contests"] == 4000 and r["growth"] == pytest.approx(4000 * math.log(0.5), abs=1e-4) and r["low"] == 0.0 and r["roi"] == -1.0
+
+
 def test_strategies_stay_finite_at_ten_times_the_contests(spark, e):
     """Ten years of the same contests after each other, in one season."""
     many = e.crossJoin(spark.range(10).toDF("again")).withColumns({"contest": F.col("contest") + F.col("again") * 1_000_000, "d": F.expr("d + make_interval(again)"), "season": F.lit("one")}).drop("again")
